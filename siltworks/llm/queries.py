@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate
-from .shared import documents, sha256_hex
+from . import decontaminate, line_dedup
+from .shared import documents, sha256_hex, text_or_empty
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +23,30 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), sha256_hex(text_or_empty("text")).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+#: Blanks and 0x09-0x0D for trim().
+_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op10_line_dedup": f"""
+WITH lines AS (
+  SELECT doc_id, i, parts[i] AS line, {_ASCII_LOWER.format(f"trim(parts[i], {_BLANKS})")} AS key
+  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
+), frequent AS (
+  SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.key IS NOT NULL) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+FROM lines LEFT JOIN frequent f USING (key) GROUP BY doc_id""",
+}

@@ -25,11 +25,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: its lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -43,6 +43,11 @@ def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def text_key(text: str) -> Column:
+    """Together with a row's id, tells rows apart; rows of one id and one text have the same results."""
+    return F.xxhash64(text_or_empty(text))
+
+
 def sha256_hex(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 
