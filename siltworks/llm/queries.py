@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup
+from . import bpe, decontaminate, line_dedup, quality
 from .shared import documents, sha256_hex, text_or_empty
 
 
@@ -23,6 +23,22 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.round_trip(documents(spark, sf_dir), vocabulary_path())
+    return coded.select("doc_id", "n_tokens", sha256_hex(F.col("ids_text")).alias("ids_sha256"), sha256_hex(F.col("decoded")).alias("decoded_sha256"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality.judge(documents(spark, sf_dir)).select("doc_id", *[f"_quality.{n}" for n in names])
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_lines(documents(spark, sf_dir))
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), sha256_hex(text_or_empty("text")).alias("kept_sha256"))
@@ -30,6 +46,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op5_bpe": op5_bpe,
+    "op6_quality": op6_quality,
     "op10_line_dedup": op10_line_dedup,
 }
 
