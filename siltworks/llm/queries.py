@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, quality
-from .shared import documents, sha256_hex, text_or_empty
+from . import bpe, decontaminate, line_dedup, quality, token_files
+from .shared import documents, fresh_path, sha256_hex, text_or_empty
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select("doc_id", *[f"_quality.{n}" for n in names])
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "token-files")
+    token_files.write(documents(spark, sf_dir), path, vocabulary_path())
+    return token_files.read(spark, path).withColumnRenamed("id", "doc_id")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_lines(documents(spark, sf_dir))
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), sha256_hex(text_or_empty("text")).alias("kept_sha256"))
@@ -48,6 +54,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
+    "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
 }
 
