@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, quality, token_files
+from . import bpe, chat, decontaminate, line_dedup, quality, secrets, token_files
 from .shared import documents, fresh_path, sha256_hex, text_or_empty
 
 
@@ -23,6 +23,20 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.col("found")
+    count = lambda kind: F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter(found, lambda s: s["kind"].isin(*secrets.BASE))
+    return secrets.scan(documents(spark, sf_dir)).select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        sha256_hex(secrets.span_text(base)).alias("base_sha256"),
+        secrets.span_text(found).alias("spans"),
+    )
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -39,6 +53,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).select("doc_id", *[f"_quality.{n}" for n in names])
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hard = "\\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
+    back = chat.read_back(chat.format_windows(table.unionByName(more)))
+    return back.select("conv_id", "n_turns", sha256_hex(F.col("turns")).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), sha256_hex(F.col("loss")).alias("loss_sha256"), "formatted_chars")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     token_files.write(documents(spark, sf_dir), path, vocabulary_path())
@@ -52,8 +74,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_secrets": op3_secrets,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
+    "op7_chat": op7_chat,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
 }
