@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, line_dedup, quality, secrets, token_files
+from . import bpe, chat, decontaminate, line_dedup, quality, secrets, substring_dedup, token_files
 from .shared import documents, fresh_path, sha256_hex, text_or_empty
 
 
@@ -23,6 +23,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", sha256_hex(F.col("kept")).alias("kept_sha256"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.col("found")
     count = lambda kind: F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
@@ -74,6 +78,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_secrets": op3_secrets,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
