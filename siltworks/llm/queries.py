@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, line_dedup, quality, secrets, substring_dedup, token_files
+from . import bpe, chat, class_lm, decontaminate, line_dedup, quality, secrets, substring_dedup, token_files
 from .shared import documents, fresh_path, sha256_hex, text_or_empty
 
 
@@ -41,6 +41,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.fit_and_score(documents(spark, sf_dir)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_secrets": op3_secrets,
+    "op4_class_lm": op4_class_lm,
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op7_chat": op7_chat,
