@@ -341,6 +341,28 @@ def decode_ids(encoded: DataFrame, vocab_path: str, id: str = "doc_id", ids: str
     return slim.mapInArrow(run, f"`{id}` {slim.schema[0].dataType.simpleString()}, text string")
 
 
+def add_ids(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """The documents, columns as they were, with the text that their ids decode to, and the ids in a last column."""
+    arrow_batches(docs.sparkSession)
+    shared = share(docs.sparkSession, vocab_path)
+    names = docs.columns
+    at = names.index(text)
+    coded = docs.select([F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = task_encoder(shared)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 100):
+                part = batch.slice(first, 100)
+                found = encoder.encode(part.column(at).to_pylist())
+                columns = part.columns
+                columns[at] = pa.array([decode(encoder.v, x) for x in found], pa.string())
+                yield pa.RecordBatch.from_arrays([*columns, list_array(found)], names=[*part.schema.names, "ids"])
+
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    return coded.mapInArrow(run, f"{schema}, ids array<int>").toDF(*names, ids)
+
+
 def round_trip(docs: DataFrame, vocab_path: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, ids_text, decoded): the ids in decimal, joined by commas, and the text that they decode to."""
     arrow_batches(docs.sparkSession)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, class_lm, decontaminate, line_dedup, quality, secrets, substring_dedup, token_files
+from . import bpe, chat, class_lm, decontaminate, line_dedup, minhash, quality, secrets, substring_dedup, token_files
 from .shared import documents, fresh_path, sha256_hex, text_or_empty
 
 
@@ -69,6 +69,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("conv_id", "n_turns", sha256_hex(F.col("turns")).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), sha256_hex(F.col("loss")).alias("loss_sha256"), "formatted_chars")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(documents(spark, sf_dir)).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     token_files.write(documents(spark, sf_dir), path, vocabulary_path())
@@ -88,6 +92,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_quality": op6_quality,
     "op7_chat": op7_chat,
+    "op8_minhash": op8_minhash,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
 }
