@@ -18,8 +18,10 @@ next to each other; other columns are ignored; an empty table gives a folder wit
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,9 +89,27 @@ def token_at(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], i: i
 # -- ids by the tokenizers library ---------------------------------------------------------------
 
 
+#: A blank between white space, or between white space and the end: there the words on both sides hang together.
+_UNSAFE = re.compile(r"\s (?=\s|\Z)")
+
+
+class _Kept(dict):
+    """What `make` gives for a key, kept for as long as fewer than `limit` are."""
+
+    def __init__(self, make: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 class LibraryEncoder:
-    """The library's ids of whole texts. Its model is asked once for each word that the cache lacks; words are
-    cut by the library's own pattern."""
+    """The library's ids of whole texts. Its model is asked once for each word that is not kept; words are cut by the
+    library's own pattern. A text is first cut before blanks, and the ids of what stands between are kept, too."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -99,15 +119,16 @@ class LibraryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.model = self.library.model
-        letters = {b: c for c, b in byte_letters().items()}
-        self.letters = [letters[b] for b in range(256)]
-        self.cache: dict[str, bytes] = {}
+        self.tokenize = self.library.model.tokenize
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.words = _Kept(self._word, CACHE_WORDS)
+        self.pieces = _Kept(lambda piece: self._split(" " + piece), CACHE_WORDS)
+
+    def _word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        letter, tokenize = self.letters.__getitem__, self.model.tokenize
-        for w in words:
-            self.cache[w] = np.array([t.id for t in tokenize("".join(map(letter, w.encode())))], "<u4").tobytes()
+    def _split(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, split_words(text)))
 
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian 32-bit integers."""
@@ -115,17 +136,10 @@ class LibraryEncoder:
             return b""
         if any(s in text for s in self.specials):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = split_words(text)
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            used = set(words)
-            new = used - self.cache.keys()
-            if len(self.cache) + len(new) > CACHE_WORDS:
-                self.cache.clear()
-                new = used
-            self._learn(list(new))
-            return b"".join(map(self.cache.__getitem__, words))
+        if _UNSAFE.search(text):
+            return self._split(text)
+        first, *rest = text.split(" ")
+        return self._split(first) + b"".join(map(self.pieces.__getitem__, rest))
 
 
 _encoders: dict[str, LibraryEncoder] = {}
