@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, class_lm, decontaminate, line_dedup, minhash, quality, secrets, substring_dedup, token_files
+from . import bpe, chat, class_lm, decontaminate, line_dedup, minhash, oracles, quality, secrets, substring_dedup, token_files
 from .shared import documents, fresh_path, sha256_hex, text_or_empty
 
 
@@ -19,7 +19,6 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         sha256_hex(F.array_join("items", ",")).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.col("longest").alias("longest_match"),
     )
 
 
@@ -97,20 +96,9 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-#: Blanks and 0x09-0x0D for trim().
-_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
-_ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
 ORACLES: dict[str, str] = {
-    "op10_line_dedup": f"""
-WITH lines AS (
-  SELECT doc_id, i, parts[i] AS line, {_ASCII_LOWER.format(f"trim(parts[i], {_BLANKS})")} AS key
-  FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
-        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))
-), frequent AS (
-  SELECT key FROM lines WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
-)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.key IS NOT NULL) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
-FROM lines LEFT JOIN frequent f USING (key) GROUP BY doc_id""",
+    "op1_decontaminate": oracles.OP1,
+    "op2_substring_dedup": oracles.OP2,
+    "op6_quality": oracles.OP6,
+    "op10_line_dedup": oracles.OP10,
 }
