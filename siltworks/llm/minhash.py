@@ -15,9 +15,13 @@ Steps:
    with the first node of its bucket and with its neighbours there, which share the most coordinates beyond
    the band. Pairs that a short signature rules out by a wide margin are dropped.
 3. Pairs are checked exactly on their shingles. Then each bucket's node with the most links is paired with all
-   nodes of the bucket, until a round brings no new link. So pairs stay in proportion to the nodes: a family
-   of near copies is found through its centre, not through all its pairs.
-4. Classes are the connected components of the links.
+   nodes of the bucket, for a few rounds. This joins most of a family of near copies cheaply.
+4. What these rounds left apart is searched in full. Nodes are labelled with their components; in each bucket
+   that holds several, every node outside the largest is compared by short signature with all nodes of the
+   bucket, in blocks of bounded size dealt over tasks. The pairs that pass are checked exactly, of two
+   components the most similar first, until each is checked or lies within one component. So no link between
+   nodes that share a bucket is lost, wherever they stand in it.
+5. Classes are the connected components of the links.
 
 Defined cases: texts without words, null ones too, are copies of each other; a row without id has a null
 class; a text of fewer words than a shingle is one shingle; rows of one id are one document; repeated rows
@@ -46,8 +50,13 @@ BANDS, ROWS = 36, 7
 #: four standard deviations.
 SHORT = 252
 MARGIN = 0.10
-#: Rounds of pairing with the most linked node, at most; two are usual.
+#: Rounds of pairing with the most linked node, at most; two are usual. What they miss, the blocks find.
 ROUNDS = 4
+#: Nodes on each side of a block, about, and pairs compared at once.
+BLOCK = 2048
+AT_ONCE = 1 << 15
+#: Pairs of two components checked in the first round, and how much more in each round after.
+FIRST, MORE = 4, 16
 
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 18.0)])))
 
@@ -232,6 +241,71 @@ def _centre_pairs(rows: DataFrame, links: DataFrame, least: float) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long").distinct()
 
 
+def _labelled(frame: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
+    """The frame with the component of its column `node`; a node without links is its own."""
+    of = labels.select(F.col("a").alias("_node"), F.col("b").alias("_label"))
+    return frame.join(of, F.col(node) == F.col("_node"), "left").withColumn(label, F.coalesce("_label", node)).drop("_node", "_label")
+
+
+def _block_pairs(rows: DataFrame, labels: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, same): the pairs of different components in one bucket whose short signatures may be close. Every node outside
+    the bucket's largest component meets all its nodes; the two sides are dealt by hash into blocks."""
+    labelled = _labelled(rows.select("key", "node", "short"), labels, "node", "label")
+    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("most"), F.sum("n").alias("n"), F.max("n").alias("top")).where("n > top")
+    sizes = sizes.select("key", "most", F.ceil((F.col("n") - F.col("top")) / block).alias("outside"), F.ceil(F.col("n") / block).alias("all"))
+    several = labelled.join(sizes, "key").withColumn("out", F.col("label") != F.col("most")).withColumn("h", F.xxhash64("node"))
+    columns = ["key", "i", "j", "side", "node", "label", "out", "short"]
+    asking = several.where("out").withColumn("i", F.expr("pmod(h, outside)")).withColumn("j", F.explode(F.expr("sequence(0L, all - 1)"))).withColumn("side", F.lit(0)).select(columns)
+    asked = several.withColumn("j", F.expr("pmod(h, all)")).withColumn("i", F.explode(F.expr("sequence(0L, outside - 1)"))).withColumn("side", F.lit(1)).select(columns)
+
+    def compared(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Pairs of whole blocks."""
+        key, i, j, side, node, label = (block.column(k).to_numpy() for k in range(6))
+        out, short = block.column(6).to_numpy(), _shorts(block.column(7))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        at = np.append(np.flatnonzero(new), len(key))
+        ends = np.repeat(at[1:], np.diff(at))
+        first = np.repeat(np.add.reduceat(side == 0, at[:-1]) + at[:-1], np.diff(at))
+        left = np.flatnonzero(side == 0)
+        n = (ends - first)[left]
+        before = np.append(0, np.cumsum(n))
+        for start in range(0, int(before[-1]), AT_ONCE):
+            pair = np.arange(start, min(start + AT_ONCE, int(before[-1])))
+            which = np.searchsorted(before, pair, side="right") - 1
+            x = left[which]
+            y = first[x] + pair - before[which]
+            ok = (label[x] != label[y]) & (~out[y] | (node[x] < node[y]))
+            x, y = x[ok], y[ok]
+            same = (short[x] == short[y]).mean(axis=1)
+            ok = (same - 1 / 256) / (1 - 1 / 256) >= least
+            x, y, same = x[ok], y[ok], same[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y])), pa.array(same)], names=["a", "b", "same"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(k).to_numpy() for k in range(3)]
+            # rows up to the start of the batch's last block belong to whole blocks
+            last = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if waiting and not cut and any(waiting[-1].column(k)[-1].as_py() != keys[k][0] for k in range(3)):
+                yield from compared(pa.Table.from_batches(waiting))
+                waiting = []
+            if cut:
+                yield from compared(pa.Table.from_batches([*waiting, batch.slice(0, cut)]))
+                waiting = []
+            waiting.append(batch.slice(cut))
+        if waiting:
+            yield from compared(pa.Table.from_batches(waiting))
+
+    blocks = asking.unionByName(asked).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    return blocks.mapInArrow(run, "a long, b long, same double").distinct()
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, id: str, text: str, size: int, weights: str, similarity: float) -> DataFrame:
     """The pairs whose shingles are as similar as `similarity`: sets by Jaccard, counted shingles by weighted Jaccard.
 
@@ -310,6 +384,22 @@ def links(docs: DataFrame, nodes: DataFrame, id: str, text: str, size: int, weig
         tried, found = tried.unionByName(more), found.unionByName(new)
         if new.isEmpty():
             break
+    labels = components(found)
+    left = stored(_block_pairs(rows, labels, least).join(tried, ["a", "b"], "left_anti"), "pairs")
+    most = FIRST
+    while not left.isEmpty():
+        ends = _labelled(_labelled(left, labels, "a", "la"), labels, "b", "lb").where("la <> lb")
+        turn = Window.partitionBy(F.least("la", "lb"), F.greatest("la", "lb")).orderBy(F.desc("same"), "a", "b")
+        ranked = stored(ends.withColumn("nth", F.row_number().over(turn)).select("a", "b", "same", "nth"), "pairs")
+        now = ranked.where(F.col("nth") <= most).select("a", "b")
+        if now.isEmpty():
+            break
+        new = stored(_verified(docs, now, id, text, size, weights, similarity), "links")
+        left = ranked.where(F.col("nth") > most).select("a", "b", "same")
+        most *= MORE
+        if not new.isEmpty():
+            found = found.unionByName(new)
+            labels = components(found) if not left.isEmpty() else labels
     return found
 
 

@@ -89,3 +89,33 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 150), (300, 300)]
     got = {(r.a, r.b) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {(i, 0) for i in range(1, 51)} | {(200, 100), (150, 100)}
+
+
+def test_bucket_of_many_families(spark):
+    """Copies of one template, most pairs a little below the limit: their links are few and far apart in the buckets."""
+    rng = np.random.default_rng(11)
+    n, length = 2500, 100
+    # two places changed in each: pairs link only where places are close to each other
+    base = [f"w{i}" for i in range(length)]
+    place = np.sort(rng.choice(np.arange(5, length - 10), (n, 2)), axis=1)
+    texts, sets = [], np.zeros((n, length - 4), bool)
+    for i, (a, b) in enumerate(place.tolist()):
+        text = list(base)
+        text[a], text[b] = f"x{i}", f"y{i}"
+        texts.append(" ".join(text))
+        sets[i] = True
+        for p in (a, b):
+            sets[i, max(0, p - 4) : p + 1] = False
+    # own shingles never match another text's
+    shared = sets.astype(np.float32) @ sets.T.astype(np.float32)
+    linked = (shared >= 0.8 * (2 * (length - 4) - shared) - 1e-6) | np.eye(n, dtype=bool)
+    want = np.arange(n)
+    while True:
+        least = np.where(linked, want[None, :], n).min(axis=1)
+        if (least == want).all():
+            break
+        want = least
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in mh.classes(frame).collect()}
+    wrong = sum(got[i] != want[i] for i in range(n))
+    assert wrong == 0, (wrong, len(set(want.tolist())), len(set(got.values())))
