@@ -55,7 +55,7 @@ class Rule:
 
 #: Production thresholds. They are wide: a rule is there to reject junk, not unusual prose.
 RULES = (
-    Rule("words", "n_words", least=20, most=1_000_000),
+    Rule("words", "n_words", least=20),
     Rule("mean_word_length", "word_chars", "n_words", least=2.0, most=20.0),
     Rule("symbols_per_word", "n_symbols", "n_words", most=0.3),
     Rule("stop_words", "n_stop_words", least=2),

@@ -45,3 +45,10 @@ def test_filter(spark, docs, none):
 def test_plan_has_no_user_function(docs):
     plan = judge(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_very_long_clean_text(spark):
+    text = " ".join(f"the word{i} of" for i in range(340_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    q = judge(docs).first()._quality
+    assert (q.n_words, q.kept, q.failed_rules) == (1_020_000, True, [])
