@@ -76,16 +76,23 @@ def name_headerless(spark, sf_dir):
     return _summary(fl.typed(named, KINDS))
 
 
+#: Rows of a landing file, about: its head is read with the whole file as one row.
+FILE_ROWS = 100_000
+
+
 def _landing(spark, sf_dir):
-    """A folder of the table's files in several formats."""
+    """A folder of the table's files in several formats. Rows are dealt evenly to as many files as the table needs, so no file
+    grows with the table, and none is left with a row or two."""
     path = fresh_path(spark, "landing")
-    df = _as_text(dirty_sales(spark, sf_dir))
+    df = stored(_as_text(dirty_sales(spark, sf_dir)), "landing")
+    needed = -(-df.count() // FILE_ROWS)
+    one, two = (df.repartition(max(least, needed)) for least in (1, 2))
     options = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    df.coalesce(2).write.options(header=True, sep=";", **options).csv(f"{path}/kind=semicolon")
-    df.coalesce(2).write.options(header=True, sep="\t", **options).csv(f"{path}/kind=tab")
-    df.coalesce(1).write.options(header=False, sep=",", **options).csv(f"{path}/kind=headerless")
-    df.coalesce(1).write.json(f"{path}/kind=json")
-    df.coalesce(2).write.parquet(f"{path}/kind=parquet")
+    two.write.options(header=True, sep=";", **options).csv(f"{path}/kind=semicolon")
+    two.write.options(header=True, sep="\t", **options).csv(f"{path}/kind=tab")
+    one.write.options(header=False, sep=",", **options).csv(f"{path}/kind=headerless")
+    one.write.json(f"{path}/kind=json")
+    two.write.parquet(f"{path}/kind=parquet")
     files = fl.heads(spark, path).where("path RLIKE 'part-[^/]*$' AND length > 0")
     return files.withColumn("kind", F.regexp_extract("path", "kind=([a-z]+)", 1))
 
