@@ -8,8 +8,8 @@ limits on the span's length and on the share of a document that is hit.
 Words: A-Z lower-cased, then runs of digits, a-z and characters above 0x7F. A window is `window`
 consecutive words of an item; an item of fewer words, but not none, is one window.
 
-Defined cases: a null or empty text has no words and no hits; a null item id or an item without
-words is never found; repeated items are all found; an empty table of items leaves documents as
+Defined cases: a null or empty text has no words and no hits; an item without words is never
+found; one with a null id is hit and cut, but not in lists of items; repeated items are all found; an empty table of items leaves documents as
 they are; repeated documents are each judged; columns besides id and text are kept as they are by
 `remove_spans` and ignored by `find`.
 """
@@ -145,7 +145,8 @@ class SuffixAutomaton:
 
 def _automata(items: DataFrame, item_id: str, text: str, window: int, shard_words: int):
     """Automata over all items, each of about `shard_words` words: few items in one, more in as many as are needed."""
-    rows = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).cast("string").alias("text")).where("name is not null and text is not null")
+    # an item without id is hit and cut as any other; only lists of items leave it out
+    rows = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).cast("string").alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).first()[0] or 0
     shards = max(1, -(-int(total) // shard_words))
     for k in range(shards):
@@ -187,7 +188,7 @@ def _with_matches(docs: DataFrame, items: DataFrame, item_id: str, item_text: st
                     if again:
                         spans = _merge(spans, [(s["start"], s["end"]) for s in before[k]["word_spans"]])
                         items, longest = items | set(before[k]["items"]), max(longest, before[k]["longest"])
-                    found.append({"n_words": len(words), "n_hit": sum(e - b for b, e in spans), "longest": longest, "items": sorted(items), "word_spans": [{"start": b, "end": e} for b, e in spans]})
+                    found.append({"n_words": len(words), "n_hit": sum(e - b for b, e in spans), "longest": longest, "items": sorted(items - {None}), "word_spans": [{"start": b, "end": e} for b, e in spans]})
                 columns = batch.columns[: len(names) - again]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _MATCH)], names=[f"c{i}" for i in range(len(columns) + 1)])
 

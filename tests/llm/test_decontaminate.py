@@ -57,3 +57,12 @@ def test_remove_spans(spark, none):
     assert remove_spans(docs, items.limit(0)).count() == 3
     assert remove_spans(none, items).count() == 0
     assert find(none, items).count() == 0
+
+
+def test_item_without_id(spark):
+    items = spark.createDataFrame([(None, "alpha beta gamma delta"), (None, "short one"), (7, "beta gamma delta alpha")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Keep this. Alpha, beta; gamma delta! And a short one here, all kept here.")], "doc_id long, text string")
+    for shard_words in (10**6, 4):
+        found = find(docs, items, window=3, shard_words=shard_words).first()
+        assert (found.n_hit, found["items"]) == (6, ["7"])
+        assert remove_spans(docs, items, window=3, shard_words=shard_words).first().text == "Keep this. ! And a  here, all kept here."
