@@ -1,11 +1,10 @@
 import duckdb
 import pytest
-from conftest import DATA
+from paths import DATA, TABLES
 
 import __spark_entry__ as entry
 
 NAMES = sorted(n for n in entry.registry.ORACLES)
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def test_flagship(spark):
@@ -16,8 +15,7 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-#: One query of each family; all are compared at sf0.01 before each commit.
-@pytest.mark.parametrize("name", ["gold_by_month", "silver_quarantine", "verify_totals", "kpi_excluding", "an_pareto", "quality_report", "ingest_decision", "obs_measures", "load_new_steps", "scan_csv", "contract_registry"])
+@pytest.mark.parametrize("name", NAMES)
 def test_against_duckdb(spark, name):
     db = duckdb.connect()
     for t in TABLES:
