@@ -10,23 +10,26 @@ agree at a coordinate with the probability of the weighted Jaccard similarity.
 Steps:
 
 1. Signatures of all texts; texts with the same words are one node, that of their least id.
-2. Band keys of `ROWS` coordinates. A count-min sketch drops keys that one node alone has. The rest are dealt
-   by ranges of (key, following coordinates), so a bucket of any size is spread over tasks; a node is paired
-   with the first node of its bucket and with its neighbours there, which share the most coordinates beyond
-   the band. Pairs that a short signature rules out by a wide margin are dropped.
-3. Pairs are checked exactly on their shingles. Then each bucket's node with the most links is paired with all
-   nodes of the bucket, for a few rounds. This joins most of a family of near copies cheaply.
-4. What these rounds left apart is searched in full. Nodes are labelled with their components; in each bucket
-   that holds several, every node outside the largest is compared by short signature with all nodes of the
-   bucket, in blocks of bounded size dealt over tasks. The pairs that pass are checked exactly, of two
-   components the most similar first, until each is checked or lies within one component. So no link between
-   nodes that share a bucket is lost, wherever they stand in it.
+2. Band keys of `ROWS` coordinates, dealt by ranges of (key, following coordinates), so a bucket of any size is
+   spread over tasks. Keys that one node alone has end there. A node is paired with the first node of its bucket
+   in the task and with the one before it, which share the most coordinates beyond the band. Pairs that a
+   short signature rules out by a wide margin are dropped, the rest checked exactly on their shingles.
+3. Each bucket's node with the most links is paired with all nodes of the bucket. This joins most of a family
+   of near copies cheaply.
+4. What is still apart is searched in full. Nodes are labelled with their components; in each bucket that
+   holds several, every node outside the largest is compared by short signature with all nodes of the bucket, in
+   blocks of bounded size dealt over tasks. The pairs that pass are checked exactly, first the closest of each two
+   components, then all others whose ends are still in different ones. So no link between nodes that share a
+   bucket is lost, wherever they stand in it.
 5. Classes are the connected components of the links.
 
+Joins on a node or bucket that very many rows share are dealt by a second column. Hashes of shingles have 64 bits.
+
 Defined cases: texts without words, null ones too, are copies of each other; a row without id has a null
 class; a text of fewer words than a shingle is one shingle; rows of one id are one document; repeated rows
-have one class; other columns are ignored by `classes` and kept by `keep_one`; an empty table gives an empty
-result.
+have one class; ids that are no whole numbers are told apart and ordered by a hash, and a class has the id that
+is first in that order; other columns are ignored by `classes` and kept by `keep_one`; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -35,8 +38,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .components import components
 from .hashing import Rolling, mix, signed, span_hashes, text_chunks, word_spans
@@ -46,17 +50,17 @@ from .sketch import BLOCK_SCHEMA, Counting, Sketch, width_for
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 36, 7
+#: What a shingle weighs: "counts", how often it is in the text; "binary", 1.
+WEIGHTS = "counts"
 #: Coordinates of the short signature, one byte each, and how far below SIMILARITY a pair's similarity by it may be:
 #: four standard deviations.
 SHORT = 252
 MARGIN = 0.10
-#: Rounds of pairing with the most linked node, at most; two are usual. What they miss, the blocks find.
-ROUNDS = 4
 #: Nodes on each side of a block, about, and pairs compared at once.
 BLOCK = 2048
 AT_ONCE = 1 << 15
-#: Pairs of two components checked in the first round, and how much more in each round after.
-FIRST, MORE = 4, 16
+#: A key of a join with more rows than HOT, and than a SALTED-th of all, is dealt to several tasks.
+HOT, SALTED = 128, 50_000
 
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, 18.0)])))
 
@@ -142,23 +146,34 @@ def shingles(chunk, size: int = SHINGLE, counts: bool = False):
     return h[at], times if counts else np.ones(len(at), np.int64), row[at], whole
 
 
-def _band_keys(signature: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each set and band: a key of its coordinates, and the next four coordinates as an order within the bucket."""
+def _band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For each set and band: a key of its coordinates."""
     s = signature[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64)
     key = np.broadcast_to(np.arange(bands, dtype=np.uint64), s.shape[:2])
     for i in range(rows):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + s[:, :, i])
-    after = np.roll(s, -1, axis=1)
-    order = np.zeros(s.shape[:2], np.uint64)
-    for i in range(min(4, rows)):
-        order = order << np.uint64(16) | (mix(after[:, :, i]) & np.uint64(0xFFFF))
-    return key, order
+    return key
+
+
+def _ranks(short: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """For each set and band: the short coordinates that follow the band, as a number; it orders the sets of a bucket."""
+    following = (np.arange(bands)[:, None] + 1) * rows + np.arange(8)[None, :]
+    out = short[:, following % short.shape[1]]
+    return np.ascontiguousarray(out).view(">u8")[:, :, 0].astype(np.uint64)
+
+
+def number(docs: DataFrame, id: str) -> Column:
+    """A whole number for each id: itself, or a hash of an id of another type."""
+    return F.col(f"`{id}`").cast("long") if isinstance(docs.schema[id].dataType, IntegralType) else F.xxhash64(F.col(f"`{id}`"))
+
+
+def _slim(docs: DataFrame, id: str, text: str) -> DataFrame:
+    return docs.where(F.col(f"`{id}`").isNotNull()).select(number(docs, id).alias("id"), text_or_empty(text).alias("t"))
 
 
-def signatures(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, weights: str = "binary", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, b1, b2, keys, orders, short) of each text: two hashes of its words, band keys, orders, and the short signature."""
+def signatures(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, weights: str = WEIGHTS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(id, b1, b2, keys, short) of each text: two hashes of its words, band keys, and the short signature."""
     arrow_batches(docs.sparkSession)
-    slim = docs.select(F.col(id).cast("long").alias("id"), text_or_empty(text).alias("t")).where("id IS NOT NULL")
     k = max(bands * rows, SHORT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,78 +182,102 @@ def signatures(docs: DataFrame, id: str = "doc_id", text: str = "text", size: in
                 h, times, row, whole = shingles(chunk, size, weights == "counts")
                 some = np.unique(row)  # texts without words have no keys
                 signature = dart_signatures(h, times.astype(float), np.searchsorted(some, row), len(some), k)
-                key, order = _band_keys(signature, bands, rows)
                 has = np.zeros(chunk.rows, np.int32)
                 has[some] = bands
                 bounds = pa.array(np.append(0, np.cumsum(has)).astype(np.int32))
                 short = np.zeros((chunk.rows, SHORT), np.uint8)
                 short[some] = mix(signature[:, :SHORT].astype(np.uint64)) & np.uint64(255)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(chunk.first, chunk.rows), *[pa.array(signed(w)) for w in whole], *[pa.ListArray.from_arrays(bounds, pa.array(signed(x.reshape(-1)))) for x in (key, order)], pa.array([x.tobytes() for x in short], pa.binary())],
-                    names=["id", "b1", "b2", "keys", "orders", "short"],
+                    [batch.column(0).slice(chunk.first, chunk.rows), *[pa.array(signed(w)) for w in whole], pa.ListArray.from_arrays(bounds, pa.array(signed(_band_keys(signature, bands, rows).reshape(-1)))), pa.array([x.tobytes() for x in short], pa.binary())],
+                    names=["id", "b1", "b2", "keys", "short"],
                 )
 
-    return slim.mapInArrow(run, "id long, b1 long, b2 long, keys array<long>, orders array<long>, short binary")
+    return _slim(docs, id, text).mapInArrow(run, "id long, b1 long, b2 long, keys array<long>, short binary")
 
 
-def _close(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Whether short signatures may belong to sets as similar as `least`."""
-    same = (a == b).mean(axis=1)
-    return (same - 1 / 256) / (1 - 1 / 256) >= least
+def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The similarity of sets by their short signatures; one coordinate in 256 agrees by chance."""
+    return ((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256)
 
 
 def _shorts(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SHORT)
 
 
-def _neighbour_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs of nodes: each with its neighbour in its bucket, and with the first of its bucket in its task."""
+def _spread(left: DataFrame, right: DataFrame, key: str, other: str, counted: DataFrame | None = None) -> DataFrame:
+    """left JOIN right on `key`, which is unique in `right`. Keys that many rows of `left` have are dealt by a hash of `other`,
+    and their one row of `right` goes to each part. These keys are few: less than `SALTED` can have more than a
+    SALTED-th of the rows, so their list is broadcast. `counted`, a stored table, has the keys as `left` has them."""
+    counted = left if counted is None else counted
+    most = max(HOT, counted.count() // SALTED)
+    hot = counted.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select("_hot", F.ceil(F.col("_n") / most).alias("_parts"))
+    hot = F.broadcast(hot)
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.xxhash64(other), parts)).drop("_hot", "_parts")
+    copies = right.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_hot", "_parts")
+    return dealt.join(copies, [key, "_salt"]).drop("_salt")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = first = None
+
+def _bucket_rows(nodes: DataFrame, bands: int, rows: int) -> DataFrame:
+    """(key, node, before, first): the nodes of buckets that may hold several, with the node before in order and the first of
+    the bucket in the task. Dealt by ranges of (key, rank), so that a bucket of any size is spread over tasks; a bucket
+    that ends or begins a task may go on elsewhere, so its nodes stay."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            has = np.diff(batch.column(1).offsets.to_numpy())
+            rank = _ranks(_shorts(batch.column(2))[has > 0], bands, rows) if (has > 0).any() else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(1).flatten(), pa.array(signed(rank.reshape(-1))), batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), has)))], names=["key", "rank", "node"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row, which waits for the one after it
+        first_key = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, node, short = batch.column(0).to_numpy(), batch.column(2).to_numpy(), _shorts(batch.column(3))
-            if before is not None:
-                key, node, short = np.append(before[0], key), np.append(before[1], node), np.vstack([before[2], short])
+            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            before, head = np.full(len(key), -1, np.int64), np.zeros(len(key), np.int64)
+            alone = np.ones(len(key), bool)
+            if held is not None:
+                key, node, before, head, alone = np.append(held[0], key), np.append(held[1], node), np.append(held[2], before), np.append(held[3], head), np.append(held[4], alone)
+            else:
+                first_key = key[0]
+                head[0], alone[0] = node[0], False
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
-            head = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-            head_node, head_short = node[head], short[head]
-            if first is not None and first[0] == key[0]:
-                ours = head == 0
-                head_node[ours], head_short[ours] = first[1], first[2]
-            out = []
-            same = np.flatnonzero(~new)
-            for a, b, x, y in ((node[same], node[same - 1], short[same], short[same - 1]), (node[same], head_node[same], short[same], head_short[same])):
-                ok = (a != b) & _close(x, y, least)
-                out.append((np.minimum(a[ok], b[ok]), np.maximum(a[ok], b[ok])))
-            before = (key[-1:], node[-1:], short[-1:])
-            first = (key[-1], head_node[-1], head_short[-1])
-            a, b = (np.concatenate(x) for x in zip(*out))
-            pairs = np.unique(np.stack([a, b]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "key", "rank").sortWithinPartitions("key", "rank", "node")
-    return ordered.select("key", "rank", "node", "short").mapInArrow(run, "a long, b long").distinct()
-
-
-def _centre_pairs(rows: DataFrame, links: DataFrame, least: float) -> DataFrame:
+            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            start = 0 if held is None else 1
+            head[start:] = np.where(at[start:] == 0, head[0], node[at[start:]])
+            again = np.flatnonzero(~new)
+            before[again], alone[again], alone[again - 1] = node[again - 1], False, False
+            alone[key == first_key] = False
+            held = key[-1:], node[-1:], before[-1:], head[-1:], alone[-1:]
+            ok = ~alone[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][ok]) for x in (key, node, before, head)], names=["key", "node", "before", "first"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[:4]], names=["key", "node", "before", "first"])
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = nodes.select("node", "keys", "short").mapInArrow(keyed, "key long, rank long, node long").repartitionByRange(parts, "key", "rank").sortWithinPartitions("key", "rank", "node")
+    return ordered.select("key", "node").mapInArrow(shared, "key long, node long, before long, first long")
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _neighbour_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of nodes: each with its neighbour in its bucket, and with the first of its bucket in its task."""
+    met = rows.select("node", F.explode(F.array("before", "first")).alias("other")).where("other <> -1 AND other <> node")
+    return met.select(*_ordered("node", "other")).distinct()
+
+
+def _centre_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Pairs of each node with the most linked node of each of its buckets."""
     ends = [links.groupBy(F.col(c).alias("node")).agg(F.count(F.lit(1)).alias("d")) for c in ("a", "b")]
     degree = ends[0].unionByName(ends[1]).groupBy("node").agg(F.sum("d").alias("d"))
-    linked = rows.join(degree, "node")
-    centre = linked.groupBy("key").agg(F.max_by(F.struct("node", "short"), F.struct("d", -F.col("node"))).alias("c"))
-    joined = rows.join(centre, "key").where("node <> c.node").select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), "short", F.col("c.short").alias("other"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.select([0, 1]).filter(pa.array(_close(_shorts(batch.column(2)), _shorts(batch.column(3)), least)))
-
-    return joined.mapInArrow(run, "a long, b long").distinct()
+    centre = rows.join(degree, "node").groupBy("key").agg(F.max_by("node", F.struct("d", -F.col("node"))).alias("centre"))
+    return _spread(rows.select("key", "node"), centre, "key", "node").where("node <> centre").select(*_ordered("node", "centre")).distinct()
 
 
 def _labelled(frame: DataFrame, labels: DataFrame, node: str, label: str) -> DataFrame:
@@ -247,14 +286,21 @@ def _labelled(frame: DataFrame, labels: DataFrame, node: str, label: str) -> Dat
     return frame.join(of, F.col(node) == F.col("_node"), "left").withColumn(label, F.coalesce("_label", node)).drop("_node", "_label")
 
 
-def _block_pairs(rows: DataFrame, labels: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, same): the pairs of different components in one bucket whose short signatures may be close. Every node outside
-    the bucket's largest component meets all its nodes; the two sides are dealt by hash into blocks."""
-    labelled = _labelled(rows.select("key", "node", "short"), labels, "node", "label")
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs of different components."""
+    return _labelled(_labelled(pairs, labels, "a", "la"), labels, "b", "lb").where("la <> lb").drop("la", "lb")
+
+
+def _block_pairs(rows: DataFrame, shorts: DataFrame, labels: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, b, leads): the pairs of different components in one bucket whose short signatures may be close. Every node outside
+    the bucket's largest component meets all its nodes; the two sides are dealt by hash into blocks. The closest pair of
+    two components among those that are compared at once leads."""
+    labelled = _labelled(rows.select("key", "node"), labels, "node", "label")
     sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("most"), F.sum("n").alias("n"), F.max("n").alias("top")).where("n > top")
     sizes = sizes.select("key", "most", F.ceil((F.col("n") - F.col("top")) / block).alias("outside"), F.ceil(F.col("n") / block).alias("all"))
-    several = labelled.join(sizes, "key").withColumn("out", F.col("label") != F.col("most")).withColumn("h", F.xxhash64("node"))
+    several = _spread(labelled, sizes, "key", "node", rows).join(shorts, "node")
+    several = stored(several.withColumn("out", F.col("label") != F.col("most")).withColumn("h", F.xxhash64("node")), "bucket-nodes")
     columns = ["key", "i", "j", "side", "node", "label", "out", "short"]
     asking = several.where("out").withColumn("i", F.expr("pmod(h, outside)")).withColumn("j", F.explode(F.expr("sequence(0L, all - 1)"))).withColumn("side", F.lit(0)).select(columns)
     asked = several.withColumn("j", F.expr("pmod(h, all)")).withColumn("i", F.explode(F.expr("sequence(0L, outside - 1)"))).withColumn("side", F.lit(1)).select(columns)
@@ -278,10 +324,17 @@ def _block_pairs(rows: DataFrame, labels: DataFrame, least: float, block: int =
             y = first[x] + pair - before[which]
             ok = (label[x] != label[y]) & (~out[y] | (node[x] < node[y]))
             x, y = x[ok], y[ok]
-            same = (short[x] == short[y]).mean(axis=1)
-            ok = (same - 1 / 256) / (1 - 1 / 256) >= least
+            same = _same(short[x], short[y])
+            ok = same >= least
             x, y, same = x[ok], y[ok], same[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[x], node[y])), pa.array(np.maximum(node[x], node[y])), pa.array(same)], names=["a", "b", "same"])
+            if not len(x):
+                continue
+            la, lb = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+            order = np.lexsort((-same, lb, la))
+            leads = np.ones(len(order), bool)
+            leads[1:] = (la[order][1:] != la[order][:-1]) | (lb[order][1:] != lb[order][:-1])
+            x, y = node[x[order]], node[y[order]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(leads)], names=["a", "b", "leads"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -303,129 +356,123 @@ def _block_pairs(rows: DataFrame, labels: DataFrame, least: float, block: int =
             yield from compared(pa.Table.from_batches(waiting))
 
     blocks = asking.unionByName(asked).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    return blocks.mapInArrow(run, "a long, b long, same double").distinct()
+    return blocks.mapInArrow(run, "a long, b long, leads boolean").groupBy("a", "b").agg(F.bool_or("leads").alias("leads"))
+
+
+def _close(pairs: DataFrame, shorts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose short signatures may be close."""
+    one = _spread(pairs, shorts.select(F.col("node").alias("a"), F.col("short").alias("x")), "a", "b")
+    two = one.join(shorts.select(F.col("node").alias("b"), F.col("short").alias("y")), "b").select("a", "b", "x", "y")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.select([0, 1]).filter(pa.array(_same(_shorts(batch.column(2)), _shorts(batch.column(3))) >= least))
 
-def _verified(docs: DataFrame, pairs: DataFrame, id: str, text: str, size: int, weights: str, similarity: float) -> DataFrame:
-    """The pairs whose shingles are as similar as `similarity`: sets by Jaccard, counted shingles by weighted Jaccard.
+    return two.mapInArrow(run, "a long, b long")
 
-    Texts are scanned again, and only those that a sketch of the pairs' nodes lets pass give their shingles.
-    """
+
+def _elements(docs: DataFrame, nodes: DataFrame, id: str, text: str, size: int, weights: str) -> DataFrame:
+    """(node, s): the sorted 64-bit hashes of the shingles of `nodes` (node), and of some documents more, which a sketch of the
+    nodes lets pass; they meet no pair. A shingle found again is an element of its own where they are counted."""
     spark = docs.sparkSession
-    width = width_for(2 * pairs.count())
+    width = width_for(nodes.count())
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counting = Counting(width)
         for batch in batches:
-            for column in batch.columns:
-                counting.add(np.unique(column.to_numpy()).view(np.uint64))
+            counting.add(batch.column(0).to_numpy().view(np.uint64))
         yield from counting.blocks()
 
-    marked = spark.sparkContext.broadcast(Sketch.gathered(pairs.select("a", "b").mapInArrow(mark, BLOCK_SCHEMA), width))
-    slim = docs.select(F.col(id).cast("long").alias("id"), text_or_empty(text).alias("t")).where("id IS NOT NULL")
+    marked = spark.sparkContext.broadcast(Sketch.gathered(nodes.mapInArrow(mark, BLOCK_SCHEMA), width))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(marked.value.estimate(batch.column(0).to_numpy().view(np.uint64)) > 0))
             for chunk in text_chunks(batch.column(1)):
                 h, times, row, _ = shingles(chunk, size, weights == "counts")
-                if weights == "counts":  # the second of a shingle is an element of its own, and so on
-                    number = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    h, row = mix(np.repeat(h, times) + number.astype(np.uint64)), np.repeat(row, times)
-                own = [np.sort((x & np.uint64(0xFFFFFFFF)).astype("<u4")).tobytes() for x in np.split(h, np.searchsorted(row, np.arange(1, chunk.rows)))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.rows), pa.array(own, pa.binary())], names=["id", "s"])
+                again = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                h, row = mix(np.repeat(h, times) + again.astype(np.uint64)), np.repeat(row, times)
+                order = np.lexsort((h, row))
+                own = np.split(h[order].astype("<u8"), np.searchsorted(row[order], np.arange(1, chunk.rows)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.rows), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "s"])
+
+    return _slim(docs, id, text).mapInArrow(run, "node long, s binary")
 
-    elements = slim.mapInArrow(sets, "id long, s binary")
-    one = pairs.join(elements.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
-    two = one.join(elements.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y")
+
+def _verified(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingles are as similar as `similarity`: sets by Jaccard, counted shingles by weighted Jaccard."""
+    one = _spread(pairs, elements.select(F.col("node").alias("a"), F.col("s").alias("x")), "a", "b")
+    two = _spread(one, elements.select(F.col("node").alias("b"), F.col("s").alias("y")), "b", "a", pairs).select("a", "b", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")
-                shared = len(np.intersect1d(x, y))
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                both = np.sort(np.concatenate([x, y]))
+                shared = int((both[1:] == both[:-1]).sum())
                 ok.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return two.mapInArrow(compare, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, nodes: DataFrame, id: str, text: str, size: int, weights: str, similarity: float) -> DataFrame:
-    """Verified links (a, b), a < b, between nodes of different texts."""
-    spark = docs.sparkSession
-    n_keys = nodes.agg(F.sum(F.size("keys"))).first()[0] or 0
-    width = width_for(n_keys)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counting = Counting(width)
-        for batch in batches:
-            counting.add(batch.column(0).flatten().to_numpy().view(np.uint64))
-        yield from counting.blocks()
-
-    sketch = spark.sparkContext.broadcast(Sketch.gathered(nodes.select("keys").mapInArrow(count, BLOCK_SCHEMA), width))
-
-    def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(1).flatten().to_numpy()
-            some = np.flatnonzero(sketch.value.estimate(keys.view(np.uint64)) > 1)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(1).offsets.to_numpy()))[some]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array(batch.column(2).flatten().to_numpy()[some]), batch.column(0).take(pa.array(row)), batch.column(3).take(pa.array(row))], names=["key", "rank", "node", "short"])
-
-    rows = stored(nodes.select("node", "keys", "orders", "short").mapInArrow(shared_keys, "key long, rank long, node long, short binary"), "band-rows")
+def _links(docs: DataFrame, nodes: DataFrame, repeated: bool, id: str, text: str, size: int, weights: str, similarity: float, bands: int, rows: int) -> DataFrame:
+    """(a, b): each node that has links but the least of its component, with that least node."""
+    shorts = nodes.select("node", "short")
+    buckets = stored(_bucket_rows(nodes, bands, rows), "bucket-rows")
+    sharing = stored(buckets.where("before <> -1 OR first <> node").select(F.explode(F.array("node", "before", "first")).alias("node")).where("node <> -1").unionByName(buckets.select("node")).distinct(), "sharing")
+    elements = _elements(docs, sharing, id, text, size, weights)
+    elements = stored(elements.dropDuplicates(["node", "s"]) if repeated else elements, "elements")
     least = similarity - MARGIN
-    tried = stored(_neighbour_pairs(rows, least), "pairs")
-    found = stored(_verified(docs, tried, id, text, size, weights, similarity), "links")
-    for _ in range(ROUNDS):
-        more = stored(_centre_pairs(rows, found, least).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            break
-        new = stored(_verified(docs, more, id, text, size, weights, similarity), "links")
-        tried, found = tried.unionByName(more), found.unionByName(new)
-        if new.isEmpty():
-            break
+    near = stored(_neighbour_pairs(buckets), "pairs")
+    tried = stored(_close(near, shorts, least), "pairs")
+    found = stored(_verified(tried, elements, similarity), "links")
+    near = stored(_centre_pairs(buckets, found).join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = stored(_close(near, shorts, least), "pairs")
+    tried, found = tried.unionByName(more), found.unionByName(stored(_verified(more, elements, similarity), "links"))
     labels = components(found)
-    left = stored(_block_pairs(rows, labels, least).join(tried, ["a", "b"], "left_anti"), "pairs")
-    most = FIRST
-    while not left.isEmpty():
-        ends = _labelled(_labelled(left, labels, "a", "la"), labels, "b", "lb").where("la <> lb")
-        turn = Window.partitionBy(F.least("la", "lb"), F.greatest("la", "lb")).orderBy(F.desc("same"), "a", "b")
-        ranked = stored(ends.withColumn("nth", F.row_number().over(turn)).select("a", "b", "same", "nth"), "pairs")
-        now = ranked.where(F.col("nth") <= most).select("a", "b")
-        if now.isEmpty():
-            break
-        new = stored(_verified(docs, now, id, text, size, weights, similarity), "links")
-        left = ranked.where(F.col("nth") > most).select("a", "b", "same")
-        most *= MORE
-        if not new.isEmpty():
-            found = found.unionByName(new)
-            labels = components(found) if not left.isEmpty() else labels
-    return found
-
-
-def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, weights: str = "binary", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    left = stored(_block_pairs(buckets, shorts, labels, least).join(tried, ["a", "b"], "left_anti"), "pairs")
+    for now in ("leads", "NOT leads"):
+        some = stored(_apart(left.where(now).select("a", "b"), labels), "pairs")
+        if not some.isEmpty():
+            new = stored(_verified(some, elements, similarity), "links")
+            if not new.isEmpty():
+                labels = components(labels.unionByName(new))
+    return labels
+
+
+def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, weights: str = WEIGHTS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, class_id) for each row of `docs`: the least id of the documents that links connect with it; its own where none do."""
     signed_ = stored(signatures(docs, id, text, size, weights, bands, rows), "signatures")
-    nodes = stored(signed_.groupBy("b1", "b2").agg(F.min("id").alias("node"), F.min_by(F.struct("keys", "orders", "short"), "id").alias("s")).select("node", "b1", "b2", "s.*"), "nodes")
-    found = links(docs, nodes, id, text, size, weights, similarity)
-    # rows of one id are one document, whatever their texts
-    of_id = signed_.select("id", "b1", "b2").distinct().join(nodes.select("b1", "b2", "node"), ["b1", "b2"])
-    twice = of_id.where("id <> node").join(of_id.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "id").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    least = components(found.unionByName(twice))
-    of_node = of_id.select("id", "node").groupBy("id").agg(F.min("node").alias("node")).join(least.select(F.col("a").alias("node"), F.col("b").alias("least")), "node", "left")
-    of_node = of_node.select(F.col("id").alias("_id"), F.coalesce("least", "node").alias("class_id"))
-    plain = docs.select(F.col(id).alias("_own"))
-    return plain.join(of_node, F.col("_own").cast("long") == F.col("_id"), "left").select(F.col("_own").alias(id), F.coalesce("class_id", F.col("_own").cast("long")).alias("class_id"))
+    nodes = stored(signed_.groupBy("b1", "b2").agg(F.min("id").alias("node"), F.min_by(F.struct("keys", "short"), "id").alias("s")).select("node", "b1", "b2", "s.*"), "nodes")
+    twice = stored(signed_.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "repeated-ids")
+    repeated = not twice.isEmpty()
+    labels = _links(docs, nodes, repeated, id, text, size, weights, similarity, bands, rows)
+    if repeated:  # rows of one id are one document, whatever their texts
+        own = signed_.join(twice, "id").select("id", "b1", "b2").distinct().join(nodes.select("b1", "b2", "node"), ["b1", "b2"])
+        own = own.join(own.groupBy("id").agg(F.min("node").alias("least")), "id").where("node <> least")
+        labels = components(labels.unionByName(own.select(F.col("node").alias("a"), F.col("least").alias("b"))))
+    of_text = _labelled(nodes.select("node", "b1", F.col("b2").alias("c2")), labels, "node", "class").select("b1", "c2", "class")
+    of_id = _spread(signed_.select("id", "b1", "b2"), of_text, "b1", "id").where("b2 = c2").groupBy(F.col("id").alias("_id")).agg(F.min("class").alias("class"))
+    plain = docs.select(F.col(f"`{id}`").alias("_own"), number(docs, id).alias("_number"))
+    if not isinstance(docs.schema[id].dataType, IntegralType):  # from the number of a class back to its id
+        names = plain.where("_own IS NOT NULL").distinct().select(F.col("_number").alias("class"), F.col("_own").alias("name"))
+        of_id = _spread(stored(of_id, "numbered"), names, "class", "_id").select("_id", F.col("name").alias("class"))
+    both = plain.join(of_id, (F.col("_number") == F.col("_id")) & F.col("_own").isNotNull(), "left")
+    return both.select(F.col("_own").alias(id), F.col("class").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The documents, columns as they were, without those that have a class with a smaller id; of rows with one id, one stays.
-    Rows without id stay."""
+    """The documents, columns as they were, without those that have a class with a smaller id; of rows with one id and one
+    text, one stays. Rows of one id with different texts stay, and rows without id."""
     names = docs.columns
-    gone = classes(docs, id, text, **how).where(F.col(id) != F.col("class_id")).select(F.col(id).alias("_gone")).distinct()
-    with_id = docs.where(F.col(id).isNotNull())
-    kept = with_id.join(gone, F.col(id) == F.col("_gone"), "left_anti")
-    plain = [f"`{c}`" for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
-    first = Window.partitionBy(id).orderBy(F.xxhash64(text), F.xxhash64(*plain))
-    kept = kept.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
-    return kept.select(names).unionByName(docs.where(F.col(id).isNull()))
+    left = docs.select([F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])
+    key, value = f"c{names.index(id)}", f"c{names.index(text)}"
+    gone = classes(docs, id, text, **how).where(F.col(id) != F.col("class_id")).select(F.col(id).alias("gone")).distinct()
+    kept = left.where(F.col(key).isNotNull()).join(gone, F.col(key) == F.col("gone"), "left_anti")
+    plain = [c for c, kind in left.dtypes if "map<" not in kind and kind != "variant"]
+    first = Window.partitionBy(key, text_or_empty(value)).orderBy(F.xxhash64(*plain))
+    kept = kept.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+    return kept.unionByName(left.where(F.col(key).isNull())).toDF(*names)

@@ -5,13 +5,19 @@ from siltworks.llm import minhash as mh
 from siltworks.llm.components import components
 
 
-def shingle_set(text):
+def shingle_set(text, counts=True):
+    """The shingles of a text; where they are counted, the n-th time of one is an element of its own."""
     words = (text or "").encode().split()
-    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+    seen, out = {}, set()
+    for i in range(max(1, len(words) - 4) if words else 0):
+        key = tuple(words[i : i + 5])
+        seen[key] = seen.get(key, 0) + 1
+        out.add((key, seen[key] if counts else 1))
+    return frozenset(out)
 
 
-def brute(rows, least=0.8):
-    rows = [(i, shingle_set(t)) for i, t in rows if i is not None]
+def brute(rows, least=0.8, counts=True):
+    rows = [(i, shingle_set(t, counts)) for i, t in rows if i is not None]
     parent = {i: i for i, _ in rows}
 
     def root(i):
@@ -77,14 +83,51 @@ def test_families(spark, none):
             i += 1
     rows += [(7, "another text of the same id"), (5001, "another text of the same id"), (5002, "short"), (5003, "short"), (5004, "")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    want = brute(rows)
-    want[5001] = want[7]
     for weights in ("binary", "counts"):
+        want = brute(rows, counts=weights == "counts")
+        want[5001] = want[7]
         got = {r.doc_id: r.class_id for r in mh.classes(frame, weights=weights).collect()}
         assert sum(got[k] != want[k] for k in want) == 0
     assert mh.classes(none).count() == 0 and mh.keep_one(none).count() == 0
 
 
+def test_counts_weigh(spark):
+    """A line that is said once or four times: alike as sets, not when counted."""
+    line = " ".join(f"w{i}" for i in range(40))
+    frame = spark.createDataFrame([(1, line), (2, " ".join([line] * 4))], "doc_id long, text string")
+    for weights, same in (("binary", True), ("counts", False)):
+        got = {r.doc_id: r.class_id for r in mh.classes(frame, weights=weights).collect()}
+        assert (got[1] == got[2]) == same
+
+
+def test_rows_of_one_id_and_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (1, "another text of this id " * 3), (2, text), (3, "alone in the world today"), (None, "x"), (None, "x")]
+    names = ["gone", "nth", "_gone", "_nth", "class_id", "node", "key", "id"]
+    frame = spark.createDataFrame([(i, t, *names) for i, t in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = mh.keep_one(frame)
+    assert kept.columns == frame.columns
+    rows = kept.collect()
+    assert sorted((r.doc_id or 0, r.text) for r in rows) == sorted([(1, text), (1, "another text of this id " * 3), (3, "alone in the world today"), (0, "x"), (0, "x")])
+    assert all([r[n] for n in names] == names for r in rows)
+
+
+def test_text_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    frame = spark.createDataFrame([("a", text), ("b", text + " more"), ("c", "alone"), (None, "x")], "doc_id string, text string")
+    got = {r.doc_id: r.class_id for r in mh.classes(frame).collect()}
+    assert got["a"] == got["b"] in ("a", "b") and got["c"] == "c" and got[None] is None
+    assert mh.keep_one(frame).count() == 3
+
+
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(mh, "HOT", 3)
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 1), (3, 1)], "k long, o long")
+    right = spark.createDataFrame([(1, "x"), (2, "y"), (4, "z")], "k long, v string")
+    got = sorted((r.k, r.o, r.v) for r in mh._spread(left, right, "k", "o").collect())
+    assert got == sorted([(1, i, "x") for i in range(50)] + [(2, 1, "y")])
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 150), (300, 300)]
     got = {(r.a, r.b) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
