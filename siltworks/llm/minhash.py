@@ -12,15 +12,14 @@ Steps:
 1. Signatures of all texts; texts with the same words are one node, that of their least id.
 2. Band keys of `ROWS` coordinates, dealt by ranges of (key, following coordinates), so a bucket of any size is
    spread over tasks. Keys that one node alone has end there. A node is paired with the first node of its bucket
-   in the task and with the one before it, which share the most coordinates beyond the band. Pairs that a
-   short signature rules out by a wide margin are dropped, the rest checked exactly on their shingles.
-3. Each bucket's node with the most links is paired with all nodes of the bucket. This joins most of a family
-   of near copies cheaply.
+   in the task and with the one before it, which share the most coordinates beyond the band. By a short
+   signature, each node's closest pair is chosen, and checked exactly on the shingles.
+3. Each bucket's node with the most links is paired with all nodes of the bucket; again each node's closest pair
+   is checked. This joins most of a family of near copies cheaply.
 4. What is still apart is searched in full. Nodes are labelled with their components; in each bucket that
-   holds several, every node outside the largest is compared by short signature with all nodes of the bucket, in
-   blocks of bounded size dealt over tasks. The pairs that pass are checked exactly, first the closest of each two
-   components, then all others whose ends are still in different ones. So no link between nodes that share a
-   bucket is lost, wherever they stand in it.
+   holds several, every node outside the largest is compared with all nodes of the bucket, in blocks of bounded
+   size dealt over tasks: by short signature, and where that may be close, exactly, until two components have a
+   link. So no link between nodes that share a bucket is lost, wherever they stand in it.
 5. Classes are the connected components of the links.
 
 Joins on a node or bucket that very many rows share are dealt by a second column. Hashes of shingles have 64 bits.
@@ -56,8 +55,8 @@ WEIGHTS = "counts"
 #: four standard deviations.
 SHORT = 252
 MARGIN = 0.10
-#: Nodes on each side of a block, about, and pairs compared at once.
-BLOCK = 2048
+#: Bytes of shingle hashes on each side of a block, about, and pairs compared at once.
+BLOCK_BYTES = 8 << 20
 AT_ONCE = 1 << 15
 #: A key of a join with more rows than HOT, and than a SALTED-th of all, is dealt to several tasks.
 HOT, SALTED = 128, 50_000
@@ -286,29 +285,29 @@ def _labelled(frame: DataFrame, labels: DataFrame, node: str, label: str) -> Dat
     return frame.join(of, F.col(node) == F.col("_node"), "left").withColumn(label, F.coalesce("_label", node)).drop("_node", "_label")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs of different components."""
-    return _labelled(_labelled(pairs, labels, "a", "la"), labels, "b", "lb").where("la <> lb").drop("la", "lb")
-
-
-def _block_pairs(rows: DataFrame, shorts: DataFrame, labels: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(a, b, leads): the pairs of different components in one bucket whose short signatures may be close. Every node outside
-    the bucket's largest component meets all its nodes; the two sides are dealt by hash into blocks. The closest pair of
-    two components among those that are compared at once leads."""
-    labelled = _labelled(rows.select("key", "node"), labels, "node", "label")
-    sizes = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+def _block_links(rows: DataFrame, nodes: DataFrame, elements: DataFrame, labels: DataFrame, least: float, similarity: float, block: int = BLOCK_BYTES) -> DataFrame:
+    """Links (a, b) between different components of a bucket. Every node outside the bucket's largest component meets all its
+    nodes; the two sides are dealt by hash into blocks of about `block` bytes. Short signatures choose the pairs that are
+    checked; a pair is checked in the first of the buckets that it shares, and not once its components have a link here."""
+    own = nodes.select("node", "keys", "short").join(elements.select("node", "size", "s"), "node")
+    own = own.select("node", "size", F.struct("keys", "short", "s").alias("own"))
+    labelled = _labelled(rows.select("key", "node"), labels, "node", "label").join(elements.select("node", "size"), "node")
+    sizes = labelled.groupBy("key", "label").agg(F.sum("size").alias("n"))
     sizes = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("most"), F.sum("n").alias("n"), F.max("n").alias("top")).where("n > top")
     sizes = sizes.select("key", "most", F.ceil((F.col("n") - F.col("top")) / block).alias("outside"), F.ceil(F.col("n") / block).alias("all"))
-    several = _spread(labelled, sizes, "key", "node", rows).join(shorts, "node")
-    several = stored(several.withColumn("out", F.col("label") != F.col("most")).withColumn("h", F.xxhash64("node")), "bucket-nodes")
-    columns = ["key", "i", "j", "side", "node", "label", "out", "short"]
+    several = _spread(labelled, sizes, "key", "node", rows)
+    several = stored(several.withColumn("out", F.col("label") != F.col("most")).withColumn("h", F.xxhash64("node")).drop("size", "most"), "bucket-nodes")
+    columns = ["key", "i", "j", "side", "node", "label", "out"]
     asking = several.where("out").withColumn("i", F.expr("pmod(h, outside)")).withColumn("j", F.explode(F.expr("sequence(0L, all - 1)"))).withColumn("side", F.lit(0)).select(columns)
     asked = several.withColumn("j", F.expr("pmod(h, all)")).withColumn("i", F.explode(F.expr("sequence(0L, outside - 1)"))).withColumn("side", F.lit(1)).select(columns)
+    blocks = asking.unionByName(asked).join(own.select("node", "own.*"), "node").select(*columns, "keys", "short", "s")
 
     def compared(block: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Pairs of whole blocks."""
+        """Links of whole blocks."""
+        block = block.combine_chunks()
         key, i, j, side, node, label = (block.column(k).to_numpy() for k in range(6))
-        out, short = block.column(6).to_numpy(), _shorts(block.column(7))
+        out, short, sets = block.column(6).to_numpy(), _shorts(block.column(8)), block.column(9)
+        keys = block.column(7).combine_chunks().flatten().to_numpy().reshape(len(key), -1)
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         at = np.append(np.flatnonzero(new), len(key))
@@ -317,6 +316,7 @@ def _block_pairs(rows: DataFrame, shorts: DataFrame, labels: DataFrame, least: f
         left = np.flatnonzero(side == 0)
         n = (ends - first)[left]
         before = np.append(0, np.cumsum(n))
+        done, links = set(), []
         for start in range(0, int(before[-1]), AT_ONCE):
             pair = np.arange(start, min(start + AT_ONCE, int(before[-1])))
             which = np.searchsorted(before, pair, side="right") - 1
@@ -327,25 +327,27 @@ def _block_pairs(rows: DataFrame, shorts: DataFrame, labels: DataFrame, least: f
             same = _same(short[x], short[y])
             ok = same >= least
             x, y, same = x[ok], y[ok], same[ok]
-            if not len(x):
-                continue
-            la, lb = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
-            order = np.lexsort((-same, lb, la))
-            leads = np.ones(len(order), bool)
-            leads[1:] = (la[order][1:] != la[order][:-1]) | (lb[order][1:] != lb[order][:-1])
-            x, y = node[x[order]], node[y[order]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(leads)], names=["a", "b", "leads"])
+            shared = keys[x] == keys[y]
+            ok = keys[x, shared.argmax(axis=1)] == key[x]
+            x, y, same = x[ok], y[ok], same[ok]
+            order = np.argsort(-same, kind="stable")
+            for x, y in zip(x[order].tolist(), y[order].tolist()):
+                both = frozenset((label[x], label[y]))
+                if both not in done and similar(sets[x].as_py(), sets[y].as_py(), similarity):
+                    done.add(both)
+                    links.append((min(node[x], node[y]), max(node[x], node[y])))
+        yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = [batch.column(k).to_numpy() for k in range(3)]
+            at = [batch.column(k).to_numpy() for k in range(3)]
             # rows up to the start of the batch's last block belong to whole blocks
-            last = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
+            last = np.flatnonzero(np.any([k != k[-1] for k in at], axis=0))
             cut = int(last[-1]) + 1 if len(last) else 0
-            if waiting and not cut and any(waiting[-1].column(k)[-1].as_py() != keys[k][0] for k in range(3)):
+            if waiting and not cut and any(waiting[-1].column(k)[-1].as_py() != at[k][0] for k in range(3)):
                 yield from compared(pa.Table.from_batches(waiting))
                 waiting = []
             if cut:
@@ -355,25 +357,38 @@ def _block_pairs(rows: DataFrame, shorts: DataFrame, labels: DataFrame, least: f
         if waiting:
             yield from compared(pa.Table.from_batches(waiting))
 
-    blocks = asking.unionByName(asked).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    return blocks.mapInArrow(run, "a long, b long, leads boolean").groupBy("a", "b").agg(F.bool_or("leads").alias("leads"))
+    return blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(run, "a long, b long").distinct()
 
 
-def _close(pairs: DataFrame, shorts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose short signatures may be close."""
+def _closest(pairs: DataFrame, shorts: DataFrame, least: float) -> DataFrame:
+    """Of the pairs (a, b) whose short signatures may be close, those that are the closest of one of their nodes."""
     one = _spread(pairs, shorts.select(F.col("node").alias("a"), F.col("short").alias("x")), "a", "b")
-    two = one.join(shorts.select(F.col("node").alias("b"), F.col("short").alias("y")), "b").select("a", "b", "x", "y")
+    two = _spread(one, shorts.select(F.col("node").alias("b"), F.col("short").alias("y")), "b", "a", pairs).select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield batch.select([0, 1]).filter(pa.array(_same(_shorts(batch.column(2)), _shorts(batch.column(3))) >= least))
+                same = _same(_shorts(batch.column(2)), _shorts(batch.column(3)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same)], names=["a", "b", "same"]).filter(pa.array(same >= least))
+
+    close = two.mapInArrow(run, "a long, b long, same double")
+    ways = close.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other"), "same"), F.struct(F.col("b").alias("node"), F.col("a").alias("other"), "same"))).alias("w")).select("w.*")
+    best = ways.groupBy("node").agg(F.max_by("other", F.struct("same", -F.col("other"))).alias("other"))
+    return best.select(*_ordered("node", "other")).distinct()
+
 
-    return two.mapInArrow(run, "a long, b long")
+def similar(x: bytes, y: bytes, similarity: float) -> bool:
+    """Whether two sets of hashes, each sorted or not, are as similar as `similarity`."""
+    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    both = np.sort(np.concatenate([x, y]))
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= similarity * (len(x) + len(y) - shared) - 1e-9
 
 
 def _elements(docs: DataFrame, nodes: DataFrame, id: str, text: str, size: int, weights: str) -> DataFrame:
-    """(node, s): the sorted 64-bit hashes of the shingles of `nodes` (node), and of some documents more, which a sketch of the
+    """(node, size, s): the sorted 64-bit hashes of the shingles of `nodes` (node), and of some documents more, which a sketch of the
     nodes lets pass; they meet no pair. A shingle found again is an element of its own where they are counted."""
     spark = docs.sparkSession
     width = width_for(nodes.count())
@@ -395,9 +410,9 @@ def _elements(docs: DataFrame, nodes: DataFrame, id: str, text: str, size: int,
                 h, row = mix(np.repeat(h, times) + again.astype(np.uint64)), np.repeat(row, times)
                 order = np.lexsort((h, row))
                 own = np.split(h[order].astype("<u8"), np.searchsorted(row[order], np.arange(1, chunk.rows)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.rows), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.rows), pa.array([x.nbytes for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "size", "s"])
 
-    return _slim(docs, id, text).mapInArrow(run, "node long, s binary")
+    return _slim(docs, id, text).mapInArrow(run, "node long, size long, s binary")
 
 
 def _verified(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataFrame:
@@ -407,12 +422,7 @@ def _verified(pairs: DataFrame, elements: DataFrame, similarity: float) -> DataF
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                both = np.sort(np.concatenate([x, y]))
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            ok = [similar(x.as_py(), y.as_py(), similarity) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return two.mapInArrow(compare, "a long, b long").distinct()
@@ -426,20 +436,14 @@ def _links(docs: DataFrame, nodes: DataFrame, repeated: bool, id: str, text: str
     elements = _elements(docs, sharing, id, text, size, weights)
     elements = stored(elements.dropDuplicates(["node", "s"]) if repeated else elements, "elements")
     least = similarity - MARGIN
-    near = stored(_neighbour_pairs(buckets), "pairs")
-    tried = stored(_close(near, shorts, least), "pairs")
+    tried = stored(_closest(stored(_neighbour_pairs(buckets), "pairs"), shorts, least), "pairs")
     found = stored(_verified(tried, elements, similarity), "links")
     near = stored(_centre_pairs(buckets, found).join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = stored(_close(near, shorts, least), "pairs")
-    tried, found = tried.unionByName(more), found.unionByName(stored(_verified(more, elements, similarity), "links"))
-    labels = components(found)
-    left = stored(_block_pairs(buckets, shorts, labels, least).join(tried, ["a", "b"], "left_anti"), "pairs")
-    for now in ("leads", "NOT leads"):
-        some = stored(_apart(left.where(now).select("a", "b"), labels), "pairs")
-        if not some.isEmpty():
-            new = stored(_verified(some, elements, similarity), "links")
-            if not new.isEmpty():
-                labels = components(labels.unionByName(new))
+    more = stored(_closest(near, shorts, least), "pairs")
+    labels = components(found.unionByName(stored(_verified(more, elements, similarity), "links")))
+    new = stored(_block_links(buckets, nodes, elements, labels, least, similarity), "links")
+    if not new.isEmpty():
+        labels = components(labels.unionByName(new))
     return labels
 
 
