@@ -9,8 +9,10 @@ A word of more than `SHORT` bytes is merged alone with a heap over a linked list
 without blanks takes n log n steps.
 
 Defined cases: a null or empty text has no ids; a special token's string in a text is that token;
-each row is encoded alone; columns besides id and text are ignored; bytes that are no UTF-8 after
-decoding become U+FFFD.
+each row is encoded alone; columns besides id and text are ignored, and kept by `add_ids`; bytes that
+are no UTF-8 after decoding become U+FFFD. A vocabulary file that asks for more than plain byte-level BPE
+is refused. Learnt words are kept in two generations: where one is full it becomes the older, which words
+are taken over from, so words in use are never learnt again.
 """
 
 from __future__ import annotations
@@ -27,12 +29,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import arrow_batches, text_or_empty
+from .shared import arrow_batches, free_names, text_or_empty
 
 #: Words of at most so many bytes are merged in matrices.
 SHORT = 32
-#: Words that a task keeps with their ids.
-CACHE_WORDS = 150_000
+#: Words that a task keeps with their ids, in each of two generations.
+CACHE_WORDS = 200_000
 #: Vocabulary files are read whole by the driver and sent to each executor; a larger file is refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -65,6 +67,20 @@ def split_words(text: str) -> list[str]:
     return _EXACT.findall(text)
 
 
+def require_byte_level(spec: dict) -> None:
+    """Refuses a tokenizer file that asks for anything but byte-level BPE with this module's pattern."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    if spec.get("normalizer"):
+        wrong.append("normalizer")
+    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        wrong.append("pre_tokenizer")
+    if model.get("type", "BPE") != "BPE" or any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+        wrong.append("model type or added tokens")
+    if wrong:
+        raise ValueError(f"not plain byte-level BPE: {', '.join(wrong)}")
+
+
 def byte_letters() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies: itself where it is printable, else the next free one from 256."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -94,6 +110,7 @@ class Vocabulary:
 
     @classmethod
     def of(cls, spec: dict) -> Vocabulary:
+        require_byte_level(spec)
         letters = byte_letters()
         vocab = spec["model"]["vocab"]
         specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -117,6 +134,7 @@ class Encoder:
         self.v = vocabulary
         self.singles = np.array(vocabulary.byte_ids, np.int64)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.cache_words = cache_words
         self.special = re.compile("|".join(map(re.escape, sorted(vocabulary.specials, key=len, reverse=True)))) if vocabulary.specials else None
         size = 1 << 19
@@ -248,8 +266,11 @@ class Encoder:
             used = {w for words in group for w in words if isinstance(w, str)}
             new = used - self.cache.keys()
             if len(self.cache) + len(new) > self.cache_words:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
                 new = used
+            known = {w: self.older[w] for w in new if w in self.older}
+            self.cache.update(known)
+            new = new - known.keys()
             if new:
                 self._learn(list(new))
             get = self.cache.__getitem__
@@ -341,8 +362,10 @@ def decode_ids(encoded: DataFrame, vocab_path: str, id: str = "doc_id", ids: str
     return slim.mapInArrow(run, f"`{id}` {slim.schema[0].dataType.simpleString()}, text string")
 
 
-def add_ids(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """The documents, columns as they were, with the text that their ids decode to, and the ids in a last column."""
+def add_ids(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids", n_tokens: str = "n_tokens") -> DataFrame:
+    """The documents, columns as they were, and two columns more: the ids and their number. Every row's ids are decoded and
+    compared with its text; a difference raises. A null text stays null and has no ids. Where the table has a column of
+    the name `ids` or `n_tokens`, the new one's name gets underscores behind it."""
     arrow_batches(docs.sparkSession)
     shared = share(docs.sparkSession, vocab_path)
     names = docs.columns
@@ -354,13 +377,16 @@ def add_ids(docs: DataFrame, vocab_path: str, text: str = "text", ids: str = "id
         for batch in batches:
             for first in range(0, batch.num_rows, 100):
                 part = batch.slice(first, 100)
-                found = encoder.encode(part.column(at).to_pylist())
-                columns = part.columns
-                columns[at] = pa.array([decode(encoder.v, x) for x in found], pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, list_array(found)], names=[*part.schema.names, "ids"])
+                texts = part.column(at).to_pylist()
+                found = encoder.encode(texts)
+                for value, own in zip(texts, found):
+                    if decode(encoder.v, own) != (value or ""):
+                        raise ValueError(f"ids do not decode to their text: {value[:80]!r}")
+                yield pa.RecordBatch.from_arrays([*part.columns, list_array(found), pa.array([len(x) for x in found], pa.int64())], names=[*part.schema.names, "ids", "n_tokens"])
 
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    return coded.mapInArrow(run, f"{schema}, ids array<int>").toDF(*names, ids)
+    more = free_names(names, ids, n_tokens)
+    return coded.mapInArrow(run, f"{schema}, ids array<int>, n_tokens long").toDF(*names, *more)
 
 
 def round_trip(docs: DataFrame, vocab_path: str, id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,36 +1,28 @@
-"""Tables in the folder that all executors share, and the keys that bring results back to their rows."""
+"""The folder that all executors share, names that are free, and the keys that bring results back to their rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch; a batch of long texts stays within a worker's memory.
-ARROW_ROWS = 1000
-
+from siltworks.sources.work import fresh_path, remove, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="siltworks-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+__all__ = ["arrow_batches", "documents", "free_names", "fresh_path", "remove", "sha256_hex", "stored", "text_key", "text_or_empty"]
 
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Rows in an Arrow batch. Spark also cuts batches at spark.sql.execution.arrow.maxBytesPerBatch.
+ARROW_ROWS = 1000
 
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back: its lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def free_names(names: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores behind those that are taken; case does not tell names apart."""
+    taken = {n.lower() for n in names}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def arrow_batches(spark: SparkSession) -> None:

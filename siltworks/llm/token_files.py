@@ -17,8 +17,8 @@ next to each other; other columns are ignored; an empty table gives a folder wit
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import MAX_VOCABULARY_BYTES, byte_letters, split_words
+from .bpe import MAX_VOCABULARY_BYTES, byte_letters, require_byte_level, split_words
 from .shared import arrow_batches, text_key, text_or_empty
 
 CHUNK_BITS = 8
@@ -38,7 +38,8 @@ RANK_BITS = 512
 SEGMENT_IDS = 1 << 18
 #: The id after each document.
 END_ID = 0
-CACHE_WORDS = 300_000
+#: Words kept with their ids by a worker, in each of two generations: about 100 MB each at most.
+CACHE_WORDS = 400_000
 
 SEGMENT = "shard int, segment int, n_ids long, doc_ids array<{id}>, doc_ends array<int>, levels array<binary>, bitmaps array<binary>, ranks array<binary>"
 
@@ -89,32 +90,35 @@ def token_at(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], i: i
 # -- ids by the tokenizers library ---------------------------------------------------------------
 
 
-#: A blank between white space, or between white space and the end: there the words on both sides hang together.
-_UNSAFE = re.compile(r"\s (?=\s|\Z)")
-
-
 class _Kept(dict):
-    """What `make` gives for a key, kept for as long as fewer than `limit` are."""
+    """What `make` gives for a key. When `limit` keys are kept they become the older generation, which keys in use are
+    taken over from; the generation before is forgotten."""
 
     def __init__(self, make: Callable[[str], bytes], limit: int):
         super().__init__()
         self.make, self.limit = make, limit
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
 class LibraryEncoder:
-    """The library's ids of whole texts. Its model is asked once for each word that is not kept; words are cut by the
-    library's own pattern. A text is first cut before blanks, and the ids of what stands between are kept, too."""
+    """The library's ids of whole texts. Words are cut by `split_words`, the pattern that the file must ask for, and the
+    library's model is asked for each word that is not kept. A text with a special token goes through the library whole."""
 
     def __init__(self, spec: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        require_byte_level(json.loads(spec))
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
@@ -122,24 +126,17 @@ class LibraryEncoder:
         self.tokenize = self.library.model.tokenize
         self.letters = {b: c for c, b in byte_letters().items()}
         self.words = _Kept(self._word, CACHE_WORDS)
-        self.pieces = _Kept(lambda piece: self._split(" " + piece), CACHE_WORDS)
 
     def _word(self, word: str) -> bytes:
         return array("I", [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
-    def _split(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, split_words(text)))
-
     def encode(self, text: str | None) -> bytes:
         """The ids as little-endian 32-bit integers."""
         if not text:
             return b""
         if any(s in text for s in self.specials):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if _UNSAFE.search(text):
-            return self._split(text)
-        first, *rest = text.split(" ")
-        return self._split(first) + b"".join(map(self.pieces.__getitem__, rest))
+        return b"".join(map(self.words.__getitem__, split_words(text)))
 
 
 _encoders: dict[str, LibraryEncoder] = {}

@@ -61,3 +61,25 @@ def test_documents_as_the_library(spark, docs, rows, none, library):
     both = bpe.round_trip(docs, vocabulary_path())
     assert sorted((str(r.doc_id), r.ids_text) for r in both.collect()) == [(i, ",".join(map(str, x))) for i, x in want]
     assert bpe.encode(none, vocabulary_path()).count() == 0
+
+
+def test_other_tokenizers_are_refused():
+    import json
+
+    from siltworks.llm.queries import vocabulary_path
+
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.require_byte_level(spec)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"ignore_merges": True}}):
+        with pytest.raises(ValueError):
+            bpe.require_byte_level(spec | change)
+
+
+def test_add_ids_keeps_text_and_names(spark):
+    from siltworks.llm.queries import vocabulary_path
+
+    frame = spark.createDataFrame([(1, "one two", "x", 7), (2, None, "y", 8), (2, "", "z", 9)], "doc_id long, text string, ids string, N_TOKENS int")
+    out = bpe.add_ids(frame, vocabulary_path())
+    assert out.columns == [*frame.columns, "ids_", "n_tokens_"]
+    assert sorted(((r.doc_id, r.text, r["ids"], r["N_TOKENS"], len(r["ids_"]), r["n_tokens_"]) for r in out.collect()), key=str) == [(1, "one two", "x", 7, 2, 2), (2, "", "z", 9, 0, 0), (2, None, "y", 8, 0, 0)]

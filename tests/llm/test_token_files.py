@@ -33,7 +33,7 @@ def test_texts_as_the_library(library):
     with open(vocabulary_path(), encoding="utf-8") as f:
         encoder = tf.LibraryEncoder(f.read())
     for limit in (tf.CACHE_WORDS, 7):
-        encoder.words.limit = encoder.pieces.limit = limit
+        encoder.words.limit = limit
         for _ in range(3000):
             text = "".join(rng.choice(["a", "the", "é", "'s", ".", " ", " ", "\n", "\t", "9", "\u00a0", "\x1c", "<|endoftext|>" if rng.random() < 0.05 else "x"]) for _ in range(rng.randrange(14)))
             assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
