@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import _SPACE, signed, span_hashes, text_chunks
-from .shared import arrow_batches, fresh_path, stored, text_key, text_or_empty
+from .shared import arrow_batches, free_names, fresh_path, remove, stored, text_key, text_or_empty
 
 #: Keys found in so many documents are boilerplate.
 MIN_DOCS = 10
@@ -107,12 +107,25 @@ class LineIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
         self.settled: list[str] = []
+        self.written: list[str] = []
+        self.paths: list[str] = []
 
     def _write(self, run: DataFrame, kind: str) -> str:
         name = f"line_run_{kind}_{uuid.uuid4().hex}"
-        run.select("h1", "h2", "n").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", fresh_path(self.spark, name)).saveAsTable(name)
+        path = fresh_path(self.spark, name)
+        self.written.append(name)
+        self.paths.append(path)
+        run.select("h1", "h2", "n").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
         return name
 
+    def drop(self) -> None:
+        """Takes the runs out of the catalogue and removes their files."""
+        for name in self.written:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for path in self.paths:
+            remove(self.spark, path)
+        self.written, self.paths, self.levels, self.settled = [], [], [[]], []
+
     def _without_settled(self, keys: DataFrame) -> DataFrame:
         for name in self.settled:
             keys = keys.join(self.spark.table(name).select("h1", "h2"), ["h1", "h2"], "left_anti")
@@ -166,16 +179,20 @@ def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_d
     spark = docs.sparkSession
     lines = stored(line_table(docs, id, text, min_chars).withColumn("batch", F.pmod(F.xxhash64("k0", "k1"), F.lit(batches)).cast("int")), "lines", "batch")
     index = LineIndex(spark, min_docs, fanout)
-    for k in range(batches):
-        index.add(lines.where(F.col("batch") == k).select("h1", "h2"))
-    frequent = stored(index.frequent(), "frequent-lines")
+    try:
+        for k in range(batches):
+            index.add(lines.where(F.col("batch") == k).select("h1", "h2"))
+        frequent = stored(index.frequent(), "frequent-lines")
+    finally:
+        index.drop()
     hits = lines.join(frequent, ["h1", "h2"]).dropDuplicates(["k0", "k1", "h1", "h2"])
     return hits.groupBy("k0", "k1").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("dropped"))
 
 
-def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = 1, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """The documents, columns as they were, with the lines of frequent keys taken out of the text; then two columns more,
-    `_n_lines` before dropping and `_n_dropped`. Other lines stay, joined by a line feed. A null text with no dropped line stays null."""
+def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = 1, batches: int = BATCHES, fanout: int = FANOUT, counts: tuple[str, str] | None = ("_n_lines", "_n_dropped")) -> DataFrame:
+    """The documents, columns as they were, with the lines of frequent keys taken out of the text; then two columns more, the
+    lines before dropping and those dropped, named by `counts` (None: neither) with underscores behind where such a name
+    is taken. Other lines stay, joined by a line feed. A null text with no dropped line stays null."""
     dropped = dropped_lines(docs, id, text, min_docs, min_chars, batches, fanout)
     names = docs.columns
     left = docs.select([F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])
@@ -187,4 +204,8 @@ def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs
     split = F.split(value, "\n", -1)
     kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("dropped", i)), "\n")
     out = [F.when(F.col("dropped").isNotNull(), kept).otherwise(F.col(c)).alias(n) if c == at else F.col(c).alias(n) for n, c in zip(names, left.columns)]
-    return both.select(*out, (F.length(value) - F.length(F.replace(value, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("_n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("_n_dropped"))
+    if counts:
+        n_lines, n_dropped = free_names(names, *counts)
+        n = F.length(value) - F.length(F.replace(value, F.lit("\n"), F.lit(""))) + 1
+        out += [n.cast("long").alias(n_lines), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias(n_dropped)]
+    return both.select(*out)

@@ -30,3 +30,12 @@ def test_edges(spark, none):
     got = Counter((r.doc_id, r._n_lines, r._n_dropped, r.text or "") for r in drop_lines(docs, min_docs=2).collect())
     assert got == brute(rows, 2, 1)
     assert drop_lines(none).count() == 0
+
+
+def test_tables_are_dropped_and_names_kept(spark):
+    frame = spark.createDataFrame([(i, f"same line\nown {i}", "a", "b") for i in range(12)], "doc_id long, text string, _n_lines string, _n_dropped string")
+    out = drop_lines(frame)
+    assert out.columns == [*frame.columns, "_n_lines_", "_n_dropped_"]
+    assert drop_lines(frame, counts=None).columns == frame.columns
+    assert {(r.text, r["_n_lines"], r["_n_lines_"], r["_n_dropped_"]) for r in out.collect()} == {(f"own {i}", "a", 2, 1) for i in range(12)}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
