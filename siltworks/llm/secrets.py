@@ -2,10 +2,11 @@
 
 Base spans are found by three strong patterns: assignments of secrets, access identifiers, and long
 hexadecimal strings. Weak candidates (identifiers by name, mixed strings, endpoints) are reported
-only where a complementary part stands within `scope` code points in the same text. The link is an
-interval join: places are dealt to bins as wide as the scope, the parts of each bin are reduced to
-their first and last place, and a candidate looks at its own bin and the two beside it. So each
-candidate meets at most three rows for each role, however many parts a text has.
+only where a complementary part stands in the same text with at most `scope` code points between them.
+The link is an interval join: a part is dealt to every bin, as wide as the scope, that it covers; the
+parts of each bin are reduced to their first start and last end, and a candidate looks at the bins that
+it covers and two on each side. So a candidate meets a few rows for each role, however many parts a text
+has.
 
 Everything is DataFrame functions. Places are code points, ends exclusive. The text itself is never
 shuffled; a row with matches carries only lengths.
@@ -33,7 +34,7 @@ BASE = {
 }
 WEAK = {
     "identifier": (r"""(?i)(?:user(?:_?name)?|login|account|client_?id|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 1, 3),
-    "secret": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])(?=[a-z0-9+/_-]{0,200}[A-Z])(?=[A-Z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{20,}", 0, 20),
+    "secret": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{20,}", 0, 20),
     "endpoint": (r"(?:https?|ftp|ssh|postgres|mysql|redis)://[^\x20\x09-\x0D\"'<>]+|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9.])", 0, 7),
 }
 #: What a kind is a part of, and what a weak candidate needs near it.
@@ -81,18 +82,18 @@ def _map(values: dict[str, str | list[str]], key: Column) -> Column:
 
 
 def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """The weak candidates of `found` that have a complementary part within `scope` code points, start to start,
-    with the role and start of the nearest one among the first and last parts of each bin."""
-    bin_of = F.floor(F.col("start") / scope)
-    of_bins = found.groupBy("k0", "k1", _map(ROLE, F.col("kind")).alias("role"), bin_of.alias("bin")).agg(F.min("start").alias("first"), F.max("start").alias("last"))
-    weak = found.where(F.col("kind").isin(*WEAK)).withColumn("own_bin", bin_of)
-    asked = weak.select("*", F.explode(_map(NEEDS, F.col("kind"))).alias("role")).select("*", F.explode(F.array(F.col("own_bin") - 1, F.col("own_bin"), F.col("own_bin") + 1)).alias("bin"))
-    away = F.least(F.abs(F.col("first") - F.col("start")), F.abs(F.col("last") - F.col("start")))
+    """The weak candidates of `found` that have a complementary part with at most `scope` code points between, and `partner`,
+    the role of the nearest. A part in a bin that the candidate covers is less than a bin away. In a bin before, the
+    part that ends last is the nearest; in a bin behind, the one that starts first."""
+    low, high = F.floor(F.col("start") / scope), F.floor((F.greatest("start", F.col("end") - 1)) / scope)
+    parts = found.select("k0", "k1", _map(ROLE, F.col("kind")).alias("role"), "start", "end", F.explode(F.sequence(low, high)).alias("bin"))
+    of_bins = parts.groupBy("k0", "k1", "role", "bin").agg(F.min("start").alias("first"), F.max("end").alias("last"))
+    weak = found.where(F.col("kind").isin(*WEAK)).withColumn("low", low).withColumn("high", high)
+    asked = weak.select("*", F.explode(_map(NEEDS, F.col("kind"))).alias("role")).select("*", F.explode(F.sequence(F.col("low") - 2, F.col("high") + 2)).alias("bin"))
     near = asked.alias("a").join(of_bins.alias("b"), F.col("a.k0").eqNullSafe(F.col("b.k0")) & (F.col("a.k1") == F.col("b.k1")) & (F.col("a.role") == F.col("b.role")) & (F.col("a.bin") == F.col("b.bin")))
-    near = near.select("a.k0", "a.k1", "a.kind", "a.start", "a.end", "a.role", "b.first", "b.last").withColumn("away", away).where(F.col("away") <= scope)
-    partner = F.when(F.abs(F.col("first") - F.col("start")) == F.col("away"), F.col("first")).otherwise(F.col("last"))
-    best = F.min_by(F.struct(F.col("role").alias("role"), partner.alias("start")), F.struct("away", "role"))
-    return near.groupBy("k0", "k1", "kind", "start", "end").agg(best.alias("partner"))
+    away = F.when(F.col("a.bin") < F.col("low"), F.col("start") - F.col("last")).when(F.col("a.bin") > F.col("high"), F.col("first") - F.col("end")).otherwise(0)
+    near = near.select("a.k0", "a.k1", "a.kind", "a.start", "a.end", "a.role", away.alias("away")).where(F.col("away") <= scope)
+    return near.groupBy("k0", "k1", "kind", "start", "end").agg(F.min_by("role", F.struct("away", "role")).alias("partner"))
 
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:

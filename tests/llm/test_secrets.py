@@ -23,7 +23,7 @@ def brute(text):
     base = [x for x in found if x[3] in BASE]
     weak = [x for x in found if x[3] in WEAK and all(b[2] <= x[0] or b[0] >= x[2] for b in base)]
     parts = base + weak
-    near = [x for x in weak if any(ROLE[p[3]] in NEEDS[x[3]] and abs(p[0] - x[0]) <= SCOPE for p in parts)]
+    near = [x for x in weak if any(ROLE[p[3]] in NEEDS[x[3]] and max(p[0] - x[2], x[0] - p[2]) <= SCOPE for p in parts)]
     return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(base + near))
 
 
@@ -38,6 +38,16 @@ def test_documents_against_brute_force(spark, docs, rows, none):
     assert scan(none).count() == 0
 
 
+def test_long_parts(spark):
+    """A key whose first digit stands behind 200 characters, and a key after a URL longer than the scope."""
+    far, near = "https://" + "h" * 219, "aB" * 10 + "7" * 20
+    texts = ["login: bob " + "aB" * 101 + "7" * 20, f"{far} {near}", f"{near}{' ' * SCOPE}{far}", f"{near}{' ' * (SCOPE + 1)}{far}", " " * 199 + near + " " * SCOPE + far]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.s for r in scan(frame).select("doc_id", span_text(F.col("found")).alias("s")).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+    assert [len(got[i].split(",")) if got[i] else 0 for i in range(5)] == [2, 2, 2, 0, 2]
+
+
 def test_plan_has_no_user_function(docs):
     plan = scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
