@@ -2,9 +2,10 @@
 
 Prefix sums of the turns' tokens cut a conversation into windows at turns. The window of a turn is
 the stretch of `budget` (less what is repeated) in which the turn begins; a turn that crosses the end
-of its stretch gets a window of its own. So a window is over the budget only if one turn is. Each
-window begins with the system turn, then repeats the last few turns before it. Repeated turns are
-context: the loss mask covers the assistant texts of a window's own turns alone.
+of its stretch gets a window of its own. Each window begins with the system turn, then repeats the last
+few turns before it, as many as the budget has room for besides the system turn and its own turns. So a
+window is over the budget only if the system turn and one turn are, and then it repeats nothing else.
+Repeated turns are context: the loss mask covers the assistant texts of a window's own turns alone.
 
 Template: `<turn>ROLE\\nTEXT</turn>\\n` for own turns, `<again>ROLE\\nTEXT</turn>\\n` for repeated ones. In
 texts and roles `\\` becomes `\\b` and `<` becomes `\\l`, in roles a line feed becomes `\\n`; so no text can
@@ -65,17 +66,21 @@ def format_windows(conversations: DataFrame, conv_id: str = "conv_id", turn: str
     head = (F.col("i") == 1) & (F.col("role") == SYSTEM)
     turns = turns.withColumn("system", head).withColumn("cost", F.when(head, 0).otherwise(F.col("n")))
     kept = F.first(F.when(head, F.col("n")).otherwise(0)).over(by)
-    turns = turns.withColumn("stretch", F.greatest(F.lit(1), F.lit(budget - history_tokens) - kept))
+    turns = turns.withColumn("stretch", F.greatest(F.lit(1), F.lit(budget - history_tokens) - kept, F.floor((F.lit(budget) - kept) / 2)))
     turns = turns.withColumn("upto", F.sum("cost").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("from", F.col("upto") - F.col("cost"))
     place = F.floor(F.col("from") / F.col("stretch"))
     crosses = F.floor((F.greatest(F.col("upto"), F.col("from") + 1) - 1) / F.col("stretch")) != place
     turns = turns.withColumn("span", 2 * place + crosses.cast("int"))
+    turns = turns.withColumn("span", F.when(head, F.coalesce(F.lead("span").over(by), "span")).otherwise(F.col("span")))
     turns = turns.withColumn("begins", F.coalesce(F.col("span") != F.lag("span").over(by), F.lit(True)))
     turns = turns.withColumn("window", F.sum(F.col("begins").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("c").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     turns = turns.withColumn("windows", F.max("window").over(whole))
+    # what a window has room for besides the system turn and its own turns
+    turns = turns.withColumn("room", F.lit(budget) - kept - F.sum("cost").over(Window.partitionBy("c", "window")))
     # the windows in which a turn stands: its own; those that begin soon after it; for the system turn, all
-    later = [F.when(~F.col("system") & F.lead("begins", h).over(by) & (F.lead("from", h).over(by) - F.col("from") <= history_tokens), F.lead("window", h).over(by)) for h in range(1, history_turns + 1)]
+    away = lambda h: F.lead("from", h).over(by) - F.col("from")
+    later = [F.when(~F.col("system") & F.lead("begins", h).over(by) & (away(h) <= F.least(F.lit(history_tokens), F.lead("room", h).over(by))), F.lead("window", h).over(by)) for h in range(1, history_turns + 1)]
     turns = turns.withColumn("again", F.array_compact(F.array(*later)) if later else F.expr("cast(array() as array<bigint>)"))
     places = F.when(F.col("system"), F.sequence(F.col("window"), F.col("windows"))).otherwise(F.concat(F.array("window"), "again"))
     rows = turns.select("c", "i", "role", "text", "n", F.posexplode(places).alias("at", "window"))
