@@ -34,7 +34,7 @@ SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(k.n_removed,
 
 def _rule(r) -> str:
     base = f" * {r.denominator}" if r.denominator else ""
-    parts = ([f"{r.numerator} >= {r.least}{base}"] if r.least is not None else []) + ([f"{r.numerator} <= {r.most}{base}"] if r.most is not None else [])
+    parts = ([f"{r.numerator} >= {r.least}e0{base}"] if r.least is not None else []) + ([f"{r.numerator} <= {r.most}e0{base}"] if r.most is not None else [])
     return " AND ".join(parts)
 
 

@@ -7,8 +7,10 @@ scan with its projection is the whole job: no shuffle and no user function.
 Words are runs of characters other than blank and 0x09-0x0D; lines are cut at line feeds.
 
 Defined cases: a null or empty text has no words, all its counts are 0, and it fails the base rule;
-each row is judged alone, so ties and repeated rows do not matter; other columns are kept by
-`filter_documents` and ignored by `measure`. Repeated windows are found by 64-bit hashes of their
+each row is judged alone, so ties and repeated rows do not matter; other columns are kept, and a column
+of the name `into` is replaced by `measure` and `judge`, kept by `filter_documents`. The stop words are
+those of four languages: prose in another language fails the rule `stop_words`, so give such a corpus
+a table of its own. Repeated windows are found by 64-bit hashes of their
 words within one text.
 """
 
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty
+from .shared import free_names, text_or_empty
 
 #: Words of a window that counts as repeated when it is found again in the text.
 WINDOW = 8
@@ -58,7 +60,7 @@ RULES = (
     Rule("words", "n_words", least=20),
     Rule("mean_word_length", "word_chars", "n_words", least=2.0, most=20.0),
     Rule("symbols_per_word", "n_symbols", "n_words", most=0.3),
-    Rule("stop_words", "n_stop_words", least=2),
+    Rule("stop_words", "n_stop_words", "n_words", least=0.02),
     Rule("duplicate_lines", "n_dup_lines", "n_lines", most=0.5),
     Rule("alphabetic_words", "n_letter_words", "n_words", least=0.5),
 )
@@ -133,5 +135,13 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
 
 
 def filter_documents(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents that the base rule and all rules keep, with their columns as they were."""
-    return judge(docs, text, rules).where("_quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that the base rule and all rules keep, with their columns as they were.
+
+    The verdict stands in an array of one, which `explode` opens: a filter is not pushed through it, so that no
+    measure is computed again in the filter.
+    """
+    (into,) = free_names(docs.columns, "_quality")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    judged = judge(docs, text, rules, into).toDF(*names, "verdict")
+    opened = judged.select(*names, F.explode(F.array("verdict.kept")).alias("kept"))
+    return opened.where("kept").select(*names).toDF(*docs.columns)

@@ -52,3 +52,16 @@ def test_very_long_clean_text(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     q = judge(docs).first()._quality
     assert (q.n_words, q.kept, q.failed_rules) == (1_020_000, True, [])
+
+
+def test_clashing_name_is_kept(spark):
+    text = " ".join(f"the word{i} of" for i in range(30))
+    docs = spark.createDataFrame([(1, text, "own"), (2, "junk", "own")], "doc_id long, text string, _quality string")
+    kept = filter_documents(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, text, "own")]
+
+
+def test_stop_words_are_a_ratio(spark):
+    text = "the of " + " ".join(f"word{i}" for i in range(400))
+    q = judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()._quality
+    assert q.failed_rules == ["stop_words"]
