@@ -2,7 +2,8 @@
 
 Quality rules reject junk; lines that many documents share are taken out; of each group of near copies the
 document with the smallest id stays; passages of benchmark items are cut out, and documents that are mostly
-such passages dropped; what is left is encoded, and its ids are checked to decode to the text.
+such passages dropped; what is left is encoded, and its ids are checked to decode to the text. A stage's table is
+removed when the next stage has been written.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siltworks.llm import bpe, decontaminate, line_dedup, minhash, quality
 from siltworks.llm.queries import vocabulary_path
-from siltworks.llm.shared import fresh_path
+from siltworks.llm.shared import fresh_path, remove
 
 
 def _recounted(docs: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def reject_junk(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents keep their rows, also where no line is left."""
-    return _recounted(line_dedup.drop_lines(docs).drop("_n_lines", "_n_dropped"))
+    return _recounted(line_dedup.drop_lines(docs, counts=None))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,8 @@ def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.add_ids(docs, vocabulary_path()).withColumn("n_tokens", F.size("ids").cast("long"))
+    """Adds `ids` and `n_tokens`; ids that do not decode to their text raise."""
+    return bpe.add_ids(docs, vocabulary_path())
 
 
 STAGES = [
@@ -56,8 +58,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         path = fresh_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs
