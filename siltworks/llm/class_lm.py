@@ -1,11 +1,16 @@
 """Brown class-based bigram scoring: P(w | previous) = P(class(w) | class(previous)) * P(w | class(w)).
 
-All training documents are counted. Units to be clustered are the `n_units` most frequent words, each
-alone, and all other words by a hash of their last letters in `n_endings` groups, so every word
-belongs to a unit. Unit bigrams are counted over the whole corpus by the executors; their table has at
-most (n_units + n_endings + 2)**2 cells, a bound of the model, not of the data. The exchange algorithm
-runs over that table on the driver: units move, one after the other, to the class that raises the
-likelihood of the class bigrams most, until few move.
+All training documents are counted. The exchange has two steps:
+
+1. Units are the `n_units` most frequent words, each alone, and all other words by a hash of their last letters in
+   `n_endings` groups. Unit bigrams are counted over the whole corpus by the executors; their table has at most
+   (n_units + n_endings + 1)**2 cells. Units move, one after the other, to the class that raises the likelihood of the
+   class bigrams most, until few move.
+2. Every other word among the `n_known` most frequent leaves its ending's group: Spark counts the classes before and
+   behind each, over the whole corpus, and each word moves, in tasks, to its own best class by the same gain against
+   the table of class bigrams. Class bigrams are then counted again.
+
+Words beyond `n_known`, and unknown ones, keep their ending's class; README gives their share of the tokens.
 
 Emission: P(w | c) = (count(w) + 1) / (N_c + V_c + 1), with one more place for all words of the class that
 training lacks. Transition: (n(a, b) + k * P(b)) / (n(a) + k), P(b) = (n(b) + 1) / (n + classes).
@@ -25,7 +30,7 @@ empty table gives an empty result; without training documents every word is unkn
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +128,8 @@ class Lookup:
     counts: np.ndarray
     #: Unit of each, or -1 for its ending's.
     units: np.ndarray
+    #: Class of each, or -1 while it is its unit's.
+    classes: np.ndarray
 
     def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Index of each word, or -1."""
@@ -231,19 +238,141 @@ def exchange(table: np.ndarray, n_classes: int = N_CLASSES, sweeps: int = SWEEPS
     return classes
 
 
+def _classes(t: Tokens, known: np.ndarray, lookup: Lookup, of_endings: np.ndarray) -> np.ndarray:
+    """Class of each token: 0 for the end, its own for a known word, its ending's for another."""
+    c = of_endings[t.ending]
+    some = known >= 0
+    c[some] = lookup.classes[known[some]]
+    c[t.end] = 0
+    return c
+
+
+def _shifted(c: np.ndarray) -> np.ndarray:
+    """What stands before each token; texts end with an end, which also stands before their first token."""
+    before = np.empty_like(c)
+    before[1:] = c[:-1]
+    before[:1] = 0
+    return before
+
+
+def word_contexts(docs: DataFrame, shared, of_endings: np.ndarray, text: str, n_classes: int) -> DataFrame:
+    """(at, n): for the words of the lookup that are no units, how often each class stands before one (column 0..), behind it
+    (n_classes..), and the word itself before it (2 * n_classes); at = word * (2 * n_classes + 1) + column."""
+    columns = 2 * n_classes + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+        held = 0
+
+        def out():
+            at, n = np.unique(np.concatenate(waiting), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["at", "n"])
+
+        for batch in batches:
+            for chunk in text_chunks(batch.column(0)):
+                t = Tokens(chunk, len(of_endings))
+                at = shared.value.find(t.h1, t.h2)
+                c = _classes(t, at, shared.value, of_endings)
+                own = at >= 0
+                own[own] = shared.value.units[at[own]] < 0
+                own[t.end] = False
+                some = np.flatnonzero(own)  # never a text's last token, which is an end
+                word = at[some] * columns
+                again = some[(some > 0) & (at[some] == at[some - 1]) & own[some - 1]]
+                waiting += [word + _shifted(c)[some], word + n_classes + c[some + 1], at[again] * columns + 2 * n_classes]
+                held += 2 * len(some)
+                if held > 2_000_000:
+                    yield out()
+                    waiting, held = [], 0
+        if held:
+            yield out()
+
+    return docs.select(text_or_empty(text).alias("t")).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+
+
+def best_classes(into: np.ndarray, out: np.ndarray, self_: np.ndarray, own: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """The best class of each word, all others staying: `into` and `out` (words x classes) count the classes before and behind
+    it, `self_` itself before it, `own` is its class now, and `joint` the class bigrams."""
+    f = lambda x: x * np.log(np.maximum(x, 1e-300))
+    best = own.copy()
+    left, right = joint.sum(1), joint.sum(0)
+    for w in range(len(own)):
+        a, i, o, s = own[w], into[w].astype(float), out[w].astype(float), float(self_[w])
+        o_all, i_all = o.sum(), i.sum()
+        o[a] -= s
+        i[a] -= s
+        base = joint.copy()
+        base[a] -= o
+        base[:, a] -= i
+        base[a, a] -= s
+        l, r = left.copy(), right.copy()
+        l[a] -= o_all
+        r[a] -= i_all
+        # only classes that the word meets change their cells
+        after, before = np.flatnonzero(o), np.flatnonzero(i)
+        rows = (f(base[:, after] + o[after]) - f(base[:, after])).sum(1)
+        columns = (f(base[before] + i[before, None]) - f(base[before])).sum(0)
+        d = np.diag(base)
+        corner = f(d + o + i + s) - f(d + o) - f(d + i) + f(d)
+        gain = rows + columns + corner - (f(l + o_all) - f(l)) - (f(r + i_all) - f(r))
+        gain[0] = -np.inf
+        b = int(np.argmax(gain))
+        if gain[b] > gain[a] + 1e-9:
+            best[w] = b
+    return best
+
+
+def exchange_words(contexts: DataFrame, lookup: Lookup, joint: np.ndarray, n_classes: int) -> np.ndarray:
+    """The classes of the lookup's words after each that is no unit has moved to its own best class."""
+    columns = 2 * n_classes + 1
+    shared = contexts.sparkSession.sparkContext.broadcast((lookup.classes, joint))
+
+    def move(part: pa.Table) -> pa.Table:
+        at, n = part.column("at").to_numpy(), part.column("n").to_numpy()
+        words, row = np.unique(at // columns, return_inverse=True)
+        table = np.zeros((len(words), columns))
+        table[row, at % columns] = n
+        classes, bigrams = shared.value
+        best = best_classes(table[:, :n_classes], table[:, n_classes : 2 * n_classes], table[:, -1], classes[words], bigrams)
+        return pa.table({"word": words, "class": best.astype(np.int32)})
+
+    moved = contexts.groupBy(F.floor(F.col("at") / (columns * 500)).alias("part")).applyInArrow(lambda part: move(part), "word long, class int").toArrow()
+    classes = lookup.classes.copy()
+    classes[moved.column("word").to_numpy()] = moved.column("class").to_numpy()
+    return classes
+
+
+def class_bigrams(docs: DataFrame, shared, of_endings: np.ndarray, text: str, n_classes: int) -> np.ndarray:
+    """The table of class bigrams over all of `docs`, summed by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_classes * n_classes, np.int64)
+        for batch in batches:
+            for chunk in text_chunks(batch.column(0)):
+                t = Tokens(chunk, len(of_endings))
+                c = _classes(t, shared.value.find(t.h1, t.h2), shared.value, of_endings)
+                total += np.bincount(_shifted(c) * n_classes + c, minlength=len(total))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["pair", "n"])
+
+    table = np.zeros(n_classes * n_classes)
+    sums = docs.select(text_or_empty(text).alias("t")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table[sums.column("pair").to_numpy()] = sums.column("n").to_numpy()
+    return table.reshape(n_classes, n_classes)
+
+
 @dataclass
 class Model:
-    """What scoring needs: frequent words, the class of each unit, and log10 tables."""
+    """What scoring needs: frequent words with their classes, the class of each ending, and log10 tables."""
 
     lookup: Lookup
-    classes: np.ndarray
+    of_endings: np.ndarray
     transition: np.ndarray
     #: log10 of the denominator of emissions in each class.
     emission_base: np.ndarray
-    n_units: int
-    n_endings: int
     train_tokens: int
     vocabulary: int
+    #: Tokens of the words that have a class of their own, the ends included.
+    own_tokens: int
 
 
 def train(counts: DataFrame, docs: DataFrame, text: str = "text", n_units: int = N_UNITS, n_endings: int = N_ENDINGS, n_classes: int = N_CLASSES, n_known: int = N_KNOWN) -> Model:
@@ -265,26 +394,35 @@ def train(counts: DataFrame, docs: DataFrame, text: str = "text", n_units: int =
     units = np.full(len(h1), -1, np.int64)
     units[:n_units] = 1 + np.arange(min(n_units, len(h1)))
     order = np.lexsort((h2, h1))
-    lookup = Lookup(h1[order], h2[order], top.column("c").to_numpy()[order], units[order])
-    shared = spark.sparkContext.broadcast(lookup)
-    table = unit_bigrams(docs, shared, text, n_units, n_endings)
-    classes = exchange(table, n_classes)
-    member = np.zeros((len(classes), n_classes))
-    member[np.arange(len(classes)), classes] = 1
-    joint = member.T @ table @ member
+    lookup = Lookup(h1[order], h2[order], top.column("c").to_numpy()[order], units[order], np.full(len(h1), -1, np.int64))
+    table = unit_bigrams(docs, spark.sparkContext.broadcast(lookup), text, n_units, n_endings)
+    of_units = exchange(table, n_classes)
+    of_endings = of_units[1 + n_units :].copy()
+    ending = top.column("ending").to_numpy()[order]
+    lookup.classes = np.where(lookup.units >= 0, of_units[lookup.units], of_endings[ending])
+    if (lookup.units < 0).any():
+        member = np.zeros((len(of_units), n_classes))
+        member[np.arange(len(of_units)), of_units] = 1
+        contexts = word_contexts(docs, spark.sparkContext.broadcast(lookup), of_endings, text, n_classes)
+        lookup = replace(lookup, classes=exchange_words(contexts, lookup, member.T @ table @ member, n_classes))
+    joint = class_bigrams(docs, spark.sparkContext.broadcast(lookup), of_endings, text, n_classes)
     unigram = (joint.sum(0) + 1) / (joint.sum() + n_classes)
     transition = np.log10((joint + SMOOTHING * unigram[None, :]) / (joint.sum(1, keepdims=True) + SMOOTHING))
-    # words of each class: frequent ones by their unit, all others by their ending
-    words = counts.where(~end).groupBy("ending").agg(F.count(F.lit(1)).alias("v")).collect()
-    distinct = np.zeros(len(classes))
-    for r in words:
-        distinct[1 + n_units + r.ending] = r.v
-    for k, ending in enumerate(top.column("ending").to_pylist()[:n_units]):
-        distinct[1 + n_units + ending] -= 1
-        distinct[1 + k] = 1
+    # words of each class: known ones by their own, all others by their ending
+    distinct = np.bincount(lookup.classes, minlength=n_classes).astype(float)
+    others = np.zeros(n_endings)
+    for r in counts.where(~end).groupBy("ending").agg(F.count(F.lit(1)).alias("v")).collect():
+        others[r.ending] = r.v
+    others -= np.bincount(ending, minlength=n_endings)
+    np.add.at(distinct, of_endings, others)
     distinct[0] = 1 if total.n else 0
-    in_class = joint.sum(0) + member.T @ distinct + 1
-    return Model(lookup, classes, transition, np.log10(in_class), n_units, n_endings, int(total.n), int(total.v))
+    return Model(lookup, of_endings, transition, np.log10(joint.sum(0) + distinct + 1), int(total.n), int(total.v), int(lookup.counts.sum()) + int(joint[:, 0].sum()))
+
+
+def perplexity(scored: DataFrame) -> DataFrame:
+    """(held_out, documents, tokens, perplexity) of the rows of `fit_and_score`: 10 to the mean of -log10 P of a token."""
+    sums = scored.groupBy("held_out").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.sum("score").alias("s"))
+    return sums.select("held_out", "documents", "tokens", F.pow(F.lit(10.0), -F.col("s") / F.col("tokens")).alias("perplexity"))
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -301,13 +439,10 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id: str = "doc_id",
         row_key = TaskContext.get().partitionId() << 36
         for batch in batches:
             for chunk in text_chunks(batch.column(1)):
-                t = Tokens(chunk, m.n_endings)
+                t = Tokens(chunk, len(m.of_endings))
                 at = m.lookup.find(t.h1, t.h2)
-                unit = _units(t, at, m.lookup, m.n_units)
-                c = m.classes[unit]
-                before = np.empty_like(c)
-                before[1:] = c[:-1]
-                before[0] = 0
+                c = _classes(t, at, m.lookup, m.of_endings)
+                before = _shifted(c)
                 c_of = np.where(at >= 0, m.lookup.counts[at] if len(m.lookup.counts) else 0, 0)
                 c_of[t.end] = n_ends
                 common = at >= 0
