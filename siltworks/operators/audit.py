@@ -149,6 +149,12 @@ def combined(records: DataFrame, batch: Column) -> DataFrame:
     return out.select("batch_id", F.lit("INGEST").alias("decision"), F.size("rs").cast("long").alias("n_runs"), F.array_join(F.flatten(F.col("rs.names")), ",").alias("step_names"), "duration_seconds")
 
 
+def append(records: DataFrame, path: str) -> None:
+    """Appends run records to the audit log under `path`, a JSON line for each run. Each call adds files of its own, so runs that
+    are written at once do not meet."""
+    records.write.mode("append").json(path)
+
+
 def runs_per_day(runs: DataFrame) -> DataFrame:
     return runs.groupBy(F.to_date("started_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 

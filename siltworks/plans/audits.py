@@ -20,11 +20,22 @@ def _records(spark, sf_dir):
 def _json(spark, sf_dir):
     """Records written as JSON lines and read back."""
     path = fresh_path(spark, "audit-json")
-    _records(spark, sf_dir).write.json(path)
+    audit.append(_records(spark, sf_dir), path)
     schema = "run_id string, source_file string, decision string, execution_mode string, final_status string, started_at timestamp_ntz, duration_seconds double, steps array<struct<step_order: bigint, step_name: string, status: string, started_at: timestamp_ntz, duration_seconds: double>>"
     return spark.read.schema(schema).json(path)
 
 
+def audit_append(spark, sf_dir):
+    """Runs of each decision appended one after the other; the log's lines, and whether each is one run's JSON."""
+    path = fresh_path(spark, "audit-log")
+    records = stored(_records(spark, sf_dir), "records")
+    for decision in ("INGEST", "QUARANTINE", "REJECT"):
+        audit.append(records.where(F.col("decision") == decision), path)
+    lines = spark.read.text(path)
+    of_line = F.get_json_object("value", "$.decision")
+    return lines.groupBy(of_line.alias("decision")).agg(F.count(F.lit(1)).alias("lines"), F.count_distinct(F.get_json_object("value", "$.run_id")).alias("runs"))
+
+
 def audit_runs_query(spark, sf_dir):
     return audit.run_rows(_json(spark, sf_dir)).select("run_id", "source_file", "decision", "execution_mode", "final_status", F.round("duration_seconds", 2).alias("duration_seconds"))
 
@@ -175,6 +186,7 @@ _COUNT = lambda t: f"(SELECT count(*) FROM {t})"
 
 ORACLES = {
     "audit_runs": f"WITH {BOTH} SELECT run_id, source_file, decision, execution_mode, final_status, round(duration_seconds, 2) AS duration_seconds FROM audit_runs",
+    "audit_append": f"WITH {AUDIT_RUNS} SELECT decision, count(*) AS lines, count(DISTINCT run_id) AS runs FROM audit_runs WHERE decision IN ('INGEST', 'QUARANTINE', 'REJECT') GROUP BY 1",
     "audit_steps": f"WITH {BOTH} SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY step_order) AS step_order, step_name, status, duration_seconds FROM audit_steps",
     "audit_structured": f"WITH {_STRUCTURED} SELECT run_id, execution_mode, count(*) AS n_steps FROM own JOIN own_steps USING (run_id) GROUP BY 1, 2",
     "audit_normalize": f"WITH {AUDIT_RUNS} SELECT decision, count(*) AS n, count(*) FILTER (WHERE right(run_id, 1) <> '7') AS started, CAST(0 AS BIGINT) AS errors, round(sum(duration_seconds), 2) AS duration FROM audit_runs GROUP BY 1",
@@ -201,7 +213,7 @@ ORACLES = {
 QUERIES = {
     f.__name__.removesuffix("_query"): (lambda spark, sf_dir, f=f: text_dates(f(spark, sf_dir)))
     for f in (
-        audit_runs_query, audit_steps_query, audit_structured, audit_normalize, obs_runs, obs_steps, obs_step_status, obs_measures, audit_summary, audit_find, audit_explain, audit_combined, obs_runs_per_day, obs_step_matrix,
+        audit_append, audit_runs_query, audit_steps_query, audit_structured, audit_normalize, obs_runs, obs_steps, obs_step_status, obs_measures, audit_summary, audit_find, audit_explain, audit_combined, obs_runs_per_day, obs_step_matrix,
         load_new_runs, load_new_steps, load_align, load_twice, load_full, gold_manifest, gold_load_pending, bronze_rows_by_file,
     )
 }

@@ -165,7 +165,7 @@ UNION ALL SELECT source_file, 'not_negative', 'unit_price', count(*) FILTER (WHE
 UNION ALL SELECT source_file, 'not_blank', 'product', count(*) FILTER (WHERE coalesce(trim(product), '') = '') FROM dirty_sales GROUP BY 1) WHERE n > 0),
 graded AS (SELECT *, CASE WHEN issue = 'duplicate' OR (issue = 'null' AND "column" = 'status') THEN 'WARNING' ELSE 'BLOCKING' END AS severity FROM found),
 errors AS (SELECT source_file, CAST((count(*) FILTER (WHERE quantity < 1) > 0)::INT + (count(*) FILTER (WHERE unit_price < 0) > 0)::INT AS BIGINT) AS errors FROM dirty_sales GROUP BY 1),
-rules AS (SELECT e.source_file, CASE WHEN errors > 0 THEN 'CONTRACT_VIOLATION' WHEN count(*) FILTER (WHERE severity = 'BLOCKING') > 0 THEN 'QUALITY_ISSUES' WHEN count(severity) > 0 THEN 'PASSED_WITH_WARNINGS' ELSE 'PASSED' END AS rule
+rules AS (SELECT e.source_file, CASE WHEN errors > 0 THEN 'CONTRACT_VIOLATION' WHEN count(*) FILTER (WHERE severity = 'BLOCKING') > 0 THEN 'QUALITY_ISSUES' WHEN count(severity) > 0 THEN 'PASSED_WITH_WARNINGS' ELSE 'ALL_CHECKS_PASSED' END AS rule
   FROM errors e LEFT JOIN graded g ON g.source_file = e.source_file GROUP BY e.source_file, errors),
 decisions AS (SELECT source_file, CASE rule WHEN 'CONTRACT_VIOLATION' THEN 'REJECT' WHEN 'QUALITY_ISSUES' THEN 'QUARANTINE' ELSE 'INGEST' END AS decision, rule FROM rules)"""
 _RULES = {("quantity", "min"): "quantity < 1", ("quantity", "max"): "quantity > 40", ("status", "null"): "status IS NULL", ("unit_price", "min"): "unit_price < 0", ("tax_rate", "max"): "tax_rate > 1"}

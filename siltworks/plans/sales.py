@@ -216,7 +216,7 @@ def _months(spark, sf_dir):
 
 
 def _broken(spark, sf_dir):
-    return an.breakdown(silver(spark, sf_dir), F.col("line_amount"), DIMENSIONS, CANCELLED)
+    return stored(an.breakdown(silver(spark, sf_dir), F.col("line_amount"), DIMENSIONS, CANCELLED), "broken")
 
 
 def an_overview(spark, sf_dir):
@@ -263,12 +263,12 @@ MEASURES = ["quantity", "unit_price", "line_amount"]
 
 
 def an_distribution(spark, sf_dir):
-    return an.distribution(silver(spark, sf_dir).withColumn("line_amount", F.round("line_amount", 2)), MEASURES)
+    return an.distribution(stored(silver(spark, sf_dir).withColumn("line_amount", F.round("line_amount", 2)).select(*MEASURES), "silver"), MEASURES)
 
 
 def an_outliers(spark, sf_dir):
     s = stored(silver(spark, sf_dir).withColumn("line_amount", F.round("line_amount", 2)).select(*MEASURES), "silver")
-    return an.outliers(s, an.distribution(s, MEASURES), MEASURES)
+    return an.outliers(s, an.quartiles(s, MEASURES), MEASURES)
 
 
 def an_largest(spark, sf_dir):
@@ -276,11 +276,11 @@ def an_largest(spark, sf_dir):
 
 
 def an_mean_by_dim(spark, sf_dir):
-    return an.mean_by(silver(spark, sf_dir), "unit_price", F.col("product"))
+    return an.mean_by(stored(silver(spark, sf_dir).select("product", "unit_price"), "silver"), "unit_price", F.col("product"))
 
 
 def an_mean_by_month(spark, sf_dir):
-    return an.mean_by(silver(spark, sf_dir), "unit_price", F.trunc(F.to_date("order_date"), "month"))
+    return an.mean_by(stored(silver(spark, sf_dir).select("order_date", "unit_price"), "silver"), "unit_price", F.trunc(F.to_date("order_date"), "month"))
 
 
 def an_extremes(spark, sf_dir):
@@ -290,7 +290,7 @@ def an_extremes(spark, sf_dir):
 def an_findings(spark, sf_dir):
     s = stored(silver(spark, sf_dir).withColumn("line_amount", F.round("line_amount", 2)), "silver")
     months = stored(an.monthly(s, F.col("line_amount"), "order_date", CANCELLED), "months")
-    broken = an.breakdown(s, F.col("line_amount"), DIMENSIONS, CANCELLED)
+    broken = stored(an.breakdown(s, F.col("line_amount"), DIMENSIONS, CANCELLED), "broken")
     spread = stored(an.distribution(s, MEASURES), "spread")
     return an.findings(months, broken, spread, an.outliers(s, spread, MEASURES))
 
@@ -303,9 +303,13 @@ def claims_unverified(spark, sf_dir):
     return an.unverified(cited, stored(figures, "figures"), ["doc_id"])
 
 
+#: The query's key; a real one comes from a secret store.
+PSEUDONYM_KEY = "key of the example"
+
+
 def pseudonymize(spark, sf_dir):
     rows = sales_lines(spark, sf_dir).select(F.concat(F.lit("c"), F.col("customer_id").cast("string"), F.lit("@shop")).alias("customer"), "quantity")
-    return an.pseudonyms(rows, "customer").groupBy("customer").agg(F.sum("quantity").alias("quantity"))
+    return an.pseudonyms(rows, "customer", PSEUDONYM_KEY).groupBy("customer").agg(F.sum("quantity").alias("quantity"))
 
 
 _MONTHS_SQL = f"""{SILVER}, cover AS (SELECT min(CAST(order_date AS DATE)) AS first_day, max(CAST(order_date AS DATE)) AS last_day FROM silver),
@@ -390,7 +394,7 @@ UNION ALL SELECT 4, 'deduplicate_rows', b.n, c.n FROM b, c UNION ALL SELECT 5, '
     "an_mean_by_dim": _mean_by_sql("product"),
     "an_mean_by_month": _mean_by_sql("CAST(date_trunc('month', order_date) AS DATE)"),
     "an_extremes": f"WITH {SILVER} SELECT * FROM (WITH x AS (SELECT region AS g, round(avg(unit_price), 6) AS mean, count(unit_price) AS n FROM silver WHERE region IS NOT NULL GROUP BY 1) {_extremes_sql('unit_price', 'region')}) UNION ALL SELECT * FROM (WITH x AS (SELECT category AS g, round(avg(quantity), 6) AS mean, count(quantity) AS n FROM silver WHERE category IS NOT NULL GROUP BY 1) {_extremes_sql('quantity', 'category')})",
-    "pseudonymize": f"WITH {SALES_LINES} SELECT concat('Client ', substr(sha256(concat('c', customer_id, '@shop')), 1, 16)) AS customer, sum(quantity) AS quantity FROM sales_lines GROUP BY 1",
+    "pseudonymize": f"WITH {SALES_LINES} SELECT concat('Client ', substr(sha256(concat('{PSEUDONYM_KEY}:c', customer_id, '@shop')), 1, 16)) AS customer, sum(quantity) AS quantity FROM sales_lines GROUP BY 1",
 }
 
 QUERIES = {

@@ -52,8 +52,8 @@ def dirty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((part == 1) & (k % 11 == 0), F.lit(None)).when(k % 5 == 0, F.concat(F.lit(" "), "status", F.lit(" "))).otherwise(F.col("status")).alias("status"),
         F.concat(F.lit("part_"), part.cast("string")).alias("source_file"),
     )
-    again = base.where((F.col("source_file") == "part_0") & (k % 19 == 0))
-    return base.unionByName(again)
+    twice = (F.col("source_file") == "part_0") & ((F.col("order_id") * 7 + F.col("line_number")) % 19 == 0)
+    return base.withColumn("_nth", F.explode(F.when(twice, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("_nth")
 
 
 def text_dates(df: DataFrame) -> DataFrame:

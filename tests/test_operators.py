@@ -1,9 +1,10 @@
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from siltworks.operators import analysis as an
-from siltworks.operators import audit, contract, gold, quality, silver
+from siltworks.operators import audit, contract, dashboard, gold, quality, silver
 from siltworks.operators import profile as pf
 from siltworks.sources import files
 from siltworks.sources.work import fresh_path
@@ -64,11 +65,62 @@ def test_cited_numbers(spark):
     texts = spark.createDataFrame([(1, "Up 12,5 % to 3.2 M in 2024, 7 stores and 1 250 lines, 99")], "id int, t string")
     cited = an.cited_numbers(texts, ["id"], "t")
     got = sorted(round(r.value, 4) for r in cited.collect())
-    assert got == [0.125, 99.0, 1250.0, 3_200_000.0]
+    assert got == [12.5, 99.0, 1250.0, 3_200_000.0]
     figures = spark.createDataFrame([(0.126,), (3_190_000.0,), (1250.0,)], "value double")
     assert [r.cited for r in an.unverified(cited, figures, ["id"]).collect()] == ["99"]
 
 
+def test_cited_units(spark):
+    texts = spark.createDataFrame([(1, "1,67 M; 2 Milliards; 3 md; 45 k; 12\u202f345; 1 million; 7 milliers; 67,8 %; 31; 1999; 32 lots")], "id int, t string")
+    got = {r.cited: (r.value, r.half) for r in an.cited_numbers(texts, ["id"], "t").collect()}
+    want = {"1,67 M": (1.67e6, 5e3), "2 Milliards": (2e9, 5e8), "3 md": (3e9, 5e8), "45 k": (45e3, 500), "12\u202f345": (12345, 0.5), "1 million": (1e6, 5e5), "7 milliers": (7e3, 500), "67,8 %": (67.8, 0.05), "32": (32, 0.5)}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want), got
+    cited = an.cited_numbers(spark.createDataFrame([(1, "101.4 and 101.6 and 67,8 %")], "id int, t string"), ["id"], "t")
+    figures = spark.createDataFrame([(100.0,), (0.678,)], "value double")
+    assert [r.cited for r in an.unverified(cited, figures, ["id"]).collect()] == ["101.6"]
+
+
+def test_clean_file_passes_all_checks(spark):
+    report = spark.createDataFrame([("clean", 0, 0), ("warned", 0, 1), ("held", 0, 0), ("bad", 2, 0)], "f string, errors long, warnings long")
+    found = spark.createDataFrame([("held", "BLOCKING")], "f string, severity string")
+    got = {r.f: (r.decision, r.rule) for r in quality.decide(report, found, "f").collect()}
+    assert got == {"clean": ("INGEST", "ALL_CHECKS_PASSED"), "warned": ("INGEST", "PASSED_WITH_WARNINGS"), "held": ("QUARANTINE", "QUALITY_ISSUES"), "bad": ("REJECT", "CONTRACT_VIOLATION")}
+
+
+def test_quartiles_and_running_sums(spark):
+    rng = np.random.default_rng(5)
+    values = [float(x) for x in rng.integers(0, 40, 301)]
+    df = spark.createDataFrame([(x, None if i % 3 else x * 2) for i, x in enumerate(values)], "a double, b double")
+    got = {r.column: (r.q1, r.median, r.q3) for r in an.quartiles(df, ["a", "b"]).collect()}
+    other = [x * 2 for i, x in enumerate(values) if not i % 3]
+    assert got == {"a": pytest.approx(np.percentile(values, [25, 50, 75])), "b": pytest.approx(np.percentile(other, [25, 50, 75]))}
+
+
+def test_mean_by_keeps_ends(spark):
+    df = spark.createDataFrame([(g, float(g)) for g in range(30)] + [(None, 1.0)], "g int, x double")
+    assert sorted(r.group for r in an.mean_by(df, "x", F.col("g")).collect()) == [0, 1, 2, 3, 4, 25, 26, 27, 28, 29]
+    assert sorted(r.group for r in an.mean_by(df.where("g < 10"), "x", F.col("g")).collect()) == list(range(10))
+
+
+def test_pseudonyms_need_a_key(spark):
+    df = spark.createDataFrame([("ann",), ("bob",), (None,), ("ann",)], "c string")
+    with pytest.raises(ValueError):
+        an.pseudonyms(df, "c", "")
+    one, two = ([r.c for r in an.pseudonyms(df, "c", k).collect()] for k in ("k1", "k2"))
+    assert one[0] == one[3] != one[1] and one[2] is None and one[0] != two[0]
+
+
+def test_dashboard_edges(spark):
+    df = spark.createDataFrame([("a", 1.0, 5.0, "2024-01-31"), ("b", 1.0, None, None), (None, 1.0, 9.0, "2024-02-01")], "g string, x double, y double, d string").withColumn("d", F.to_timestamp("d"))
+    assert [tuple(r) for r in dashboard.scatter_bins(df, "x", "y").orderBy("y_bin").collect()] == [(0, 0, 1), (0, 19, 1)]
+    got = {r.column: r for r in dashboard.filters(df, "d", ["g"], most=1).collect()}
+    assert (got["d"].low, got["d"].high) == ("2024-01-31", "2024-02-01")
+    assert (got["g"].n_values, got["g"].options) == (2, "a")
+    assert dashboard.month_split(df, F.col("x"), "d", "g", gold.Exclusion("g", ("b",))).count() == 2
+    assert dashboard.scatter_bins(df.where("false"), "x", "y").count() == 0
+
+
 def test_profile(spark):
     rows = [(i, "paid" if i % 2 else None, "2026-01-%02d" % (i + 1), float(i), [1, i]) for i in range(12)]
     p = {r.column: r for r in pf.profile(spark.createDataFrame(rows, "order_id int, status string, created string, amount double, tags array<int>")).collect()}
