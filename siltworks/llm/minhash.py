@@ -44,7 +44,7 @@ from pyspark.sql.types import IntegralType
 from .components import components
 from .hashing import Rolling, mix, signed, span_hashes, text_chunks, word_spans
 from .shared import arrow_batches, stored, text_or_empty
-from .sketch import BLOCK_SCHEMA, Counting, Sketch, width_for
+from .sketch import BLOCK_SCHEMA, MAX_WIDTH, Counting, Sketch, width_for
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -391,7 +391,7 @@ def _elements(docs: DataFrame, nodes: DataFrame, id: str, text: str, size: int,
     """(node, size, s): the sorted 64-bit hashes of the shingles of `nodes` (node), and of some documents more, which a sketch of the
     nodes lets pass; they meet no pair. A shingle found again is an element of its own where they are counted."""
     spark = docs.sparkSession
-    width = width_for(nodes.count())
+    width = width_for(nodes.count(), MAX_WIDTH)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counting = Counting(width)

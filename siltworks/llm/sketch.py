@@ -2,9 +2,12 @@
 
 A sketch has two rows of counters. Each task counts the keys of its partition and gives only the
 counters that are not zero, cut into blocks; blocks of one number are added up by a grouped job.
-Counters stop at 255, so an estimate is never below min(count, 255). The width follows the number of
-keys up to a fixed bound, which bounds what is sent to each executor; beyond it estimates are only
-looser, and no key that is there is ever estimated too low.
+Counters stop at 255, so an estimate is never below min(count, 255), and no key is estimated too low.
+
+The width follows the number of keys without a bound, so estimates are as good at any size. A key's
+counters lie in the same place of each row's blocks, its slot. Up to `MAX_WIDTH` the whole sketch is
+broadcast. A wider one stays where it is: rows with keys are dealt to the slots and meet their blocks
+there (`dealt`), one block of each row in memory at a time.
 """
 
 from __future__ import annotations
@@ -15,13 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .hashing import MULTIPLIERS, mix
 
 DEPTH = 2
 #: Counters of a block.
 BLOCK = 1 << 16
-#: The widest row; with DEPTH rows of one byte, 64 MB at most.
+#: The widest row that is broadcast; with DEPTH rows of one byte, 64 MB at most.
 MAX_WIDTH = 1 << 25
 
 #: Tasks whose counters are added up together first.
@@ -30,16 +34,26 @@ GROUP = 256
 BLOCK_SCHEMA = "tasks int, block int, places binary, counts binary"
 
 
-def width_for(keys: float) -> int:
-    """Counters in a row: the power of two that leaves at least two for each key, within bounds."""
+def width_for(keys: float, most: int | None = None) -> int:
+    """Counters in a row: the power of two that leaves at least two for each key, `most` where given."""
     width = BLOCK
-    while width < MAX_WIDTH and width < 2 * keys:
+    while width < 2 * keys and (most is None or width < most):
         width *= 2
     return width
 
 
+def slots(keys: np.ndarray, width: int) -> np.ndarray:
+    """The block of each key in every row."""
+    return (mix(keys) & np.uint64(width // BLOCK - 1)).astype(np.int64)
+
+
+def inside(keys: np.ndarray, row: int) -> np.ndarray:
+    """The counter of each key in its block of a row."""
+    return (mix(keys * np.uint64(MULTIPLIERS[row]) + np.uint64(row + 1)) & np.uint64(BLOCK - 1)).astype(np.int64)
+
+
 def cells(keys: np.ndarray, row: int, width: int) -> np.ndarray:
-    return (mix(keys * np.uint64(MULTIPLIERS[row]) + np.uint64(row + 1)) & np.uint64(width - 1)).astype(np.int64)
+    return slots(keys, width) * BLOCK + inside(keys, row)
 
 
 class Counting:
@@ -94,14 +108,16 @@ def merged(parts: DataFrame) -> DataFrame:
 
 
 class Sketch:
-    """A whole sketch: at most DEPTH * MAX_WIDTH bytes."""
+    """A whole sketch in memory: at most DEPTH * MAX_WIDTH bytes."""
 
     def __init__(self, width: int, table: np.ndarray):
         self.width, self.table = width, table
 
     @classmethod
     def gathered(cls, parts: DataFrame, width: int) -> Sketch:
-        """Merges the parts on the executors and gathers the blocks, whose size is bounded by the width."""
+        """Merges the parts on the executors and gathers the blocks, whose size is bounded by the width, which is checked."""
+        if width > max(MAX_WIDTH, BLOCK):
+            raise ValueError(f"a sketch of width {width} is not to be gathered")
         table = np.zeros(DEPTH * width, np.uint8)
         for r in merged(parts).collect():
             table[r.block * BLOCK + np.frombuffer(bytes(r.places), "<u2").astype(np.int64)] = np.frombuffer(bytes(r.counts), np.uint8)
@@ -113,3 +129,36 @@ class Sketch:
         for row in range(1, DEPTH):
             out = np.minimum(out, self.table[cells(keys, row, self.width) + row * self.width])
         return out
+
+
+def dealt(rows: DataFrame, parts: DataFrame, width: int, key: str, slot: str, least: int) -> DataFrame:
+    """The rows, without the column `slot`, whose key is estimated to be there `least` times or more. `slot` is slots(key) for
+    this width; rows meet their slot's blocks in one task, behind them."""
+    n = width // BLOCK
+    kept = [c for c in rows.columns if c != slot]
+    marks = merged(parts).select((F.col("block") % n).cast("long").alias("_slot"), F.floor(F.col("block") / n).cast("int").alias("_row"), "places", "counts", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in kept])
+    own = rows.select(F.col(slot).alias("_slot"), F.lit(DEPTH).alias("_row"), F.lit(None).cast("binary").alias("places"), F.lit(None).cast("binary").alias("counts"), *kept)
+    at = 4 + kept.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, now = np.zeros((DEPTH, BLOCK), np.uint8), -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slot, row = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            # a mark stands alone; rows of one slot are looked up together
+            new = np.append(True, (slot[1:] != slot[:-1]) | (row[1:] != row[:-1]))
+            bounds = np.append(np.flatnonzero(new), batch.num_rows).tolist()
+            for a, b in zip(bounds, bounds[1:]):
+                if slot[a] != now:
+                    table[:], now = 0, slot[a]
+                if row[a] < DEPTH:
+                    table[row[a]][np.frombuffer(batch.column(2)[a].as_py(), "<u2")] = np.frombuffer(batch.column(3)[a].as_py(), np.uint8)
+                else:
+                    keys = batch.column(at).slice(a, b - a).to_numpy().view(np.uint64)
+                    found = np.minimum.reduce([table[r][inside(keys, r)] for r in range(DEPTH)])
+                    part = batch.slice(a, b - a).filter(pa.array(found >= least))
+                    yield pa.RecordBatch.from_arrays(part.columns[4:], names=kept)
+
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return marks.unionByName(own).repartition("_slot").sortWithinPartitions("_slot", "_row").mapInArrow(run, schema)

@@ -15,12 +15,14 @@ in a document with a smaller id. Windows are hashed by prefix sums. Three scans
 
 So the exact passes see few rows, and none is lost: the filters of scans 2 and 3 (the second is a
 sketch of the blocks that take part) let all of theirs pass, and what they let pass too much are
-true windows, which change no result. Groups are reduced to their smallest id before they are
+true windows, which change no result. Sketches are as wide as their keys need. One that is too wide to
+be broadcast stays dealt over the executors, and the blocks of scan 2 are dealt to it; in scan 3 the
+list of blocks is joined to the texts instead. Groups are reduced to their smallest id before they are
 joined back, so a passage that most documents share is no large group.
 
 Defined cases: a null or empty text has no words; a null id is neither smaller nor larger than any
-other, so its windows are kept and repeat nothing; rows of one id never repeat each other; other
-columns are ignored; an empty table gives an empty result.
+other, so its windows are kept and repeat nothing; rows of one id never repeat each other; ids
+of any type that has an order will do; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,11 +31,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import sketch as sk
 from .hashing import Rolling, mix, signed, sliding_min, span_hashes, text_chunks, window_starts, word_spans
-from .shared import arrow_batches, stored, text_key, text_or_empty
+from .shared import arrow_batches, stored, text_or_empty
 from .sketch import BLOCK_SCHEMA, Counting, Sketch, width_for
 
 WINDOW = 50
@@ -75,20 +78,26 @@ class Windows:
         return self.begin[some] - self.word_offsets[self.row[some]]
 
 
-def _block_keys(k0: np.ndarray, k1: np.ndarray, start: np.ndarray) -> np.ndarray:
-    return mix(mix(k0.astype(np.int64).view(np.uint64)) + k1.astype(np.int64).view(np.uint64) * np.uint64(3) + start.astype(np.uint64))
+def _block_keys(k1: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return mix(k1.astype(np.int64).view(np.uint64) * np.uint64(3) + start.astype(np.uint64))
+
+
+def _key(id: str, text: str) -> Column:
+    """A hash of id and text."""
+    return F.xxhash64(F.col(id).cast("string"), text_or_empty(text))
 
 
 def _slim(docs: DataFrame, id: str, text: str) -> DataFrame:
-    return docs.select(F.col(id).cast("long").alias("k0"), text_key(text).alias("k1"), text_or_empty(text).alias("t")).where("k0 IS NOT NULL")
+    return docs.select(F.col(id).alias("k0"), _key(id, text).alias("k1"), text_or_empty(text).alias("t")).where("k0 IS NOT NULL")
 
 
 def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(k0 id, k1 hash of the text, start, n): `n` repeated windows begin at the words start, start + 1, ... of the text."""
+    """(k0 id, k1 hash of id and text, start, n): `n` repeated windows begin at the words start, start + 1, ... of the text."""
     spark = docs.sparkSession
     arrow_batches(spark)
     gram = min(gram, window)
     slim = _slim(docs, id, text)
+    own = f"k0 {slim.schema['k0'].dataType.simpleString()}, k1 long"
 
     # 1. a sketch of least hashes; about two in (window - gram + 2) words change it
     chars = slim.agg(F.sum(F.length("t"))).first()[0] or 0
@@ -101,23 +110,26 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
                 counting.add(Windows(chunk, window, gram).least)
         yield from counting.blocks()
 
-    sketch = spark.sparkContext.broadcast(Sketch.gathered(slim.select("t").mapInArrow(count, BLOCK_SCHEMA), width))
+    counters = slim.select("t").mapInArrow(count, BLOCK_SCHEMA)
+    small = width <= sk.MAX_WIDTH
+    sketch = spark.sparkContext.broadcast(Sketch.gathered(counters, width)) if small else None
 
     # 2. blocks that may be repeated, grouped exactly
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch.column(2)):
                 w = Windows(chunk, window, gram)
-                some = np.flatnonzero(sketch.value.estimate(w.least) > 1)
+                some = np.flatnonzero(sketch.value.estimate(w.least) > 1) if small else np.arange(len(w.least))
                 if not len(some):
                     continue
                 rows = pa.array(w.row[some] + chunk.first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(signed(w.least[some])), *[pa.array(signed(w.block_hashes(k, some))) for k in (0, 1)], pa.array(w.inside(some).astype(np.int32)), pa.array(w.n[some].astype(np.int32))],
-                    names=["k0", "k1", "m", "b1", "b2", "start", "n"],
+                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(signed(w.least[some])), *[pa.array(signed(w.block_hashes(k, some))) for k in (0, 1)], pa.array(w.inside(some).astype(np.int32)), pa.array(w.n[some].astype(np.int32)), pa.array(sk.slots(w.least[some], width))],
+                    names=["k0", "k1", "m", "b1", "b2", "start", "n", "slot"],
                 )
 
-    blocks = stored(slim.mapInArrow(candidates, f"k0 long, k1 long, m long, b1 long, b2 long, {_SPANS}"), "blocks")
+    blocks = slim.mapInArrow(candidates, f"{own}, m long, b1 long, b2 long, {_SPANS}, slot long")
+    blocks = stored(blocks.drop("slot") if small else sk.dealt(blocks, counters, width, "m", "slot", 2), "blocks")
     firsts = blocks.groupBy("m", "b1", "b2").agg(F.min("k0").alias("first"), (F.min("k0") < F.max("k0")).alias("shared"))
     several = firsts.groupBy("m").agg((F.count(F.lit(1)) > 1).alias("several"))
     firsts = stored(firsts.join(several, "m").where("shared OR several"), "first-blocks")
@@ -125,26 +137,34 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     whole = judged.where("first < k0").select("k0", "k1", "start", "n")
     left = judged.where("first = k0 AND several").select("k0", "k1", "start")
 
-    # 3. single windows of the blocks that are left
+    # 3. single windows of the blocks that are left: found again by a sketch of them, or by their list, joined to the text
     n_left = left.count()
     narrow = width_for(n_left)
+    few = narrow <= sk.MAX_WIDTH
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counting = Counting(narrow)
         for batch in batches:
-            counting.add(_block_keys(*(batch.column(i).to_numpy() for i in range(3))))
+            counting.add(_block_keys(*(batch.column(i).to_numpy() for i in (0, 1))))
         yield from counting.blocks()
 
-    marked = spark.sparkContext.broadcast(Sketch.gathered(left.mapInArrow(mark, BLOCK_SCHEMA), narrow))
+    marked = spark.sparkContext.broadcast(Sketch.gathered(left.select("k1", "start").mapInArrow(mark, BLOCK_SCHEMA), narrow)) if few else None
+    texts = slim.withColumn("starts", F.lit(None).cast("array<int>")) if few else slim.join(left.groupBy("k0", "k1").agg(F.collect_set("start").alias("starts")), ["k0", "k1"])
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k0, k1 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            k1 = batch.column(1).to_numpy()
             for chunk in text_chunks(batch.column(2)):
                 w = Windows(chunk, window, gram)
-                some = np.flatnonzero(sketch.value.estimate(w.least) > 1)
+                some = np.flatnonzero(sketch.value.estimate(w.least) > 1) if small else np.arange(len(w.least))
                 rows, inside = w.row[some] + chunk.first, w.inside(some)
-                some = some[marked.value.estimate(_block_keys(k0[rows], k1[rows], inside)) > 0]
+                keys = _block_keys(k1[rows], inside)
+                if few:
+                    some = some[marked.value.estimate(keys) > 0]
+                else:
+                    listed = batch.column(3).slice(chunk.first, chunk.rows)
+                    of_row = np.repeat(np.arange(chunk.rows), np.diff(listed.offsets.to_numpy())) + chunk.first
+                    some = some[np.isin(keys, _block_keys(k1[of_row], listed.flatten().to_numpy()))]
                 if not len(some):
                     continue
                 n = w.n[some]
@@ -156,7 +176,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
                     names=["k0", "k1", "w1", "w2", "start"],
                 )
 
-    windows = stored(slim.mapInArrow(single, "k0 long, k1 long, w1 long, w2 long, start int"), "windows")
+    windows = stored(texts.select("k0", "k1", "t", "starts").mapInArrow(single, f"{own}, w1 long, w2 long, start int"), "windows")
     first_of = windows.groupBy("w1", "w2").agg(F.min("k0").alias("first"), F.max("k0").alias("last")).where("first < last")
     alone = windows.join(first_of.select("w1", "w2", "first"), ["w1", "w2"]).where("first < k0").select("k0", "k1", "start", F.lit(1).alias("n"))
     return whole.unionByName(alone)
@@ -166,8 +186,8 @@ def dedup(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int =
     """(id, n_words, n_removed, kept) for each row of `docs`; `kept` are the words that stay, joined by one blank."""
     spans = repeated_spans(docs, id, text, window, gram)
     gone = spans.distinct().groupBy("k0", "k1").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    left = docs.select(F.col(id).alias("id"), text_key(text).alias("k"), text_or_empty(text).alias("t"))
-    both = left.join(gone, (left["id"].cast("long") == gone.k0) & (left.k == gone.k1), "left").select("id", "t", F.col("spans.start").alias("starts"), F.col("spans.n").alias("ns"))
+    left = docs.select(F.col(id).alias("id"), _key(id, text).alias("k"), text_or_empty(text).alias("t"))
+    both = left.join(gone, (left["id"] == gone.k0) & (left.k == gone.k1), "left").select("id", "t", F.col("spans.start").alias("starts"), F.col("spans.n").alias("ns"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -57,6 +57,31 @@ def test_passages_within_passages(spark, none):
     assert dedup(none).count() == 0
 
 
+def test_sketch_too_wide_to_broadcast(docs, rows, monkeypatch):
+    """The same result, with the sketch dealt over the executors; and the filter still filters."""
+    from siltworks.llm import sketch as sk
+
+    monkeypatch.setattr(sk, "MAX_WIDTH", 1)
+    monkeypatch.setattr("siltworks.llm.substring_dedup.width_for", lambda keys: 4 * sk.BLOCK)
+    seen = []
+    deal = sk.dealt
+
+    def dealt(rows, *how):
+        out = deal(rows, *how)
+        seen.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(sk, "dealt", dealt)
+    assert found(docs) == brute(rows, 50)
+    assert seen and all(0 < kept < 0.9 * n for n, kept in seen), seen
+
+
+def test_text_ids(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    frame = spark.createDataFrame([("b", passage), ("a", passage), (None, passage)], "doc_id string, text string")
+    assert {r.doc_id: r.n_removed for r in dedup(frame).collect()} == {"a": 0, "b": 60, None: 0}
+
+
 def test_estimates_are_never_too_low(spark):
     from siltworks.llm.sketch import BLOCK, BLOCK_SCHEMA, Counting
 
