@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from siltworks.sources.work import fresh_path, remove, stored
 
-__all__ = ["arrow_batches", "documents", "free_names", "fresh_path", "remove", "sha256_hex", "stored", "text_key", "text_or_empty"]
+__all__ = ["arrow_batches", "documents", "free_names", "fresh_path", "join_groups", "remove", "sha256_hex", "stored", "text_key", "text_or_empty"]
 
 #: Rows in an Arrow batch. Spark also cuts batches at spark.sql.execution.arrow.maxBytesPerBatch.
 ARROW_ROWS = 1000
+#: A key is hot if it has more than one in HOT_KEYS of the rows, so fewer than HOT_KEYS keys are.
+HOT_KEYS = 2000
 
 
 def free_names(names: list[str], *wanted: str) -> list[str]:
@@ -31,6 +33,17 @@ def arrow_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str = "n_rows") -> DataFrame:
+    """The inner join of stored `rows` with stored `groups`, which hold each key once, with the number of its rows in column `n`.
+    Groups of hot keys, fewer than HOT_KEYS by their definition, are broadcast, and their rows stay where they are; only the
+    other rows are dealt by key."""
+    hot = F.col(n) * HOT_KEYS > rows.count()
+    few = F.broadcast(groups.where(hot))
+    apart = rows.join(few, keys)
+    rest = rows.join(F.broadcast(groups.where(hot).select(*keys)), keys, "left_anti").join(groups.where(~hot), keys)
+    return apart.unionByName(rest).drop(n)
+
+
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

@@ -18,7 +18,7 @@ sketch of the blocks that take part) let all of theirs pass, and what they let p
 true windows, which change no result. Sketches are as wide as their keys need. One that is too wide to
 be broadcast stays dealt over the executors, and the blocks of scan 2 are dealt to it; in scan 3 the
 list of blocks is joined to the texts instead. Groups are reduced to their smallest id before they are
-joined back, so a passage that most documents share is no large group.
+joined back, and the rows of a passage that many documents share are joined where they lie.
 
 Defined cases: a null or empty text has no words; a null id is neither smaller nor larger than any
 other, so its windows are kept and repeat nothing; rows of one id never repeat each other; ids
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import sketch as sk
 from .hashing import Rolling, mix, signed, sliding_min, span_hashes, text_chunks, window_starts, word_spans
-from .shared import arrow_batches, stored, text_or_empty
+from .shared import arrow_batches, join_groups, stored, text_or_empty
 from .sketch import BLOCK_SCHEMA, Counting, Sketch, width_for
 
 WINDOW = 50
@@ -130,10 +130,10 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
 
     blocks = slim.mapInArrow(candidates, f"{own}, m long, b1 long, b2 long, {_SPANS}, slot long")
     blocks = stored(blocks.drop("slot") if small else sk.dealt(blocks, counters, width, "m", "slot", 2), "blocks")
-    firsts = blocks.groupBy("m", "b1", "b2").agg(F.min("k0").alias("first"), (F.min("k0") < F.max("k0")).alias("shared"))
+    firsts = blocks.groupBy("m", "b1", "b2").agg(F.min("k0").alias("first"), (F.min("k0") < F.max("k0")).alias("shared"), F.count(F.lit(1)).alias("n_rows"))
     several = firsts.groupBy("m").agg((F.count(F.lit(1)) > 1).alias("several"))
     firsts = stored(firsts.join(several, "m").where("shared OR several"), "first-blocks")
-    judged = blocks.join(firsts, ["m", "b1", "b2"])
+    judged = join_groups(blocks, firsts, ["m", "b1", "b2"])
     whole = judged.where("first < k0").select("k0", "k1", "start", "n")
     left = judged.where("first = k0 AND several").select("k0", "k1", "start")
 
@@ -177,8 +177,9 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
                 )
 
     windows = stored(texts.select("k0", "k1", "t", "starts").mapInArrow(single, f"{own}, w1 long, w2 long, start int"), "windows")
-    first_of = windows.groupBy("w1", "w2").agg(F.min("k0").alias("first"), F.max("k0").alias("last")).where("first < last")
-    alone = windows.join(first_of.select("w1", "w2", "first"), ["w1", "w2"]).where("first < k0").select("k0", "k1", "start", F.lit(1).alias("n"))
+    first_of = windows.groupBy("w1", "w2").agg(F.min("k0").alias("first"), F.max("k0").alias("last"), F.count(F.lit(1)).alias("n_rows"))
+    first_of = stored(first_of.where("first < last").drop("last"), "first-windows")
+    alone = join_groups(windows, first_of, ["w1", "w2"]).where("first < k0").select("k0", "k1", "start", F.lit(1).alias("n"))
     return whole.unionByName(alone)
 
 

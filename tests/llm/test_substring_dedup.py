@@ -98,3 +98,17 @@ def test_estimates_are_never_too_low(spark):
     values, counts = np.unique(keys[:20_000], return_counts=True)
     assert (sketch.estimate(values) >= np.minimum(counts, 255)).all()
     assert (sketch.estimate(values) == counts).mean() > 0.9
+
+
+def test_hot_groups_are_joined_apart(spark, monkeypatch, tmp_path):
+    from siltworks.llm import shared
+
+    rng = random.Random(4)
+    data = [(rng.choice(["hot"] * 5 + [f"k{rng.randrange(9)}"]), i) for i in range(400)]
+    spark.createDataFrame(data, "k string, v int").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    groups = rows.groupBy("k").count().withColumnRenamed("count", "n_rows").selectExpr("k", "n_rows", "length(k) AS g").where("k <> 'k3'")
+    want = sorted((k, v, len(k)) for k, v in data if k != "k3")
+    for most in (1, 4, 2000):
+        monkeypatch.setattr(shared, "HOT_KEYS", most)
+        assert sorted(map(tuple, shared.join_groups(rows, groups, ["k"]).select("k", "v", "g").collect())) == want
