@@ -96,7 +96,45 @@ _ROLES = """roles(table_name, "column", semantic_role, business_role, entity, co
 ('sales', 'source_file', 'DIMENSION', 'CATEGORY', NULL, 0.6), ('events', 'event_id', 'IDENTIFIER', NULL, NULL, 0.95), ('events', 'ts', 'TEMPORAL', 'TIMESTAMP', NULL, 0.8),
 ('events', 'user_id', 'IDENTIFIER', NULL, NULL, 0.85), ('events', 'event_type', 'DIMENSION', 'CATEGORY', NULL, 0.9), ('events', 'value', 'MEASURE', NULL, NULL, 0.6), ('events', 'props', 'DIMENSION', 'CATEGORY', NULL, 0.6))"""
 
+_KEYWORDS = ", ".join(f"('{kind}', '{role}', '{word}', {i})" for kind, of in ca.VOCABULARY.items() for i, (role, word) in enumerate((role, word) for role, words in of.items() for word in words.split()))
+
+#: Dimensions with their numbers of values, in the order of aggregates; `priority` is the order of breakdowns.
+_AXES = " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, '{column}' AS \"column\", {i} AS position, {priority} AS priority, count(DISTINCT {column}) AS n FROM {source}"
+    for name, source, columns in (("sales", "dirty_sales", (("product", 0), ("category", 3), ("region", 2), ("status", 4), ("source_file", 3))), ("events", "events", (("event_type", 3), ("props", 3))))
+    for i, (column, priority) in enumerate(columns)
+)
+_TEXTS = "('product', 'category', 'region', 'status', 'source_file', 'event_type', 'props')"
+
 ORACLES = {
+    "match_keywords": f"""WITH {DIRTY_SALES}, keywords(kind, role, keyword, priority) AS (VALUES {_KEYWORDS}),
+names AS (SELECT column_name AS name FROM (DESCRIBE FROM dirty_sales) UNION SELECT column_name FROM (DESCRIBE FROM events)),
+found AS (SELECT name, kind, role, priority FROM names JOIN keywords ON contains(concat('_', lower(name), '_'), concat('_', keyword, '_')))
+SELECT name AS "column", {', '.join(f"arg_min(role, priority) FILTER (WHERE kind = '{k}') AS {k}" for k in ca.VOCABULARY)} FROM names LEFT JOIN found USING (name) GROUP BY 1""",
+    "kpi_catalogue": f"""WITH {DIRTY_SALES}, {_ROLES}, axes AS (SELECT * FROM ({_AXES}) a WHERE n <= 50 QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY priority, position) <= 4),
+main(table_name, label, expression, sure) AS (VALUES ('sales', 'Revenue', 'SUM(quantity * unit_price)', 0.86), ('events', 'Number of Lines', 'COUNT(*)', 0.95)),
+words AS (SELECT *, string_split("column", '_') AS w FROM axes)
+SELECT table_name, kpi, formula, kind, CAST(confidence AS DOUBLE) AS confidence FROM (
+SELECT * FROM (VALUES ('sales', 'Orders', 'COUNT(DISTINCT order_id)', 'scalar', 0.85), ('sales', 'Quantity Sold', 'SUM(quantity)', 'scalar', 0.9), ('sales', 'Average Order Value', 'SUM(quantity * unit_price) / COUNT(DISTINCT order_id)', 'scalar', 0.85), ('sales', 'Customers', 'COUNT(DISTINCT customer_id)', 'scalar', 0.85),
+ ('sales', 'Products', 'COUNT(DISTINCT product)', 'scalar', 0.85), ('sales', 'Average Unit Price', 'AVG(unit_price)', 'scalar', 0.9), ('sales', 'Average tax_rate', 'AVG(tax_rate)', 'scalar', 0.9), ('events', 'Total value', 'SUM(value)', 'scalar', 0.48)) v(table_name, kpi, formula, kind, confidence)
+UNION ALL SELECT table_name, label, expression, 'scalar', sure FROM main
+UNION ALL SELECT table_name, concat(label, ' by Month'), concat(expression, ' GROUP BY MONTH(', CASE table_name WHEN 'sales' THEN 'order_date' ELSE 'ts' END, ')'), 'trend', CASE table_name WHEN 'sales' THEN 0.82 ELSE 0.8 END FROM main
+UNION ALL SELECT table_name, concat(label, ' by ', array_to_string(list_transform(w, lambda x: concat(upper(x[1]), x[2:])), ' ')), concat(expression, ' GROUP BY ', "column"), 'breakdown', round(least(sure * 0.95, confidence), 2) FROM words JOIN main USING (table_name) JOIN roles USING (table_name, "column")) k""",
+    "cleaning_actions": f"""WITH {DIRTY_SALES}, {_ROLES}, texts AS (SELECT * FROM roles WHERE "column" IN {_TEXTS}), actions AS (
+SELECT table_name, 'trim' AS action, "column" FROM texts UNION ALL SELECT table_name, 'normalize', "column" FROM texts WHERE business_role IN ('STATUS', 'CATEGORY')
+UNION ALL SELECT 'sales', 'cast', 'order_date_text' UNION ALL SELECT 'sales', 'check', "column" FROM roles WHERE table_name = 'sales' AND "column" <> 'source_file'
+UNION ALL SELECT 'sales', 'fill_unknown', 'status' FROM dirty_sales HAVING count(*) > count(status) UNION ALL SELECT 'sales', 'derive_amount', 'quantity * unit_price'
+UNION ALL SELECT 'sales', 'deduplicate', '*' FROM dirty_sales HAVING count(*) > (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_sales))
+UNION ALL SELECT 'sales', 'derive_date_parts', 'order_date' UNION ALL SELECT 'events', 'derive_date_parts', 'ts')
+SELECT table_name, CAST(list_position([{', '.join(f"'{a}'" for a in ca.STEP_ORDER)}], action) AS INTEGER) AS step, action, "column", action IN ('drop_null_keys', 'fill_unknown', 'deduplicate') AS destructive FROM actions""",
+    "gold_specs": f"""WITH {DIRTY_SALES}, {_ROLES}, axes AS (SELECT * FROM ({_AXES}) a WHERE n <= 50 QUALIFY row_number() OVER (PARTITION BY table_name ORDER BY position) <= 3),
+metrics(table_name, "column", operation) AS (VALUES ('sales', 'quantity', 'SUM'), ('sales', 'unit_price', 'AVG'), ('sales', 'line_amount', 'SUM'), ('events', 'value', 'AVG')),
+named AS (SELECT table_name, concat(table_name, '_by_', "column") AS gold_table FROM axes UNION ALL SELECT t, concat(t, x) FROM (VALUES ('sales'), ('events')) v(t), (VALUES ('_by_month'), ('_summary')) w(x)),
+dims(table_name, entity, "column") AS (VALUES ('sales', 'customer', 'customer_id'), ('sales', 'order', 'order_id'), ('sales', 'line_number', 'line_number'), ('sales', 'product', 'product'), ('events', 'user', 'user_id'))
+SELECT table_name, gold_table, 'aggregate' AS kind, "column", operation FROM named JOIN metrics USING (table_name)
+UNION ALL SELECT table_name, concat('fact_', table_name), 'fact', "column", NULL FROM (SELECT table_name, "column" FROM roles UNION ALL SELECT 'sales', 'line_amount') f
+UNION ALL SELECT table_name, concat(table_name, '_dim_', entity), 'dimension', "column", NULL FROM dims
+UNION ALL SELECT t, concat(t, '_dim_date'), 'dimension', c, NULL FROM (VALUES ('sales'), ('events')) v(t), (VALUES ('date'), ('year'), ('quarter'), ('month'), ('day')) w(c)""",
     "column_roles": f"WITH {_ROLES} SELECT table_name, \"column\", semantic_role, business_role, entity, CAST(confidence AS DOUBLE) AS confidence FROM roles",
     "key_candidates": "SELECT table_name, \"column\", relationship, referenced_entity, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES ('sales', 'order_id', 'FOREIGN_KEY_CANDIDATE', 'ORDER', 0.8), ('sales', 'line_number', 'FOREIGN_KEY_CANDIDATE', 'LINE_NUMBER', 0.6), ('sales', 'customer_id', 'FOREIGN_KEY_CANDIDATE', 'CUSTOMER', 0.8), ('events', 'event_id', 'PRIMARY_KEY_CANDIDATE', 'EVENT', 0.95), ('events', 'user_id', 'FOREIGN_KEY_CANDIDATE', 'USER', 0.6)) t(table_name, \"column\", relationship, referenced_entity, confidence)",
     "key_orphans": "SELECT 'lineitem' AS child, count(DISTINCT l_orderkey) AS orphans FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'customer', count(DISTINCT c_custkey) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",

@@ -139,7 +139,13 @@ _SUMMARY = "SELECT source_file, count(*) AS n, count({product}) AS products, cou
 _PLAIN = f"WITH {DIRTY_SALES} " + _SUMMARY.format(product="product", status="status")
 _FOLDED = f"WITH {DIRTY_SALES} " + _SUMMARY.format(product="nullif(product, '')", status="status")
 
+#: Files that a kind has at least; more where the table needs more.
+_FILES = f"""WITH {DIRTY_SALES}, needed AS (SELECT CAST(ceil(count(*) / {FILE_ROWS}.0) AS BIGINT) AS n FROM dirty_sales),
+kinds(kind, format, detected_by, delimiter, least_files) AS (VALUES ('semicolon', 'csv', 'extension', ';', 2), ('tab', 'csv', 'extension', chr(9), 2), ('headerless', 'csv', 'extension', ',', 1), ('json', 'json', 'extension', NULL, 1), ('parquet', 'parquet', 'signature', NULL, 2))"""
+
 ORACLES = {
+    "classify_files": _FILES + " SELECT kind, format, detected_by, delimiter, CAST(NULL AS VARCHAR) AS error, greatest(least_files, n) AS files FROM kinds, needed",
+    "group_files": _FILES + " SELECT (SELECT string_agg(column_name, ',' ORDER BY column_name) FROM (DESCRIBE FROM dirty_sales)) AS columns, CAST(sum(greatest(least_files, n)) AS INTEGER) AS files FROM kinds, needed WHERE kind IN ('semicolon', 'tab')",
     "scan_csv": _FOLDED,
     "scan_json": f"WITH {DIRTY_SALES} SELECT region, count(*) AS n, sum(quantity) AS quantity, count(DISTINCT customer_id) AS customers FROM dirty_sales GROUP BY 1",
     "scan_jsonl": _PLAIN,

@@ -397,6 +397,24 @@ UNION ALL SELECT 4, 'deduplicate_rows', b.n, c.n FROM b, c UNION ALL SELECT 5, '
     "pseudonymize": f"WITH {SALES_LINES} SELECT concat('Client ', substr(sha256(concat('{PSEUDONYM_KEY}:c', customer_id, '@shop')), 1, 16)) AS customer, sum(quantity) AS quantity FROM sales_lines GROUP BY 1",
 }
 
+
+
+def _finding_sql(name: str, subject: str, value: str, reference: str, rows: str) -> str:
+    return f"SELECT '{name}' AS finding, {subject} AS subject, round(CAST({value} AS DOUBLE), 6) AS value, round(CAST({reference} AS DOUBLE), 6) AS reference FROM ({rows}) AS x"
+
+
+ORACLES_SQL["an_findings"] = " UNION ALL ".join([
+    _finding_sql("best_month", "strftime(best_month, '%Y-%m')", "best_total", "mean_total", ORACLES_SQL["an_best_worst"]),
+    _finding_sql("worst_month", "strftime(worst_month, '%Y-%m')", "worst_total", "mean_total", ORACLES_SQL["an_best_worst"]),
+    _finding_sql("yearly_change", "CAST(year AS VARCHAR)", "change", "previous", ORACLES_SQL["an_yoy"]),
+    _finding_sql("monthly_change", "strftime(month, '%Y-%m')", "change", "previous", ORACLES_SQL["an_mom"]),
+    _finding_sql("incomplete_month", "strftime(month, '%Y-%m')", "total", "NULL", f"WITH {_MONTHS_SQL} SELECT * FROM months WHERE incomplete"),
+    _finding_sql("concentration", "dimension", "n_needed", "n_values", ORACLES_SQL["an_pareto"]) + " WHERE n_needed < n_values",
+    _finding_sql("constant_column", '"column"', "min", "NULL", ORACLES_SQL["an_distribution"]) + " WHERE is_constant",
+    _finding_sql("spread", '"column"', "share", "outliers", ORACLES_SQL["an_outliers"]) + " WHERE share >= 0.10",
+    _finding_sql("atypical_values", '"column"', "share", "outliers", ORACLES_SQL["an_outliers"]) + " WHERE share >= 0.01 AND share < 0.10",
+])
+
 QUERIES = {
     f.__name__: (lambda spark, sf_dir, f=f: text_dates(f(spark, sf_dir)))
     for f in (
