@@ -131,8 +131,9 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     blocks = slim.mapInArrow(candidates, f"{own}, m long, b1 long, b2 long, {_SPANS}, slot long")
     blocks = stored(blocks.drop("slot") if small else sk.dealt(blocks, counters, width, "m", "slot", 2), "blocks")
     firsts = blocks.groupBy("m", "b1", "b2").agg(F.min("k0").alias("first"), (F.min("k0") < F.max("k0")).alias("shared"), F.count(F.lit(1)).alias("n_rows"))
-    several = firsts.groupBy("m").agg((F.count(F.lit(1)) > 1).alias("several"))
-    firsts = stored(firsts.join(several, "m").where("shared OR several"), "first-blocks")
+    firsts = stored(firsts, "all-blocks")
+    several = firsts.groupBy("m").agg((F.count(F.lit(1)) > 1).alias("several"), F.count(F.lit(1)).alias("n_blocks"))
+    firsts = stored(join_groups(firsts, stored(several, "least-hashes"), ["m"], "n_blocks").where("shared OR several"), "first-blocks")
     judged = join_groups(blocks, firsts, ["m", "b1", "b2"])
     whole = judged.where("first < k0").select("k0", "k1", "start", "n")
     left = judged.where("first = k0 AND several").select("k0", "k1", "start")
