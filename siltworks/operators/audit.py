@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -195,14 +196,20 @@ def load(source_runs: DataFrame, source_steps: DataFrame, runs_path: str, steps_
     spark = source_runs.sparkSession
 
     def target(path: str, schema: T.StructType) -> DataFrame:
-        spark.createDataFrame([], schema).write.mode("append").parquet(path)
-        return spark.read.schema(schema).parquet(path)
+        try:
+            return spark.read.schema(schema).parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            spark.createDataFrame([], schema).write.parquet(path)
+            return spark.read.schema(schema).parquet(path)
 
     steps = stored(new_steps(normalise(source_steps, STEPS), source_runs, target(steps_path, STEPS)), "new-steps")
     runs = stored(new_runs(normalise(source_runs, RUNS), target(runs_path, RUNS)), "new-runs")
     counts = runs.count(), steps.count()
-    steps.write.mode("append").parquet(steps_path)
-    runs.write.mode("append").parquet(runs_path)
+    for new, n, path in ((steps, counts[1], steps_path), (runs, counts[0], runs_path)):
+        if n:
+            new.write.mode("append").parquet(path)
     return counts
 
 

@@ -18,22 +18,32 @@ from .profile import ID_TOKENS
 #: The words that names of columns are known by, by kind, role and priority.
 VOCABULARY = {
     "measure": {
-        "RATIO": "ratio rate taux pct percent percentage pourcentage share",
-        "PRICE": "price prix unit_price prix_unitaire tarif",
-        "QUANTITY": "quantity qty quantite qte units unites count nb nombre volume",
-        "TAX": "tax taxe taxes tva vat",
-        "LEVEL": "age temperature temp humidity humidite pressure pression score note rating grade level niveau speed vitesse altitude satisfaction average avg mean moyenne moy",
-        "AMOUNT": "amount montant revenue revenu revenus sales ventes ca chiffre_affaires turnover cost cout spend depense payment paiement total",
+        "RATIO": ("ratio", "rate", "taux", "pct", "percent", "percentage", "pourcentage", "share"),
+        "PRICE": ("price", "prix", "unit_price", "prix_unitaire", "tarif"),
+        "QUANTITY": ("quantity", "qty", "quantite", "qte", "units", "unites", "count", "nb", "nombre", "volume"),
+        "TAX": ("tax", "taxe", "taxes", "tva", "vat"),
+        "LEVEL": ("age", "temperature", "temp", "humidity", "humidite", "pressure", "pression", "score", "note", "rating", "grade", "level", "niveau", "speed", "vitesse", "altitude", "satisfaction", "average", "avg", "mean", "moyenne", "moy"),
+        "AMOUNT": ("amount", "montant", "revenue", "revenu", "revenus", "sales", "ventes", "ca", "chiffre_affaires", "turnover", "cost", "cout", "spend", "depense", "payment", "paiement", "total"),
+    },
+    "contact": {
+        "CONTACT": ("email", "mail", "courriel", "phone", "telephone", "tel", "mobile", "fax"),
     },
-    "contact": {"CONTACT": "email mail courriel phone telephone tel mobile fax"},
     "dimension": {
-        "GEOGRAPHY": "country pays city ville region zip zipcode postal postcode code_postal address adresse latitude lat longitude lon lng departement province continent",
-        "STATUS": "status statut etat",
-        "DATE_PART": "year annee month mois quarter trimestre week semaine weekday",
-        "CATEGORY": "category categorie type segment class classe family famille channel canal group groupe brand marque",
+        "GEOGRAPHY": ("country", "pays", "city", "ville", "region", "zip", "zipcode", "postal", "postcode", "code_postal", "address", "adresse", "latitude", "lat", "longitude", "lon", "lng", "departement", "province", "continent"),
+        "STATUS": ("status", "statut", "etat"),
+        "DATE_PART": ("year", "annee", "month", "mois", "quarter", "trimestre", "week", "semaine", "weekday"),
+        "CATEGORY": ("category", "categorie", "type", "segment", "class", "classe", "family", "famille", "channel", "canal", "group", "groupe", "brand", "marque"),
+    },
+    "temporal": {
+        "TIMESTAMP": ("timestamp", "datetime", "at", "time", "heure", "horodatage"),
+        "DATE": ("date", "day", "jour", "dt"),
+    },
+    "entity": {
+        "CUSTOMER": ("customer", "client", "cust", "buyer", "acheteur"),
+        "PRODUCT": ("product", "produit", "item", "article", "sku"),
+        "ORDER": ("order", "commande"),
+        "TRANSACTION": ("transaction", "txn", "invoice", "facture"),
     },
-    "temporal": {"TIMESTAMP": "timestamp datetime at time heure horodatage", "DATE": "date day jour dt"},
-    "entity": {"CUSTOMER": "customer client cust buyer acheteur", "PRODUCT": "product produit item article sku", "ORDER": "order commande", "TRANSACTION": "transaction txn invoice facture"},
 }
 #: Words of a status that say that a sale was called off.
 CANCELLATION = ("cancelled", "canceled", "cancel", "annule", "annulee", "annulation")
@@ -41,10 +51,37 @@ SALES_ENTITIES = ("CUSTOMER", "PRODUCT", "ORDER", "TRANSACTION")
 MAX_AXIS_VALUES, MAX_BREAKDOWNS, MAX_LEVELS, MAX_AGGREGATES = 50, 4, 2, 3
 AXIS_PRIORITY = {"PRODUCT": 0, "CUSTOMER": 1, "GEOGRAPHY": 2, "CATEGORY": 3, "STATUS": 4}
 UNIQUE_ROWS = 10
+#: How sure a role is, by what tells it.
+CONFIDENCE = {
+    "empty": 0.3,
+    "temporal_named": 0.95,
+    "temporal": 0.8,
+    "contact": 0.9,
+    "identifier_both": 0.95,
+    "identifier_named": 0.85,
+    "identifier_unique": 0.6,
+    "number_dimension": 0.75,
+    "measure_named": 0.9,
+    "measure_ratio": 0.55,
+    "measure": 0.6,
+    "flag": 0.8,
+    "dimension_categorical": 0.9,
+    "dimension": 0.8,
+    "categorical_entity": 0.85,
+    "categorical": 0.6,
+    "attribute": 0.5,
+    "foreign_key_entity": 0.8,
+    "foreign_key": 0.6,
+    "accepted": 0.95,
+}
+#: How sure a KPI is; a factor for KPIs derived from others, one for sums of measures without a role, the figure of a count of lines.
+DERIVED, PLAIN_SUM, LINE_COUNT = 0.95, 0.8, 0.95
+#: A sales table has DOMAIN_BASE and DOMAIN_STEP for each sign, DOMAIN_MOST at most.
+DOMAIN_BASE, DOMAIN_STEP, DOMAIN_MOST = 0.5, 0.1, 0.95
 
 
 def keywords(spark: SparkSession) -> DataFrame:
-    rows = [(kind, role, word, priority) for kind, roles in VOCABULARY.items() for priority, (role, word) in enumerate((r, w) for r, ws in roles.items() for w in ws.split())]
+    rows = [(kind, role, word, priority) for kind, roles in VOCABULARY.items() for priority, (role, word) in enumerate((r, w) for r, ws in roles.items() for w in ws)]
     return spark.createDataFrame(rows, "kind string, role string, keyword string, priority int")
 
 
@@ -80,22 +117,22 @@ def roles(profile: DataFrame) -> DataFrame:
 
     none = F.lit(None)
     numeric = (
-        F.when(dimension.isNotNull() & measure.isNull(), role("DIMENSION", dimension, 0.75))
-        .when(measure.isNotNull(), role("MEASURE", measure, 0.9))
-        .when(between, role("MEASURE", F.lit("RATIO"), 0.55))
-        .otherwise(role("MEASURE", none, 0.6))
+        F.when(dimension.isNotNull() & measure.isNull(), role("DIMENSION", dimension, CONFIDENCE["number_dimension"]))
+        .when(measure.isNotNull(), role("MEASURE", measure, CONFIDENCE["measure_named"]))
+        .when(between, role("MEASURE", F.lit("RATIO"), CONFIDENCE["measure_ratio"]))
+        .otherwise(role("MEASURE", none, CONFIDENCE["measure"]))
     )
     text = (
-        F.when(kind == "boolean", role("DIMENSION", F.lit("FLAG"), 0.8))
-        .when(dimension.isNotNull(), role("DIMENSION", dimension, F.when(c("is_categorical"), 0.9).otherwise(0.8)))
-        .when(c("is_categorical"), role("DIMENSION", F.when(c("entity").isNull(), "CATEGORY"), F.when(c("entity").isNotNull(), 0.85).otherwise(0.6)))
-        .otherwise(role("ATTRIBUTE", none, 0.5))
+        F.when(kind == "boolean", role("DIMENSION", F.lit("FLAG"), CONFIDENCE["flag"]))
+        .when(dimension.isNotNull(), role("DIMENSION", dimension, F.when(c("is_categorical"), CONFIDENCE["dimension_categorical"]).otherwise(CONFIDENCE["dimension"])))
+        .when(c("is_categorical"), role("DIMENSION", F.when(c("entity").isNull(), "CATEGORY"), F.when(c("entity").isNotNull(), CONFIDENCE["categorical_entity"]).otherwise(CONFIDENCE["categorical"])))
+        .otherwise(role("ATTRIBUTE", none, CONFIDENCE["attribute"]))
     )
     chosen = (
-        F.when(kind == "empty", role("ATTRIBUTE", none, 0.3))
-        .when(kind == "datetime", role("TEMPORAL", F.when(c("has_time") | F.coalesce(c("temporal") == "TIMESTAMP", F.lit(False)), "TIMESTAMP").otherwise("DATE"), F.when(c("temporal").isNotNull(), 0.95).otherwise(0.8)))
-        .when(c("contact").isNotNull(), role("ATTRIBUTE", F.lit("CONTACT"), 0.9))
-        .when(identifier, role("IDENTIFIER", none, F.when(F.size("identifier_reasons") == 2, 0.95).when(by_name, 0.85).otherwise(0.6)))
+        F.when(kind == "empty", role("ATTRIBUTE", none, CONFIDENCE["empty"]))
+        .when(kind == "datetime", role("TEMPORAL", F.when(c("has_time") | F.coalesce(c("temporal") == "TIMESTAMP", F.lit(False)), "TIMESTAMP").otherwise("DATE"), F.when(c("temporal").isNotNull(), CONFIDENCE["temporal_named"]).otherwise(CONFIDENCE["temporal"])))
+        .when(c("contact").isNotNull(), role("ATTRIBUTE", F.lit("CONTACT"), CONFIDENCE["contact"]))
+        .when(identifier, role("IDENTIFIER", none, F.when(F.size("identifier_reasons") == 2, CONFIDENCE["identifier_both"]).when(by_name, CONFIDENCE["identifier_named"]).otherwise(CONFIDENCE["identifier_unique"])))
         .when(kind.isin("integer", "decimal"), numeric)
         .otherwise(text)
     )
@@ -110,7 +147,7 @@ def keys(profile: DataFrame, role_rows: DataFrame) -> DataFrame:
     entity = F.coalesce("entity", F.when(own != "", own))
     primary = F.col("is_unique") & (F.col("row_count") >= UNIQUE_ROWS)
     relationship = F.when(primary, "PRIMARY_KEY_CANDIDATE").when(F.array_contains("identifier_reasons", "name"), "FOREIGN_KEY_CANDIDATE")
-    confidence = F.when(primary, F.col("confidence")).when(F.col("entity").isNotNull(), 0.8).otherwise(0.6)
+    confidence = F.when(primary, F.col("confidence")).when(F.col("entity").isNotNull(), CONFIDENCE["foreign_key_entity"]).otherwise(CONFIDENCE["foreign_key"])
     return both.select("table_name", "position", "column", relationship.alias("relationship"), entity.alias("referenced_entity"), confidence.alias("confidence")).where("relationship IS NOT NULL")
 
 
@@ -129,7 +166,7 @@ def domains(role_rows: DataFrame) -> DataFrame:
     )
     n = F.size("money") + F.size("quantity") + F.size("entities")
     sales = (F.size("money") > 0) & (n >= 2)
-    return signs.select("table_name", F.when(sales, "SALES").otherwise("UNKNOWN").alias("domain"), F.when(sales, F.round(F.least(F.lit(0.95), 0.5 + 0.1 * n), 2)).otherwise(0.0).alias("confidence"))
+    return signs.select("table_name", F.when(sales, "SALES").otherwise("UNKNOWN").alias("domain"), F.when(sales, F.round(F.least(F.lit(DOMAIN_MOST), DOMAIN_BASE + DOMAIN_STEP * n), 2)).otherwise(0.0).alias("confidence"))
 
 
 def override(role_rows: DataFrame, accepted: DataFrame) -> DataFrame:
@@ -137,7 +174,7 @@ def override(role_rows: DataFrame, accepted: DataFrame) -> DataFrame:
     new = accepted.select("table_name", "column", F.col("semantic_role").alias("_s"), F.col("business_role").alias("_b"))
     both = role_rows.join(new, ["table_name", "column"], "left")
     given = F.col("_s").isNotNull()
-    return both.select("table_name", "position", "column", F.coalesce("_s", "semantic_role").alias("semantic_role"), F.when(given, F.col("_b")).otherwise(F.col("business_role")).alias("business_role"), "entity", F.when(given, 0.95).otherwise(F.col("confidence")).alias("confidence"))
+    return both.select("table_name", "position", "column", F.coalesce("_s", "semantic_role").alias("semantic_role"), F.when(given, F.col("_b")).otherwise(F.col("business_role")).alias("business_role"), "entity", F.when(given, CONFIDENCE["accepted"]).otherwise(F.col("confidence")).alias("confidence"))
 
 
 def restrict(rows: DataFrame, contract: DataFrame) -> DataFrame:
@@ -175,38 +212,38 @@ def kpis(role_rows: DataFrame, profile: DataFrame) -> DataFrame:
     fmt = lambda f, *a: F.format_string(f, *a)
     has = lambda *ks: reduce(lambda x, y: x & y, [c(k).isNotNull() for k in ks])
     main = F.when(has("amount"), fmt("SUM(%s)", col("amount"))).when(has("quantity", "price"), fmt("SUM(%s * %s)", col("quantity"), col("price")))
-    main_conf = F.when(has("amount"), conf("amount")).when(has("quantity", "price"), F.round(F.least(conf("quantity"), conf("price")) * 0.95, 2))
+    main_conf = F.when(has("amount"), conf("amount")).when(has("quantity", "price"), F.round(F.least(conf("quantity"), conf("price")) * DERIVED, 2))
     label = F.when(sales, "Revenue").when(has("amount"), fmt("Total %s", col("amount"))).otherwise(fmt("Total %s x %s", col("quantity"), col("price")))
     order = F.coalesce("order_id", "transaction_id")
     one = one.withColumn("main", main).withColumn("main_conf", main_conf).withColumn("label", F.when(c("main").isNotNull(), label).otherwise("Number of Lines")).withColumn("order", order)
-    one = one.withColumn("expression", F.coalesce("main", F.lit("COUNT(*)"))).withColumn("expression_conf", F.coalesce("main_conf", F.lit(0.95)))
+    one = one.withColumn("expression", F.coalesce("main", F.lit("COUNT(*)"))).withColumn("expression_conf", F.coalesce("main_conf", F.lit(LINE_COUNT)))
     spec = lambda cond, kpi, formula, kind, confidence: F.when(cond, F.struct(kpi.alias("kpi"), formula.alias("formula"), F.lit(kind).alias("kind"), F.round(confidence, 2).alias("confidence")))
     distinct_of = lambda k: fmt("COUNT(DISTINCT %s)", c(f"{k}.column"))
     one = one.withColumn("customer", F.coalesce("customer_id", "customer_label")).withColumn("product", F.coalesce("product_id", "product_label"))
     scalars = F.array_compact(F.array(
         spec(c("main").isNotNull(), c("label"), c("main"), "scalar", c("main_conf")),
         spec(has("order"), F.lit("Orders"), distinct_of("order"), "scalar", conf("order")),
-        spec(~has("order"), F.lit("Number of Lines"), F.lit("COUNT(*)"), "scalar", F.lit(0.95)),
+        spec(~has("order"), F.lit("Number of Lines"), F.lit("COUNT(*)"), "scalar", F.lit(LINE_COUNT)),
         spec(has("quantity"), F.when(sales, "Quantity Sold").otherwise(fmt("Total %s", col("quantity"))), fmt("SUM(%s)", col("quantity")), "scalar", conf("quantity")),
         spec(c("main").isNotNull() & sales & has("order"), F.lit("Average Order Value"), F.concat("main", F.lit(" / "), distinct_of("order")), "scalar", F.least("main_conf", conf("order"))),
-        spec(c("main").isNotNull() & sales & ~has("order"), F.lit("Average Revenue per Line"), F.concat("main", F.lit(" / COUNT(*)")), "scalar", c("main_conf") * 0.95),
+        spec(c("main").isNotNull() & sales & ~has("order"), F.lit("Average Revenue per Line"), F.concat("main", F.lit(" / COUNT(*)")), "scalar", c("main_conf") * DERIVED),
         spec(has("customer"), F.lit("Customers"), distinct_of("customer"), "scalar", conf("customer")),
         spec(has("product"), F.lit("Products"), distinct_of("product"), "scalar", conf("product")),
         spec(has("price"), F.lit("Average Unit Price"), fmt("AVG(%s)", col("price")), "scalar", conf("price")),
-        spec(has("temporal"), F.concat("label", F.lit(" by Month")), F.concat("expression", F.lit(" GROUP BY MONTH("), col("temporal"), F.lit(")")), "trend", F.least(c("expression_conf") * 0.95, conf("temporal"))),
+        spec(has("temporal"), F.concat("label", F.lit(" by Month")), F.concat("expression", F.lit(" GROUP BY MONTH("), col("temporal"), F.lit(")")), "trend", F.least(c("expression_conf") * DERIVED, conf("temporal"))),
     ))
     out = one.select("table_name", F.explode(scalars).alias("k")).select("table_name", "k.*")
     averages = rows.where(is_("MEASURE") & c("business_role").isin("RATIO", "LEVEL")).select("table_name", fmt("Average %s", c("column")).alias("kpi"), fmt("AVG(%s)", c("column")).alias("formula"), F.lit("scalar").alias("kind"), "confidence")
-    sums = rows.where(is_("MEASURE") & c("business_role").isNull()).select("table_name", fmt("Total %s", c("column")).alias("kpi"), fmt("SUM(%s)", c("column")).alias("formula"), F.lit("scalar").alias("kind"), F.round(c("confidence") * 0.8, 2).alias("confidence"))
+    sums = rows.where(is_("MEASURE") & c("business_role").isNull()).select("table_name", fmt("Total %s", c("column")).alias("kpi"), fmt("SUM(%s)", c("column")).alias("formula"), F.lit("scalar").alias("kind"), F.round(c("confidence") * PLAIN_SUM, 2).alias("confidence"))
     axes = _axes(rows)
     geographic = F.count_if(c("business_role") == "GEOGRAPHY").over(Window.partitionBy("table_name"))
     axes = axes.withColumn("title", F.when((c("business_role") == "GEOGRAPHY") & (geographic == 1), "Region").otherwise(F.initcap(F.replace(c("column"), F.lit("_"), F.lit(" ")))))
     main_of = one.select("table_name", "label", "expression", "expression_conf", "temporal")
-    broken = axes.join(main_of, "table_name").select("table_name", F.concat("label", F.lit(" by "), "title").alias("kpi"), F.concat("expression", F.lit(" GROUP BY "), "column").alias("formula"), F.lit("breakdown").alias("kind"), F.round(F.least(c("expression_conf") * 0.95, "confidence"), 2).alias("confidence"))
+    broken = axes.join(main_of, "table_name").select("table_name", F.concat("label", F.lit(" by "), "title").alias("kpi"), F.concat("expression", F.lit(" GROUP BY "), "column").alias("formula"), F.lit("breakdown").alias("kind"), F.round(F.least(c("expression_conf") * DERIVED, "confidence"), 2).alias("confidence"))
     nth = F.row_number().over(Window.partitionBy("table_name").orderBy("position"))
     levels = rows.where(is_("MEASURE", "LEVEL")).withColumn("n", nth).where(c("n") <= MAX_LEVELS).select("table_name", c("column").alias("level"), c("confidence").alias("level_conf"))
-    by_month = levels.join(main_of.where("temporal IS NOT NULL"), "table_name").select("table_name", fmt("Average %s by Month", c("level")).alias("kpi"), fmt("AVG(%s) GROUP BY MONTH(%s)", c("level"), col("temporal")).alias("formula"), F.lit("trend").alias("kind"), F.round(F.least(c("level_conf") * 0.95, conf("temporal")), 2).alias("confidence"))
-    by_axis = levels.join(axes.where("axis = 1"), "table_name").select("table_name", fmt("Average %s by %s", c("level"), c("title")).alias("kpi"), fmt("AVG(%s) GROUP BY %s", c("level"), c("column")).alias("formula"), F.lit("breakdown").alias("kind"), F.round(F.least(c("level_conf") * 0.95, "confidence"), 2).alias("confidence"))
+    by_month = levels.join(main_of.where("temporal IS NOT NULL"), "table_name").select("table_name", fmt("Average %s by Month", c("level")).alias("kpi"), fmt("AVG(%s) GROUP BY MONTH(%s)", c("level"), col("temporal")).alias("formula"), F.lit("trend").alias("kind"), F.round(F.least(c("level_conf") * DERIVED, conf("temporal")), 2).alias("confidence"))
+    by_axis = levels.join(axes.where("axis = 1"), "table_name").select("table_name", fmt("Average %s by %s", c("level"), c("title")).alias("kpi"), fmt("AVG(%s) GROUP BY %s", c("level"), c("column")).alias("formula"), F.lit("breakdown").alias("kind"), F.round(F.least(c("level_conf") * DERIVED, "confidence"), 2).alias("confidence"))
     return reduce(DataFrame.unionByName, [out, averages, sums, broken, by_month, by_axis])
 
 

@@ -15,10 +15,12 @@ from siltworks.functions import values as v
 
 #: Bytes of a file from which format and delimiter are told, and rows from which a header is.
 HEAD_BYTES, HEAD_ROWS = 65_536, 200
+#: Candidates for a delimiter in order, formats by extension.
 DELIMITERS = (",", ";", "\t", "|")
 EXTENSIONS = {"csv": "csv", "tsv": "csv", "txt": "csv", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "parquet": "parquet", "zip": "zip"}
 #: First bytes in hex.
 SIGNATURES = {"50415231": "parquet", "504B0304": "zip", "D0CF11E0": "excel", "1F8B": "gzip"}
+#: Files in an archive, bytes of a member, bytes of all members.
 ARCHIVE_FILES, ARCHIVE_MEMBER_BYTES, ARCHIVE_BYTES = 200, 100 << 20, 500 << 20
 
 
