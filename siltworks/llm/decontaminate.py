@@ -9,21 +9,22 @@ Words: A-Z lower-cased, then runs of digits, a-z and characters above 0x7F. A wi
 consecutive words of an item; an item of fewer words, but not none, is one window.
 
 Defined cases: a null or empty text has no words and no hits; an item without words is never
-found; one with a null id is hit and cut, but not in lists of items; repeated items are all found; an empty table of items leaves documents as
-they are; repeated documents are each judged; columns besides id and text are kept as they are by
-`remove_spans` and ignored by `find`.
+found; one with a null id is hit and cut, but not in lists of items; repeated items are all found;
+an empty table of items leaves documents as they are; repeated documents are each judged; columns
+besides id and text are kept as they are by `remove_spans` and ignored by `find`.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_batches, stored, text_or_empty
+from .shared import arrow_batches, fresh_path, stored, text_or_empty
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Words of test items in one automaton; more items are dealt to several, one pass over the documents for each.
@@ -143,20 +144,18 @@ class SuffixAutomaton:
         return spans, found, longest
 
 
-def _automata(items: DataFrame, item_id: str, text: str, window: int, shard_words: int):
-    """Automata over all items, each of about `shard_words` words: few items in one, more in as many as are needed."""
+def _parts(items: DataFrame, item_id: str, text: str, shard_words: int) -> list[DataFrame]:
+    """The items in parts of about `shard_words` words: few items in one, more in as many as are needed."""
     # an item without id is hit and cut as any other; only lists of items leave it out
     rows = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).cast("string").alias("text")).where("text is not null")
     total = rows.agg(F.sum(F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).first()[0] or 0
-    shards = max(1, -(-int(total) // shard_words))
-    for k in range(shards):
-        part = rows if shards == 1 else rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(shards)) == k)
-        yield SuffixAutomaton([(r.name, words_of(r.text)) for r in part.toLocalIterator()], window)
+    n = max(1, -(-int(total) // shard_words))
+    return [rows] if n == 1 else [rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for begin, end in sorted(a + b):
+    for begin, end in sorted(spans):
         if out and begin <= out[-1][1]:
             out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
@@ -164,49 +163,76 @@ def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
+_MATCH = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("items", pa.list_(pa.string())), ("word_spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+
+
+def _match(n_words: int, spans: list[tuple[int, int]], items: set[str], longest: int) -> dict:
+    return {"n_words": n_words, "n_hit": sum(e - b for b, e in spans), "longest": longest, "items": sorted(items - {None}), "word_spans": [{"start": b, "end": e} for b, e in spans]}
+
+
+def _add_match(rows: DataFrame, keep: int, matches: Callable[[pa.RecordBatch], list[dict]]) -> DataFrame:
+    """The first `keep` columns of the rows and a column `match`, a struct of FOUND."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(matches(batch), _MATCH)], names=[*batch.schema.names[:keep], "match"])
+
+    kind = f"struct<{FOUND.replace(' ', ':').replace(',:', ',')}>"
+    return rows.mapInArrow(add, ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:keep]] + [f"match {kind}"]))
+
+
+def _scanned(rows: DataFrame, keep: int, at: int, shared: Broadcast) -> DataFrame:
+    """The first `keep` columns and the matches of the texts, column number `at`, with one automaton."""
+
+    def matches(batch: pa.RecordBatch) -> list[dict]:
+        automaton, out = shared.value, []
+        for value in batch.column(at).to_pylist():
+            words = words_of(value)
+            spans, items, longest = automaton.scan(words)
+            out.append(_match(len(words), spans, items, longest))
+        return out
+
+    return _add_match(rows, keep, matches)
+
+
 def _with_matches(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, text: str, window: int, shard_words: int) -> DataFrame:
-    """The documents with a last column of matches, a struct of FOUND."""
+    """The documents, whose columns are c0, c1, ..., with a column `match`, a struct of FOUND.
+
+    With several automata the documents are written once with a number for each row; each pass reads the texts and writes row numbers
+    and matches only, and the matches of all passes meet their document at the end.
+    """
     spark = docs.sparkSession
     arrow_batches(spark)
-    out, first = docs, True
-    automata = _automata(items, item_id, item_text, window, shard_words)
-    for automaton in automata:
-        shared = spark.sparkContext.broadcast(automaton)
-        if not first:
-            out = stored(out, "decontaminate")
-        names, kind, again = out.columns, f"struct<{FOUND.replace(' ', ':').replace(',:', ',')}>", not first
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared, names=names, again=again) -> Iterator[pa.RecordBatch]:
-            automaton = shared.value
-            at = names.index(text)
-            for batch in batches:
-                before = batch.column(len(names) - 1).to_pylist() if again else None
-                found = []
-                for k, value in enumerate(batch.column(at).to_pylist()):
-                    words = words_of(value)
-                    spans, items, longest = automaton.scan(words)
-                    if again:
-                        spans = _merge(spans, [(s["start"], s["end"]) for s in before[k]["word_spans"]])
-                        items, longest = items | set(before[k]["items"]), max(longest, before[k]["longest"])
-                    found.append({"n_words": len(words), "n_hit": sum(e - b for b, e in spans), "longest": longest, "items": sorted(items - {None}), "word_spans": [{"start": b, "end": e} for b, e in spans]})
-                columns = batch.columns[: len(names) - again]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, _MATCH)], names=[f"c{i}" for i in range(len(columns) + 1)])
-
-        fields = out.schema.fields[: len(names) - again]
-        schema = ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)] + [f"c{len(fields)} {kind}"])
-        out = out.mapInArrow(scan, schema)
-        first = False
-    return out
+    parts = _parts(items, item_id, item_text, shard_words)
+    width, at = len(docs.columns), docs.columns.index(text)
 
+    def automaton(part: DataFrame) -> Broadcast:
+        return spark.sparkContext.broadcast(SuffixAutomaton([(r.name, words_of(r.text)) for r in part.toLocalIterator()], window))
 
-_MATCH = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("longest", pa.int64()), ("items", pa.list_(pa.string())), ("word_spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+    if len(parts) == 1:
+        return _scanned(docs, width, at, automaton(parts[0]))
+    rows = stored(docs.withColumn("at_row", F.monotonically_increasing_id()), "decontaminate-rows")
+    path = fresh_path(spark, "decontaminate-matches")
+    for part in parts:
+        shared = automaton(part)
+        _scanned(rows.select("at_row", text), 1, 1, shared).where("match.longest > 0").write.mode("append").parquet(path)
+        shared.destroy()
+    passes = spark.read.schema(f"at_row long, match struct<{FOUND.replace(' ', ':').replace(',:', ',')}>").parquet(path)
+    all_of = lambda field: F.flatten(F.collect_list(f"match.{field}"))
+    both = rows.join(passes.groupBy("at_row").agg(F.max("match.longest").alias("longest"), all_of("items").alias("items"), all_of("word_spans").alias("spans")), "at_row", "left")
+
+    def merged(batch: pa.RecordBatch) -> list[dict]:
+        texts, longest, found, spans = (batch.column(i).to_pylist() for i in (at, width, width + 1, width + 2))
+        return [_match(len(words_of(t)), _merge([(x["start"], x["end"]) for x in s or ()]), set(f or ()), n or 0) for t, n, f, s in zip(texts, longest, found, spans)]
+
+    return _add_match(both.select(*docs.columns, "longest", "items", "spans"), width, merged)
 
 
 def find(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row for each document: its id, n_words, n_hit, longest match, the items found and the hit word spans."""
     slim = docs.select(F.col(id).alias("c0"), text_or_empty(text).alias("c1"))
     found = _with_matches(slim, items, item_id, item_text, "c1", window, shard_words)
-    return found.select(F.col("c0").alias(id), "c2.*")
+    return found.select(F.col("c0").alias(id), "match.*")
 
 
 def cut(text: str, word_spans: list[dict], min_words: int) -> str:
@@ -232,9 +258,8 @@ def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
     names = docs.columns
     at = names.index(text)
     coded = docs.select([F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])
-    match = f"c{len(names)}"
     found = _with_matches(coded, items, item_id, item_text, f"c{at}", window, shard_words)
-    found = found.where(F.col(f"{match}.n_hit") <= F.lit(max_coverage) * F.col(f"{match}.n_words"))
+    found = found.where(F.col("match.n_hit") <= F.lit(max_coverage) * F.col("match.n_words"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
