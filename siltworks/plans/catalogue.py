@@ -96,7 +96,7 @@ _ROLES = """roles(table_name, "column", semantic_role, business_role, entity, co
 ('sales', 'source_file', 'DIMENSION', 'CATEGORY', NULL, 0.6), ('events', 'event_id', 'IDENTIFIER', NULL, NULL, 0.95), ('events', 'ts', 'TEMPORAL', 'TIMESTAMP', NULL, 0.8),
 ('events', 'user_id', 'IDENTIFIER', NULL, NULL, 0.85), ('events', 'event_type', 'DIMENSION', 'CATEGORY', NULL, 0.9), ('events', 'value', 'MEASURE', NULL, NULL, 0.6), ('events', 'props', 'DIMENSION', 'CATEGORY', NULL, 0.6))"""
 
-_KEYWORDS = ", ".join(f"('{kind}', '{role}', '{word}', {i})" for kind, of in ca.VOCABULARY.items() for i, (role, word) in enumerate((role, word) for role, words in of.items() for word in words.split()))
+_KEYWORDS = ", ".join(f"('{kind}', '{role}', '{word}', {i})" for kind, of in ca.VOCABULARY.items() for i, (role, word) in enumerate((role, word) for role, words in of.items() for word in words))
 
 #: Dimensions with their numbers of values, in the order of aggregates; `priority` is the order of breakdowns.
 _AXES = " UNION ALL ".join(
