@@ -195,8 +195,8 @@ def _scanned(rows: DataFrame, keep: int, at: int, shared: Broadcast) -> DataFram
     return _add_match(rows, keep, matches)
 
 
-def _with_matches(docs: DataFrame, items: DataFrame, item_id: str, item_text: str, text: str, window: int, shard_words: int) -> DataFrame:
-    """The documents, whose columns are c0, c1, ..., with a column `match`, a struct of FOUND.
+def _with_matches(docs: DataFrame, keep: int, items: DataFrame, item_id: str, item_text: str, text: str, window: int, shard_words: int) -> DataFrame:
+    """The first `keep` columns of the documents, which are c0, c1, ..., with a column `match`, a struct of FOUND.
 
     With several automata the documents are written once with a number for each row; each pass reads the texts and writes row numbers
     and matches only, and the matches of all passes meet their document at the end.
@@ -210,7 +210,7 @@ def _with_matches(docs: DataFrame, items: DataFrame, item_id: str, item_text: st
         return spark.sparkContext.broadcast(SuffixAutomaton([(r.name, words_of(r.text)) for r in part.toLocalIterator()], window))
 
     if len(parts) == 1:
-        return _scanned(docs, width, at, automaton(parts[0]))
+        return _scanned(docs, keep, at, automaton(parts[0]))
     rows = stored(docs.withColumn("at_row", F.monotonically_increasing_id()), "decontaminate-rows")
     path = fresh_path(spark, "decontaminate-matches")
     for part in parts:
@@ -225,13 +225,13 @@ def _with_matches(docs: DataFrame, items: DataFrame, item_id: str, item_text: st
         texts, longest, found, spans = (batch.column(i).to_pylist() for i in (at, width, width + 1, width + 2))
         return [_match(len(words_of(t)), _merge([(x["start"], x["end"]) for x in s or ()]), set(f or ()), n or 0) for t, n, f, s in zip(texts, longest, found, spans)]
 
-    return _add_match(both.select(*docs.columns, "longest", "items", "spans"), width, merged)
+    return _add_match(both.select(*docs.columns, "longest", "items", "spans"), keep, merged)
 
 
 def find(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
     """One row for each document: its id, n_words, n_hit, longest match, the items found and the hit word spans."""
     slim = docs.select(F.col(id).alias("c0"), text_or_empty(text).alias("c1"))
-    found = _with_matches(slim, items, item_id, item_text, "c1", window, shard_words)
+    found = _with_matches(slim, 1, items, item_id, item_text, "c1", window, shard_words)
     return found.select(F.col("c0").alias(id), "match.*")
 
 
@@ -258,7 +258,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
     names = docs.columns
     at = names.index(text)
     coded = docs.select([F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])
-    found = _with_matches(coded, items, item_id, item_text, f"c{at}", window, shard_words)
+    found = _with_matches(coded, len(names), items, item_id, item_text, f"c{at}", window, shard_words)
     found = found.where(F.col("match.n_hit") <= F.lit(max_coverage) * F.col("match.n_words"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
