@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, class_lm, decontaminate, line_dedup, minhash, oracles, quality, secrets, substring_dedup, token_files
+from . import align, bpe, chat, class_lm, decontaminate, html_text, line_dedup, minhash, oracles, quality, resample, secrets, substring_dedup, token_files
 from .shared import documents, fresh_path, sha256_hex, text_or_empty
 
 
@@ -83,6 +83,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), sha256_hex(text_or_empty("text")).alias("kept_sha256"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = align.align(documents(spark, sf_dir), vocabulary_path(), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return resample.resample(documents(spark, sf_dir), target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_substring_dedup": op2_substring_dedup,
@@ -94,6 +110,9 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
+    "op11_align": op11_align,
+    "op12_html_text": op12_html_text,
+    "op13_resample": op13_resample,
 }
 
 ORACLES: dict[str, str] = {
