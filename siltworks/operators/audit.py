@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltworks.functions import values as v
+from siltworks.sources.bucketed import BUCKETS, BucketedTable, by_bucket_key
+from siltworks.sources.commits import CommitLog
 
 RUNS = T.StructType().add("run_id", "string").add("source_file", "string").add("contract_path", "string").add("decision", "string").add("execution_mode", "string").add("final_status", "string").add("started_at", "timestamp_ntz").add("finished_at", "timestamp_ntz").add("duration_seconds", "double").add("error", "string")
 STEPS = T.StructType().add("run_id", "string").add("step_order", "long").add("step_name", "string").add("status", "string").add("started_at", "timestamp_ntz").add("finished_at", "timestamp_ntz").add("duration_seconds", "double").add("error", "string")
@@ -167,18 +171,27 @@ def step_matrix(steps: DataFrame, statuses: tuple[str, ...] = ("SUCCESS", "FAILE
 # -- incremental loads ---------------------------------------------------------------------------
 
 
-def new_runs(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Source runs that the target lacks, one for each id: the first by (started_at, source_file)."""
+def first_runs(runs: DataFrame) -> DataFrame:
+    """One row for each run: the first by (started_at, source_file)."""
     first = Window.partitionBy("run_id").orderBy("started_at", "source_file")
-    return source.join(target.select("run_id"), "run_id", "left_anti").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return runs.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def first_steps(steps: DataFrame) -> DataFrame:
+    """One row for each run and step number: the first by (started_at, step_name)."""
+    first = Window.partitionBy("run_id", "step_order").orderBy("started_at", "step_name")
+    return steps.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def new_runs(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Source runs that any target frame lacks, one for each id. `AuditStore.new_runs` does this against a store in buckets."""
+    return first_runs(source.join(target.select("run_id"), "run_id", "left_anti"))
 
 
 def new_steps(source_steps: DataFrame, source_runs: DataFrame, target: DataFrame) -> DataFrame:
-    """Steps of source runs that the target lacks, one for each run and number."""
+    """Steps of source runs that any target frame lacks, one for each run and number."""
     keys = ["run_id", "step_order"]
-    first = Window.partitionBy(*keys).orderBy("started_at", "step_name")
-    own = source_steps.join(source_runs.select("run_id").distinct(), "run_id", "left_semi").join(target.select(*keys), keys, "left_anti")
-    return own.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    return first_steps(source_steps.join(source_runs.select("run_id").distinct(), "run_id", "left_semi").join(target.select(*keys), keys, "left_anti"))
 
 
 def aligned(df: DataFrame, target: T.StructType) -> DataFrame:
@@ -186,31 +199,55 @@ def aligned(df: DataFrame, target: T.StructType) -> DataFrame:
     return normalise(df, target).select("*") if set(df.columns) <= set(target.names) else df.select(*[c.alias(f.name) for f, c in ((f, F.col(f.name).try_cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)) for f in target)], *[c for c in df.columns if c not in target.names])
 
 
-def load(source_runs: DataFrame, source_steps: DataFrame, runs_path: str, steps_path: str) -> tuple[int, int]:
-    """Appends what is new to Parquet tables, steps first: a load that broke off between the two heals with the next.
+class AuditStore:
+    """Run and step rows under one folder, both in buckets of run_id, that grow by loads. One commit names what a load wrote to both
+    tables, so a reader sees a load whole or not at all, wherever it breaks off."""
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark = spark
+        self.log = CommitLog(spark, root)
+        self.tables = {"runs": BucketedTable(spark, f"{root}/runs", RUNS, "run_id", buckets), "steps": BucketedTable(spark, f"{root}/steps", STEPS, "run_id", buckets)}
+
+    def _loads(self, table: str) -> list[str]:
+        return [e["load"] for e in self.log.entries() if e[table]]
+
+    def runs(self) -> DataFrame:
+        return self.tables["runs"].read(self._loads("runs"))
+
+    def steps(self) -> DataFrame:
+        return self.tables["steps"].read(self._loads("steps"))
+
+    def new_runs(self, source: DataFrame) -> DataFrame:
+        """Source runs that the store lacks, one for each id; the store's files are joined bucket by bucket."""
+        return first_runs(self.tables["runs"].lacking(source, self._loads("runs"), ["run_id"]))
 
-    What is new is written to a folder beside the table and counted before it is appended.
-    """
-    from siltworks.sources.work import stored
+    def new_steps(self, source_steps: DataFrame, source_runs: DataFrame) -> DataFrame:
+        """Steps of source runs that the store lacks, one for each run and number."""
+        own = source_steps.join(source_runs.select("run_id").distinct(), "run_id", "left_semi")
+        return first_steps(self.tables["steps"].lacking(own, self._loads("steps"), ["run_id", "step_order"]))
 
-    spark = source_runs.sparkSession
+    def load(self, source_runs: DataFrame, source_steps: DataFrame, batch: str | None = None) -> tuple[int, int]:
+        """Adds what is new and gives its numbers of runs and steps. Steps are written first, then runs, then the commit. A `batch`
+        that has its commit adds nothing and gives the numbers of that load."""
+        done = self.log.find(batch) if batch is not None else None
+        if done:
+            return done["runs"], done["steps"]
+        load = uuid.uuid4().hex
+        runs, steps = normalise(source_runs, RUNS), normalise(source_steps, STEPS)
+        counts = {}
+        with by_bucket_key(self.spark):
+            for name, new in (("steps", self.new_steps(steps, runs)), ("runs", self.new_runs(runs))):
+                seen = Observation()
+                self.tables[name].write(new.observe(seen, F.count(F.lit(1)).alias("n")), load)
+                counts[name] = seen.get["n"]
+        if batch is not None or counts["runs"] or counts["steps"]:
+            self.log.commit({"batch": batch, "load": load, **counts})
+        return counts["runs"], counts["steps"]
 
-    def target(path: str, schema: T.StructType) -> DataFrame:
-        try:
-            return spark.read.schema(schema).parquet(path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            spark.createDataFrame([], schema).write.parquet(path)
-            return spark.read.schema(schema).parquet(path)
 
-    steps = stored(new_steps(normalise(source_steps, STEPS), source_runs, target(steps_path, STEPS)), "new-steps")
-    runs = stored(new_runs(normalise(source_runs, RUNS), target(runs_path, RUNS)), "new-runs")
-    counts = runs.count(), steps.count()
-    for new, n, path in ((steps, counts[1], steps_path), (runs, counts[0], runs_path)):
-        if n:
-            new.write.mode("append").parquet(path)
-    return counts
+def load(source_runs: DataFrame, source_steps: DataFrame, root: str, batch: str | None = None) -> tuple[int, int]:
+    """`AuditStore.load` into the store under `root`."""
+    return AuditStore(source_runs.sparkSession, root).load(source_runs, source_steps, batch)
 
 
 def pending_loads(manifest: DataFrame, loads: DataFrame) -> DataFrame:
@@ -218,12 +255,60 @@ def pending_loads(manifest: DataFrame, loads: DataFrame) -> DataFrame:
     return manifest.join(loads.select("run_id", "dataset").distinct(), ["run_id", "dataset"], "left_anti")
 
 
-def load_gold(manifest: DataFrame, loads: DataFrame, tables: dict[str, DataFrame], root: str) -> DataFrame:
-    """Overwrites the pending tables under `root` and gives the rows to append to `loads`. All row counts are checked before the first overwrite."""
-    todo = [r for r in pending_loads(manifest, loads).collect()]
-    wrong = [r.table_name for r in todo if tables[r.table_name].count() != r.rows]
-    if wrong:
-        raise ValueError(f"row counts differ: {', '.join(wrong)}")
-    for r in todo:
-        tables[r.table_name].write.mode("overwrite").parquet(f"{root}/{r.table_name}")
-    return pending_loads(manifest, loads).withColumn("loaded_at", F.current_timestamp())
+GOLD_LOADS = "run_id string, dataset string, table_name string, rows long, loaded_at timestamp"
+
+
+class GoldStore:
+    """Gold tables under one folder. Each load writes a folder of its own for each table, and its commit holds the folder that every
+    table is read from. That is the pointer: until it is in place, all tables are read as they were."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.log = CommitLog(spark, root)
+
+    def folders(self) -> dict[str, str]:
+        """The folder of each table that holds its rows now."""
+        last = self.log.last()
+        return last["folders"] if last else {}
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{self.folders()[name]}")
+
+    def loads(self) -> DataFrame:
+        """The log of loads, a row for each run, dataset and table. A commit holds a row for each of its tables."""
+        rows = [(*r, datetime.fromisoformat(e["loaded_at"])) for e in self.log.entries() for r in e["loads"]]
+        return self.spark.createDataFrame(rows, GOLD_LOADS)
+
+    def load(self, manifest: DataFrame, tables: dict[str, DataFrame]) -> list[str]:
+        """Loads the pending tables of the manifest and gives their names. Rows are counted as they are written; if a table's number
+        is not the manifest's, or a write fails, nothing is swapped."""
+        todo = pending_loads(manifest, self.loads()).orderBy("table_name").collect()
+        folders, wrong = {}, []
+        for r in todo:
+            folders[r.table_name] = f"{r.table_name}/{uuid.uuid4().hex}"
+            seen = Observation()
+            tables[r.table_name].observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.root}/{folders[r.table_name]}")
+            if seen.get["n"] != r.rows:
+                wrong.append(r.table_name)
+        if wrong:
+            raise ValueError(f"row counts differ: {', '.join(wrong)}")
+        if todo:
+            rows = [[r.run_id, r.dataset, r.table_name, r.rows] for r in todo]
+            self.log.commit({"folders": self.folders() | folders, "loads": rows, "loaded_at": datetime.now(timezone.utc).isoformat()})
+        return list(folders)
+
+    def clean(self) -> list[str]:
+        """Removes folders that no table is read from any more, those of broken loads among them, and gives them. Not for a time at
+        which the store is read or loaded."""
+        keep, gone = set(self.folders().values()), []
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        files = hadoop.Path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for table in files.listStatus(hadoop.Path(self.root)):
+            name = table.getPath().getName()
+            if table.isDirectory() and not name.startswith(("_", ".")):
+                for version in files.listStatus(table.getPath()):
+                    folder = f"{name}/{version.getPath().getName()}"
+                    if folder not in keep:
+                        files.delete(version.getPath(), True)
+                        gone.append(folder)
+        return sorted(gone)

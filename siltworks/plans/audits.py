@@ -104,15 +104,22 @@ def _target(df):
     return df.where(F.regexp_extract("run_id", r"\d+", 0).cast("long") % 3 > 0)
 
 
+def _store(spark, runs, steps):
+    """A store that two thirds of the runs are loaded to."""
+    store = audit.AuditStore(spark, fresh_path(spark, "audit-store"))
+    store.load(_target(runs), _target(steps), "first")
+    return store
+
+
 def load_new_runs(spark, sf_dir):
     runs = audit_runs(spark, sf_dir)
     twice = runs.unionByName(runs.where(F.col("decision") == "REJECT"))
-    return audit.new_runs(twice, _target(runs)).select("run_id", "decision", "final_status")
+    return _store(spark, runs, audit_steps(spark, sf_dir)).new_runs(twice).select("run_id", "decision", "final_status")
 
 
 def load_new_steps(spark, sf_dir):
     runs, steps = audit.structured(audit_runs(spark, sf_dir), audit_steps(spark, sf_dir))
-    return audit.new_steps(audit_steps(spark, sf_dir).unionByName(steps.where("step_order = 1")), runs, _target(steps)).select("run_id", "step_order", "step_name")
+    return _store(spark, runs, steps).new_steps(audit_steps(spark, sf_dir).unionByName(steps.where("step_order = 1")), runs).select("run_id", "step_order", "step_name")
 
 
 def load_align(spark, sf_dir):
@@ -122,12 +129,13 @@ def load_align(spark, sf_dir):
 
 
 def load_twice(spark, sf_dir):
-    """Two thirds loaded, then everything, then everything again: the last load adds nothing."""
+    """Two thirds loaded, then everything, then everything again, then the second batch once more: the last two loads add nothing."""
     runs, steps = audit_runs(spark, sf_dir), audit_steps(spark, sf_dir)
-    runs_path, steps_path = fresh_path(spark, "runs"), fresh_path(spark, "steps")
-    counts = [audit.load(_target(runs), _target(steps), runs_path, steps_path), audit.load(runs, steps, runs_path, steps_path), audit.load(runs, steps, runs_path, steps_path)]
+    store = _store(spark, runs, steps)
+    first = store.log.find("first")
+    counts = [(first["runs"], first["steps"]), store.load(runs, steps, "second"), store.load(runs, steps), store.load(runs, steps, "second")]
     rows = [(i, a, b) for i, (a, b) in enumerate(counts, 1)]
-    total = spark.read.parquet(runs_path).agg(F.count(F.lit(1)).alias("runs_in_all")).join(spark.read.parquet(steps_path).agg(F.count(F.lit(1)).alias("steps_in_all")), F.lit(True))
+    total = store.runs().agg(F.count(F.lit(1)).alias("runs_in_all")).join(store.steps().agg(F.count(F.lit(1)).alias("steps_in_all")), F.lit(True))
     return spark.createDataFrame(rows, "load_number int, new_runs long, new_steps long").join(total, F.lit(True))
 
 
@@ -156,13 +164,18 @@ def gold_manifest(spark, sf_dir):
 
 
 def gold_load_pending(spark, sf_dir):
-    """The manifest of this run, loaded; then what is still pending of it and of an older run that is in the log."""
+    """The manifest of this run, loaded; then what is pending of it and of a newer run, with the rows that each table is read with."""
     tables = _gold_tables(spark, sf_dir)
     manifest = stored(_manifest(tables), "manifest")
-    none = spark.createDataFrame([], "run_id string, dataset string, table_name string, rows long")
-    log = stored(audit.load_gold(manifest, none, tables, fresh_path(spark, "gold")).select("run_id", "dataset", "table_name", "rows"), "gold-loads")
+    store = audit.GoldStore(spark, fresh_path(spark, "gold"))
+    store.load(manifest, tables)
     newer = manifest.withColumn("run_id", F.lit("run_2"))
-    return audit.pending_loads(manifest.unionByName(newer), log)
+    pending = audit.pending_loads(manifest.unionByName(newer), store.loads())
+    read = None
+    for name in tables:
+        row = store.table(name).agg(F.count(F.lit(1)).alias("rows_read")).select(F.lit(name).alias("table_name"), "rows_read")
+        read = row if read is None else read.unionByName(row)
+    return pending.join(F.broadcast(read), "table_name")
 
 
 def bronze_rows_by_file(spark, sf_dir):
@@ -203,10 +216,10 @@ ORACLES = {
     "load_new_runs": f"WITH {AUDIT_RUNS} SELECT run_id, decision, final_status FROM audit_runs WHERE NOT ({_IN_TARGET})",
     "load_new_steps": f"WITH {_STRUCTURED} SELECT run_id, step_order, step_name FROM own_steps WHERE NOT ({_IN_TARGET})",
     "load_align": f"WITH {AUDIT_RUNS} SELECT 'eu' AS zone, count(*) AS n, count(*) FILTER (WHERE decision IS DISTINCT FROM 'REJECT' AND duration_seconds IS NOT NULL) AS known, CAST(0 AS BIGINT) AS paths FROM audit_runs",
-    "load_twice": f"WITH {BOTH} SELECT CAST(i AS INTEGER) AS load_number, a AS new_runs, b AS new_steps, {_COUNT('audit_runs')} AS runs_in_all, {_COUNT('audit_steps')} AS steps_in_all FROM (SELECT 1 AS i, (SELECT count(*) FROM audit_runs WHERE {_IN_TARGET}) AS a, (SELECT count(*) FROM audit_steps WHERE {_IN_TARGET}) AS b UNION ALL SELECT 2, (SELECT count(*) FROM audit_runs WHERE NOT ({_IN_TARGET})), (SELECT count(*) FROM audit_steps WHERE NOT ({_IN_TARGET})) UNION ALL SELECT 3, 0, 0)",
+    "load_twice": f"WITH {BOTH} SELECT CAST(i AS INTEGER) AS load_number, a AS new_runs, b AS new_steps, {_COUNT('audit_runs')} AS runs_in_all, {_COUNT('audit_steps')} AS steps_in_all FROM (SELECT 1 AS i, (SELECT count(*) FROM audit_runs WHERE {_IN_TARGET}) AS a, (SELECT count(*) FROM audit_steps WHERE {_IN_TARGET}) AS b UNION ALL SELECT 2, (SELECT count(*) FROM audit_runs WHERE NOT ({_IN_TARGET})), (SELECT count(*) FROM audit_steps WHERE NOT ({_IN_TARGET})) UNION ALL SELECT 3, 0, 0 UNION ALL SELECT 4, (SELECT count(*) FROM audit_runs WHERE NOT ({_IN_TARGET})), (SELECT count(*) FROM audit_steps WHERE NOT ({_IN_TARGET})))",
     "load_full": f"WITH {AUDIT_RUNS} SELECT decision, count(*) AS n FROM audit_runs GROUP BY 1",
     "gold_manifest": f"WITH {SILVER}, k AS (SELECT * FROM silver WHERE status IS NULL OR status <> 'CANCELLED') SELECT 'run_1' AS run_id, 'sales' AS dataset, * FROM (SELECT 'by_month' AS table_name, count(DISTINCT year * 100 + month) AS rows FROM k UNION ALL SELECT 'by_region', count(DISTINCT region) FROM k UNION ALL SELECT 'by_status', count(DISTINCT coalesce(status, '?')) FROM k)",
-    "gold_load_pending": f"WITH {SILVER}, k AS (SELECT * FROM silver WHERE status IS NULL OR status <> 'CANCELLED') SELECT 'run_2' AS run_id, 'sales' AS dataset, * FROM (SELECT 'by_month' AS table_name, count(DISTINCT year * 100 + month) AS rows FROM k UNION ALL SELECT 'by_region', count(DISTINCT region) FROM k UNION ALL SELECT 'by_status', count(DISTINCT coalesce(status, '?')) FROM k)",
+    "gold_load_pending": f"WITH {SILVER}, k AS (SELECT * FROM silver WHERE status IS NULL OR status <> 'CANCELLED') SELECT 'run_2' AS run_id, 'sales' AS dataset, *, rows AS rows_read FROM (SELECT 'by_month' AS table_name, count(DISTINCT year * 100 + month) AS rows FROM k UNION ALL SELECT 'by_region', count(DISTINCT region) FROM k UNION ALL SELECT 'by_status', count(DISTINCT coalesce(status, '?')) FROM k)",
     "bronze_rows_by_file": f"WITH {SILVER} SELECT source_file, count(*) AS rows, count(*) AS stamped FROM dirty_sales GROUP BY 1",
 }
 

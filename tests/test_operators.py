@@ -158,33 +158,11 @@ def runs(spark):
     return r, s
 
 
-def test_loads_add_once_and_heal(spark, runs):
-    r, s = runs
-    runs_path, steps_path = fresh_path(spark, "runs"), fresh_path(spark, "steps")
-    assert audit.load(r.where("run_id = 'r0'"), s, runs_path, steps_path) == (1, 3)
-    # a load that broke off after its steps were written
-    audit.normalise(s.where("run_id = 'r1'"), audit.STEPS).write.mode("append").parquet(steps_path)
-    assert audit.load(r, s, runs_path, steps_path) == (3, 6)
-    assert audit.load(r.union(r), s.union(s), runs_path, steps_path) == (0, 0)
-    assert (spark.read.parquet(runs_path).count(), spark.read.parquet(steps_path).count()) == (4, 12)
-
-
 def test_step_kpis_count_unknown_as_success(runs):
     k = audit.step_kpis(runs[1]).first()
     assert (k.total, k.failed, k.mean_duration) == (12, 2, 1.0)
 
 
-def test_arriving_audit_files(spark, runs):
-    from siltworks.streaming.audit_stream import load_arriving
-
-    folder, runs_path, steps_path, checkpoint = (fresh_path(spark, n) for n in ("arriving", "runs", "steps", "stream"))
-    records = audit.nested(*runs)
-    for part in ("run_id < 'r2'", "true"):
-        records.where(part).write.mode("append").json(folder)
-        load_arriving(spark, folder, records.schema, runs_path, steps_path, checkpoint)
-    assert (spark.read.parquet(runs_path).count(), spark.read.parquet(steps_path).count()) == (4, 12)
-
-
 def test_landing_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id;when;note\n1;2026-01-02;x\n2;2026-01-03;NA\n")
     (tmp_path / "b.csv").write_text("7,2026-01-02,5\n8,2026-01-03,6\n9,2026-01-04,7\n")
