@@ -76,7 +76,7 @@ def name_headerless(spark, sf_dir):
     return _summary(fl.typed(named, KINDS))
 
 
-#: Rows of a landing file, about: its head is read with the whole file as one row.
+#: Rows of a landing file, about.
 FILE_ROWS = 100_000
 
 
@@ -93,7 +93,8 @@ def _landing(spark, sf_dir):
     one.write.options(header=False, sep=",", **options).csv(f"{path}/kind=headerless")
     one.write.json(f"{path}/kind=json")
     two.write.parquet(f"{path}/kind=parquet")
-    files = fl.heads(spark, path).where("path RLIKE 'part-[^/]*$' AND length > 0")
+    spark.range(0).selectExpr("'' AS line").coalesce(1).write.text(f"{path}/kind=empty")
+    files = fl.heads(spark, path).where("path RLIKE 'part-[^/]*$'")
     return files.withColumn("kind", F.regexp_extract("path", "kind=([a-z]+)", 1))
 
 
@@ -139,21 +140,37 @@ _SUMMARY = "SELECT source_file, count(*) AS n, count({product}) AS products, cou
 _PLAIN = f"WITH {DIRTY_SALES} " + _SUMMARY.format(product="product", status="status")
 _FOLDED = f"WITH {DIRTY_SALES} " + _SUMMARY.format(product="nullif(product, '')", status="status")
 
-#: Files that a kind has at least; more where the table needs more.
-_FILES = f"""WITH {DIRTY_SALES}, needed AS (SELECT CAST(ceil(count(*) / {FILE_ROWS}.0) AS BIGINT) AS n FROM dirty_sales),
-kinds(kind, format, detected_by, delimiter, least_files) AS (VALUES ('semicolon', 'csv', 'extension', ';', 2), ('tab', 'csv', 'extension', chr(9), 2), ('headerless', 'csv', 'extension', ',', 1), ('json', 'json', 'extension', NULL, 1), ('parquet', 'parquet', 'signature', NULL, 2))"""
+_CELLS = [f"coalesce(CAST({c} AS VARCHAR), '')" for c in COLUMNS]
+_CELL_KIND = "CASE WHEN TRY_CAST({0} AS DOUBLE) IS NOT NULL THEN 'number' WHEN TRY_CAST({0} AS TIMESTAMP) IS NOT NULL THEN 'date' ELSE 'text' END"
+
+#: Each kind's files hold every row as a line. What is told from a file's head is derived here from all of the table's rows and names.
+_LINES = f"""WITH {DIRTY_SALES}, written(kind, mark, header) AS (VALUES ('semicolon', ';', true), ('tab', chr(9), true), ('headerless', ',', false)),
+names AS (SELECT column_name AS name, row_number() OVER () AS p FROM (DESCRIBE FROM dirty_sales)),
+lines AS (SELECT kind, concat_ws(mark, {", ".join(_CELLS)}) AS line FROM dirty_sales, written
+  UNION ALL SELECT kind, replace((SELECT string_agg(name, ',' ORDER BY p) FROM names), ',', mark) FROM written WHERE header),
+candidates(d, p) AS (VALUES (',', 0), (';', 1), (chr(9), 2), ('|', 3)),
+fits AS (SELECT kind, d, p, min(n) AS n FROM (SELECT kind, d, p, length(line) - length(replace(line, d, '')) AS n FROM lines, candidates) GROUP BY 1, 2, 3 HAVING min(n) = max(n) AND min(n) > 0),
+delimiters AS (SELECT kind, coalesce(arg_max(d, n * 10 - p), ',') AS delimiter FROM written LEFT JOIN fits USING (kind) GROUP BY 1)"""
+
+_HEADERS = f"""{_LINES}, body AS (SELECT p, min(k) AS low, max(k) AS high FROM (SELECT p, {_CELL_KIND.format("cell")} AS k FROM (SELECT unnest([{", ".join(_CELLS)}]) AS cell, unnest(range(1, {len(COLUMNS) + 1})) AS p FROM dirty_sales)) GROUP BY 1),
+firsts AS (SELECT kind, p, low, high, CASE WHEN header THEN {_CELL_KIND.format("name")} ELSE low END AS first FROM written, body JOIN names USING (p))
+SELECT kind, NOT coalesce(bool_and(first = low) FILTER (WHERE low = high AND low <> 'text'), false) AS has_header FROM firsts GROUP BY 1"""
+
+_FILES = f"""{_LINES}, needed AS (SELECT CAST(ceil(count(*) / {FILE_ROWS}.0) AS BIGINT) AS n FROM dirty_sales),
+kinds(kind, extension, first_bytes, least_files) AS (VALUES ('semicolon', 'csv', NULL, 2), ('tab', 'csv', NULL, 2), ('headerless', 'csv', NULL, 1), ('json', 'json', NULL, 1), ('parquet', 'parquet', 'PAR1', 2)),
+files AS (SELECT kind, extension, first_bytes, greatest(least_files, n) AS files FROM kinds, needed UNION ALL SELECT 'empty', 'txt', NULL, 1)"""
 
 ORACLES = {
-    "classify_files": _FILES + " SELECT kind, format, detected_by, delimiter, CAST(NULL AS VARCHAR) AS error, greatest(least_files, n) AS files FROM kinds, needed",
-    "group_files": _FILES + " SELECT (SELECT string_agg(column_name, ',' ORDER BY column_name) FROM (DESCRIBE FROM dirty_sales)) AS columns, CAST(sum(greatest(least_files, n)) AS INTEGER) AS files FROM kinds, needed WHERE kind IN ('semicolon', 'tab')",
+    "classify_files": _FILES + " SELECT kind, CASE WHEN first_bytes = 'PAR1' THEN 'parquet' WHEN extension = 'txt' THEN 'csv' ELSE extension END AS format, CASE WHEN first_bytes IS NOT NULL THEN 'signature' ELSE 'extension' END AS detected_by, CASE WHEN extension IN ('csv', 'txt') THEN coalesce(delimiter, ',') END AS delimiter, CASE WHEN kind = 'empty' THEN 'EMPTY_FILE' END AS error, files FROM files LEFT JOIN delimiters USING (kind)",
+    "group_files": _FILES + " SELECT (SELECT string_agg(name, ',' ORDER BY name) FROM names) AS columns, CAST(sum(files) AS INTEGER) AS files FROM files JOIN written USING (kind) WHERE header",
     "scan_csv": _FOLDED,
     "scan_json": f"WITH {DIRTY_SALES} SELECT region, count(*) AS n, sum(quantity) AS quantity, count(DISTINCT customer_id) AS customers FROM dirty_sales GROUP BY 1",
     "scan_jsonl": _PLAIN,
     "scan_parquet": _PLAIN,
     "combine_batch": f"WITH {DIRTY_SALES} " + _SUMMARY.format(product="product", status="CASE WHEN source_file <> 'part_2' THEN status END"),
     "name_headerless": _FOLDED,
-    "sniff_delimiter": "SELECT * FROM (VALUES ('semicolon', ';'), ('tab', chr(9)), ('headerless', ',')) t(kind, delimiter)",
-    "detect_header": "SELECT * FROM (VALUES ('semicolon', true), ('tab', true), ('headerless', false)) t(kind, has_header)",
+    "sniff_delimiter": _LINES + " SELECT kind, delimiter FROM delimiters",
+    "detect_header": _HEADERS,
     "read_archives": f"WITH {DIRTY_SALES} SELECT 'sales.csv' AS member, source_file, count(*) AS n FROM dirty_sales GROUP BY 2",
 }
 

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import io
+import shutil
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltworks.functions import values as v
 
+from . import landing
+
 #: Bytes of a file from which format and delimiter are told, and rows from which a header is.
 HEAD_BYTES, HEAD_ROWS = 65_536, 200
 #: Candidates for a delimiter in order, formats by extension.
@@ -22,6 +27,8 @@ EXTENSIONS = {"csv": "csv", "tsv": "csv", "txt": "csv", "json": "json", "jsonl":
 SIGNATURES = {"50415231": "parquet", "504B0304": "zip", "D0CF11E0": "excel", "1F8B": "gzip"}
 #: Files in an archive, bytes of a member, bytes of all members.
 ARCHIVE_FILES, ARCHIVE_MEMBER_BYTES, ARCHIVE_BYTES = 200, 100 << 20, 500 << 20
+#: Lines of an archive's member that are handed on at once.
+LINES_A_BATCH = 10_000
 
 
 # -- readers -------------------------------------------------------------------------------------
@@ -100,24 +107,8 @@ def name_columns(df: DataFrame, names: list[str] | None = None, contracts: dict[
 
 
 def heads(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, head) of all files below a folder. Spark's binary reader loads a file to give its first bytes, so this is for
-    landing files, not for tables."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    filled = files.select("path", "length", F.substring("content", 1, HEAD_BYTES).alias("head"))
-    empty = [(p, 0, b"") for p in _empty_files(spark, path)]  # Spark's readers leave these out
-    return filled.unionByName(spark.createDataFrame(empty, "path string, length long, head binary")) if empty else filled
-
-
-def _empty_files(spark: SparkSession, path: str) -> list[str]:
-    """Paths of files without a byte, from a listing by the store's own client."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True)
-    out = []
-    while found.hasNext():
-        f = found.next()
-        if f.getLen() == 0 and not f.getPath().getName().startswith((".", "_")):
-            out.append(f.getPath().toString())
-    return out
+    """(path, length, head) of all files below a folder, those without a byte among them: of each, the first HEAD_BYTES."""
+    return landing.heads(spark, path, HEAD_BYTES)
 
 
 def _text(head: Column) -> Column:
@@ -195,28 +186,71 @@ def group_by_columns(files: DataFrame) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """`unzipped` for all ZIP archives below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
-    return unzipped(files)
+    """`unzipped` for all ZIP archives below a folder; each member is read from its archive's place by the task that unzips it."""
+    names = landing.listing(spark, path).where(F.lower("path").endswith(".zip")).select("path", F.lit(None).cast("binary").alias("content"))
+    return unzipped(names)
+
+
+def _members(z: zipfile.ZipFile, name: str) -> list[zipfile.ZipInfo]:
+    """The data files of an archive; an archive beyond the limits is refused."""
+    members = [m for m in z.infolist() if not m.is_dir() and "/" not in m.filename and not m.filename.startswith((".", "_"))]
+    if len(members) > ARCHIVE_FILES or any(m.file_size > ARCHIVE_MEMBER_BYTES for m in members) or sum(m.file_size for m in members) > ARCHIVE_BYTES:
+        raise ValueError(f"{name} holds too many or too large files")
+    return members
+
+
+@contextmanager
+def _archive(path: str, content: bytes | None) -> Iterator[zipfile.ZipFile]:
+    """An archive from its bytes, or from its place, where only what is asked for is read."""
+    if content is not None:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            yield z
+    else:
+        store, inner, _ = landing.store_of(path)
+        with store.open_input_file(inner) as f, zipfile.ZipFile(f) as z:
+            yield z
+
+
+def member_lines(data: io.BufferedIOBase) -> Iterator[str]:
+    """The lines of a UTF-8 file, decoded as they are read. A line ends at LF, CR LF or CR and nowhere else; bytes that are no
+    UTF-8 become U+FFFD."""
+    with io.TextIOWrapper(data, "utf-8-sig", errors="replace", newline=None) as text:
+        for line in text:
+            yield line.removesuffix("\n")
 
 
 def unzipped(archives: DataFrame) -> DataFrame:
-    """(archive, member, line_number, line) of the data files in archives (path, content). An archive is one task's work, within its
-    limits. Hidden and nested members are left out; an archive with too many or too large members is refused. Unzipping is the one
-    thing here that Spark has no function for."""
-
-    def unzip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    members = [m for m in z.infolist() if not m.is_dir() and "/" not in m.filename and not m.filename.startswith((".", "_"))]
-                    if len(members) > ARCHIVE_FILES or any(m.file_size > ARCHIVE_MEMBER_BYTES for m in members) or sum(m.file_size for m in members) > ARCHIVE_BYTES:
-                        raise ValueError(f"{name} holds too many or too large files")
-                    for m in members:
-                        with z.open(m) as f:
-                            lines = io.TextIOWrapper(f, "utf-8-sig").read().splitlines()
-                        for at in range(0, len(lines), 10_000):
-                            part = lines[at : at + 10_000]
-                            yield pd.DataFrame({"archive": name.rsplit("/", 1)[-1], "member": m.filename, "line_number": range(at + 1, at + 1 + len(part)), "line": part})
-
-    return archives.select("path", "content").mapInPandas(unzip, "archive string, member string, line_number long, line string")
+    """(archive, member, line_number, line) of the data files in archives (path, content; where content is null the archive is read
+    from its path). The directories are read first; then each member is a row, dealt to tasks, so the members of one archive are
+    unzipped by many. Hidden and nested members are left out; an archive with too many or too large members is refused. Unzipping is the
+    one thing here that Spark has no function for."""
+
+    def directory(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*[c.to_pylist() for c in batch.columns]):
+                with _archive(path, content) as z:
+                    for m in _members(z, path):
+                        # a member of an archive in memory goes on alone, as it is compressed
+                        own = None
+                        if content is not None:
+                            buffer = io.BytesIO()
+                            with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as one:
+                                with z.open(m) as source, one.open(m.filename, "w") as to:
+                                    shutil.copyfileobj(source, to)
+                            own = buffer.getvalue()
+                        yield pa.RecordBatch.from_pydict({"path": pa.array([path], pa.string()), "member": pa.array([m.filename], pa.string()), "content": pa.array([own], pa.binary())})
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, member, content in zip(*[c.to_pylist() for c in batch.columns]):
+                with _archive(path, content) as z, z.open(member) as f:
+                    number = 0
+                    found = member_lines(f)
+                    while part := list(islice(found, LINES_A_BATCH)):
+                        n = len(part)
+                        yield pa.RecordBatch.from_pydict({"archive": pa.array([path.rsplit("/", 1)[-1]] * n, pa.string()), "member": pa.array([member] * n, pa.string()), "line_number": pa.array(range(number + 1, number + 1 + n), pa.int64()), "line": pa.array(part, pa.string())})
+                        number += n
+
+    members = archives.select("path", "content").mapInArrow(directory, "path string, member string, content binary")
+    dealt = members.repartition(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(lines, "archive string, member string, line_number long, line string")

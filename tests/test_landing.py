@@ -1,13 +1,101 @@
+import io
+import os
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
 from siltworks.plans import files
+from siltworks.sources import files as fl
+from siltworks.sources import landing
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_files_do_not_grow_with_the_table(spark, monkeypatch):
     monkeypatch.setattr(files, "FILE_ROWS", 2000, raising=False)
-    landing = files._landing(spark, SF).cache()
-    monkeypatch.setattr(files, "_landing", lambda *_: landing)
-    sizes = landing.groupBy("kind").count().collect()
-    assert len(sizes) == 5 and all(r["count"] >= 3 for r in sizes), sizes
+    made = files._landing(spark, SF).cache()
+    monkeypatch.setattr(files, "_landing", lambda *_: made)
+    sizes = {r.kind: r["count"] for r in made.groupBy("kind").count().collect()}
+    assert sizes.pop("empty") == 1 and len(sizes) == 5 and all(n >= 3 for n in sizes.values()), sizes
     assert {tuple(r) for r in files.sniff_delimiter(spark, SF).collect()} == {("semicolon", ";"), ("tab", "\t"), ("headerless", ",")}
     assert {tuple(r) for r in files.detect_header(spark, SF).collect()} == {("semicolon", True), ("tab", True), ("headerless", False)}
+
+
+def test_a_sparse_file_of_3_gb_is_classified(spark, tmp_path):
+    """No file is read whole: of each, tasks read 64 KB."""
+    with open(tmp_path / "big.csv", "w") as f:
+        f.write("id;name\n" + "1;x\n" * 40_000)
+        f.truncate(3 << 30)
+    (tmp_path / "empty.csv").write_text("")
+    out = {os.path.basename(r.path): r for r in fl.heads(spark, str(tmp_path)).collect()}
+    assert out["big.csv"].length == 3 << 30 and len(out["big.csv"].head) == fl.HEAD_BYTES
+    assert out["empty.csv"].length == 0 and bytes(out["empty.csv"].head) == b""
+    kinds = {os.path.basename(r.path): (r.format, r.delimiter, r.error) for r in fl.classify(fl.heads(spark, f"file://{tmp_path}")).collect()}
+    assert kinds == {"big.csv": ("csv", ";", None), "empty.csv": ("csv", ",", "EMPTY_FILE")}
+
+
+def test_listing_of_nested_and_hidden_files(spark, tmp_path):
+    for name in ("a.csv", "b.csv", "c.csv", ".hidden", "_SUCCESS", "deep/d.csv", "deep/er/e.csv", "deep/_tmp/f.csv", ".git/g.csv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    found = landing.listing(spark, str(tmp_path))
+    assert sorted(r.path.removeprefix(f"file:{tmp_path}/") for r in found.collect()) == ["a.csv", "b.csv", "c.csv", "deep/d.csv", "deep/er/e.csv"]
+    # a task for the files of the folder itself, one for the folder below
+    assert found.rdd.getNumPartitions() == 2
+    (tmp_path / "none").mkdir()
+    assert landing.listing(spark, str(tmp_path / "none")).count() == 0 and fl.heads(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_folder_that_is_not_there_raises(spark, tmp_path):
+    with pytest.raises(Exception, match="nowhere"):
+        fl.heads(spark, str(tmp_path / "nowhere")).collect()
+
+
+def test_a_store_that_only_spark_reaches(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("a;b\n1;2\n")
+    monkeypatch.setattr(landing, "_reached", lambda path: False)
+    assert [(r.length, bytes(r.head)) for r in fl.heads(spark, str(tmp_path)).collect()] == [(8, b"a;b\n1;2\n")]
+    assert not [x for x in ("viewfs://c/x",) if _try(x)]
+
+
+def _try(path):
+    try:
+        landing.store_of(path)
+    except Exception:
+        return False
+    return True
+
+
+def archive(path, members):
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in members.items():
+            z.writestr(name, data)
+
+
+def test_members_of_archives(spark, tmp_path):
+    odd = "one\x85still one\x0cline\r\ntwo\n\nfour, no end".encode()
+    members = {f"m{i}.csv": f"{i}\n" * 25_000 for i in range(6)} | {"odd.csv": b"\xef\xbb\xbf" + odd, "bad.csv": b"a\xff\n", "empty.csv": "", ".hidden": "no\n", "deep/in.csv": "no\n"}
+    archive(tmp_path / "x.zip", members)
+    archive(tmp_path / "y.ZIP", {"one.csv": "1\n"})
+    out = fl.read_archives(spark, str(tmp_path))
+    got = {}
+    for r in out.collect():
+        got.setdefault((r.archive, r.member), []).append((r.line_number, r.line))
+    assert sorted(m for a, m in got if a == "x.zip") == ["bad.csv", *[f"m{i}.csv" for i in range(6)], "odd.csv"]
+    assert sorted(got["x.zip", "odd.csv"]) == [(1, "one\x85still one\x0cline"), (2, "two"), (3, ""), (4, "four, no end")]
+    assert got["x.zip", "bad.csv"] == [(1, "a�")] and got["y.ZIP", "one.csv"] == [(1, "1")]
+    assert sorted(got["x.zip", "m3.csv"]) == [(i + 1, "3") for i in range(25_000)]
+    # the members of one archive are more than one task's work
+    assert out.where("archive = 'x.zip'").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_archives_in_memory_and_beyond_limits(spark, monkeypatch):
+    buffer = io.BytesIO()
+    archive(buffer, {"a.csv": "1\n2\n", "b.csv": "3\n"})
+    rows = spark.createDataFrame([("in/memory.zip", bytearray(buffer.getvalue()))], "path string, content binary")
+    assert sorted((r.archive, r.member, r.line_number, r.line) for r in fl.unzipped(rows).collect()) == [("memory.zip", "a.csv", 1, "1"), ("memory.zip", "a.csv", 2, "2"), ("memory.zip", "b.csv", 1, "3")]
+    many = io.BytesIO()
+    archive(many, {f"{i}.csv": "x" for i in range(fl.ARCHIVE_FILES + 1)})
+    with pytest.raises(Exception, match="too many"):
+        fl.unzipped(spark.createDataFrame([("m.zip", bytearray(many.getvalue()))], "path string, content binary")).collect()
