@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltworks.functions import values as v
+from siltworks.functions.running import running_sum
 from siltworks.sources.bucketed import BUCKETS, BucketedTable, by_bucket_key
 from siltworks.sources.commits import CommitLog
 
@@ -55,65 +56,92 @@ def structured(runs: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]
     return own, steps.join(own.select("run_id"), "run_id", "left_semi")
 
 
+def _is(column: str, value: str) -> Column:
+    """A null is no value."""
+    return F.col(column).eqNullSafe(value)
+
+
 def run_kpis(runs: DataFrame) -> DataFrame:
-    """Eleven values over all runs, zeros for none."""
-    share = lambda c: F.round(F.coalesce(F.try_divide(F.count_if(c), F.count(F.lit(1))), F.lit(0.0)), 6)
-    is_ = lambda column, value: F.col(column).eqNullSafe(value)
+    """Eleven values over all runs, zeros for none. Runs are counted by mode (assess only, ingest), by decision (quarantine, reject)
+    and by final status; the mean is of known durations."""
+    n = F.count(F.lit(1))
+    share = lambda c: F.round(F.coalesce(F.try_divide(F.count_if(c), n), F.lit(0.0)), 6)
     return runs.agg(
-        F.count(F.lit(1)).alias("total_runs"),
-        F.count_if(is_("decision", "INGEST")).alias("ingest_runs"),
-        F.count_if(is_("decision", "QUARANTINE")).alias("quarantine_runs"),
-        F.count_if(is_("decision", "REJECT")).alias("reject_runs"),
-        F.count_if(is_("final_status", "SUCCESS")).alias("success_runs"),
-        F.count_if(is_("final_status", "FAILED")).alias("failed_runs"),
-        share(is_("final_status", "SUCCESS")).alias("success_rate"),
-        share(is_("final_status", "FAILED")).alias("failure_rate"),
-        share(is_("decision", "QUARANTINE")).alias("quarantine_rate"),
-        share(is_("decision", "REJECT")).alias("reject_rate"),
-        F.round(F.coalesce(F.avg("duration_seconds"), F.lit(0.0)), 6).alias("mean_duration"),
+        n.alias("total_runs"),
+        F.count_if(_is("execution_mode", "ASSESS_ONLY")).alias("assess_only_runs"),
+        F.count_if(_is("execution_mode", "INGEST")).alias("ingest_runs"),
+        F.count_if(_is("decision", "QUARANTINE")).alias("quarantine_runs"),
+        F.count_if(_is("decision", "REJECT")).alias("reject_runs"),
+        F.count_if(_is("final_status", "SUCCESS")).alias("successful_runs"),
+        F.count_if(_is("final_status", "FAILED")).alias("failed_runs"),
+        share(_is("final_status", "SUCCESS")).alias("success_rate"),
+        share(_is("decision", "QUARANTINE")).alias("quarantine_rate"),
+        share(_is("decision", "REJECT")).alias("reject_rate"),
+        F.when(n == 0, 0.0).otherwise(F.round(F.avg("duration_seconds"), 6)).alias("average_duration_seconds"),
     )
 
 
 def step_kpis(steps: DataFrame) -> DataFrame:
-    """For each step name: count, failures, success rate (not FAILED, null included), mean of known durations."""
-    failed = F.col("status").eqNullSafe("FAILED")
-    return steps.groupBy("step_name").agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(failed).alias("failed"), F.round(F.count_if(~failed) / F.count(F.lit(1)), 6).alias("success_rate"), F.round(F.avg("duration_seconds"), 6).alias("mean_duration")
+    """(scope, step_name, executions, failed_executions, success_rate, average_duration_seconds): one row over all steps (scope "all",
+    also for none), and one for each step name. A step is a success unless it is FAILED, unknown included; the mean is of known
+    durations and null without any."""
+    own = steps.groupBy("step_name").agg(
+        F.count(F.lit(1)).alias("executions"), F.count_if(_is("status", "FAILED")).alias("failed_executions"), F.sum("duration_seconds").alias("_sum"), F.count("duration_seconds").alias("_known")
     )
+    whole = own.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("executions", "failed_executions", "_known")], F.sum("_sum").alias("_sum"))
+    rows = whole.select(F.lit("all").alias("scope"), F.lit(None).cast("string").alias("step_name"), *own.columns[1:]).unionByName(own.where("step_name IS NOT NULL").select(F.lit("step").alias("scope"), "*"))
+    rate = F.coalesce(F.try_divide(F.col("executions") - F.col("failed_executions"), F.col("executions")), F.lit(0.0))
+    return rows.select("scope", "step_name", "executions", "failed_executions", F.round(rate, 6).alias("success_rate"), F.round(F.try_divide("_sum", "_known"), 6).alias("average_duration_seconds"))
 
 
 def step_status(steps: DataFrame) -> DataFrame:
     return steps.groupBy("step_name", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The measures of an observability model by name, in order: what they are of, and how. A rate is one measure by another.
+MEASURES = (
+    ("Total Runs", "runs", "count", None, None),
+    ("Successful Runs", "runs", "where", "final_status", "SUCCESS"),
+    ("Failed Runs", "runs", "where", "final_status", "FAILED"),
+    ("Assess Only Runs", "runs", "where", "execution_mode", "ASSESS_ONLY"),
+    ("Ingest Mode Runs", "runs", "where", "execution_mode", "INGEST"),
+    ("Ingest Decision Runs", "runs", "where", "decision", "INGEST"),
+    ("Quarantine Runs", "runs", "where", "decision", "QUARANTINE"),
+    ("Reject Runs", "runs", "where", "decision", "REJECT"),
+    ("Success Rate", "runs", "rate", "Successful Runs", "Total Runs"),
+    ("Quarantine Rate", "runs", "rate", "Quarantine Runs", "Total Runs"),
+    ("Reject Rate", "runs", "rate", "Reject Runs", "Total Runs"),
+    ("Average Duration (s)", "runs", "mean", "duration_seconds", None),
+    ("Step Executions", "steps", "count", None, None),
+    ("Failed Steps", "steps", "where", "status", "FAILED"),
+    ("Succeeded Steps", "steps", "not where", "status", "FAILED"),
+    ("Step Success Rate", "steps", "rate", "Succeeded Steps", "Step Executions"),
+    ("Average Step Duration (s)", "steps", "mean", "duration_seconds", None),
+)
+
+
 def measures(runs: DataFrame, steps: DataFrame) -> DataFrame:
-    """(measure, value): counts, averages and ratios (0 for 0) of runs and of the steps of these runs."""
-    is_ = lambda column, value: F.col(column).eqNullSafe(value)
-    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    all_ = F.count(F.lit(1))
-    of_runs = {
-        "Total Runs": all_,
-        "Ingest Runs": F.count_if(is_("decision", "INGEST")),
-        "Quarantine Runs": F.count_if(is_("decision", "QUARANTINE")),
-        "Reject Runs": F.count_if(is_("decision", "REJECT")),
-        "Successful Runs": F.count_if(is_("final_status", "SUCCESS")),
-        "Failed Runs": F.count_if(is_("final_status", "FAILED")),
-        "Average Run Duration": F.avg("duration_seconds"),
-        "Ingest Rate": ratio(F.count_if(is_("decision", "INGEST")), all_),
-        "Quarantine Rate": ratio(F.count_if(is_("decision", "QUARANTINE")), all_),
-        "Reject Rate": ratio(F.count_if(is_("decision", "REJECT")), all_),
-        "Success Rate": ratio(F.count_if(is_("final_status", "SUCCESS")), all_),
-        "Failure Rate": ratio(F.count_if(is_("final_status", "FAILED")), all_),
-    }
-    failed = is_("status", "FAILED")
-    of_steps = {"Total Steps": all_, "Failed Steps": F.count_if(failed), "Successful Steps": F.count_if(~failed), "Average Step Duration": F.avg("duration_seconds"), "Step Success Rate": ratio(F.count_if(~failed), all_)}
-
-    def long(df: DataFrame, specs: dict[str, Column]) -> DataFrame:
-        one = df.agg(*[c.cast("double").alias(f"m{i}") for i, c in enumerate(specs.values())])
-        return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.round(F.col(f"m{i}"), 6).alias("value")) for i, n in enumerate(specs)])).alias("t")).select("t.*")
+    """(measure, value) of MEASURES over the runs and over the steps of these runs. A run's mode and its decision are two things: a
+    file that is rejected in INGEST mode counts for both. A rate of none is 0, a mean of none null, and "not" counts nulls."""
+    by_name = {m[0]: m for m in MEASURES}
+
+    def value(name: str) -> Column:
+        _, _, how, column, wanted = by_name[name]
+        if how == "count":
+            return F.count(F.lit(1))
+        if how == "mean":
+            return F.avg(column)
+        if how == "rate":
+            return F.coalesce(F.try_divide(value(column), value(wanted)), F.lit(0.0))
+        return F.count_if(_is(column, wanted) if how == "where" else ~_is(column, wanted))
+
+    def long(df: DataFrame, of: str) -> DataFrame:
+        names = [m[0] for m in MEASURES if m[1] == of]
+        one = df.agg(*[value(n).cast("double").alias(f"m{i}") for i, n in enumerate(names)])
+        return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.round(F.col(f"m{i}"), 6).alias("value")) for i, n in enumerate(names)])).alias("t")).select("t.*")
 
     own = steps.join(runs.select("run_id").distinct(), "run_id", "left_semi")
-    return long(runs, of_runs).unionByName(long(own, of_steps))
+    return long(runs, "runs").unionByName(long(own, "steps"))
 
 
 def summary(runs: DataFrame) -> DataFrame:
@@ -128,30 +156,43 @@ def find(runs: DataFrame, run_id: str | None = None, decision: str | None = None
     return runs
 
 
-MEANINGS = {
-    ("INGEST", "INGEST"): "LOADED",
-    ("INGEST", "ASSESS_ONLY"): "WOULD_LOAD",
-    ("QUARANTINE", None): "HELD_FOR_REVIEW",
-    ("REJECT", None): "REFUSED",
-}
-
-
 def explain(runs: DataFrame, steps: DataFrame) -> DataFrame:
-    """(run_id, meaning, failed_step, n_steps): what a run's decision means in its mode, and the first step that failed."""
-    meaning = F.lit("UNKNOWN")
-    for (decision, mode), text in reversed(MEANINGS.items()):
-        fits = F.col("decision").eqNullSafe(decision) & (F.lit(True) if mode is None else F.col("execution_mode").eqNullSafe(mode))
-        meaning = F.when(fits, text).otherwise(meaning)
+    """One row for each run: its file, contract, mode, decision, status, times and error as recorded; `meaning`, what the decision
+    means in its mode; the first step that failed; the number of steps; and `outputs`, those recorded, else none.
+
+    An admitted run is LOADED in INGEST mode and WOULD_LOAD in ASSESS_ONLY mode. A quarantined or rejected run is NOT_LOADED in any
+    mode. A run with a mode but no decision has NO_DECISION. The meaning of any other is not recorded: null."""
+    recorded = {c: F.col(c) if c in runs.columns else F.lit(None).cast(RUNS[c].dataType).alias(c) for c in RUNS.names if c != "run_id"}
+    admitted, mode = _is("decision", "INGEST"), recorded["execution_mode"]
+    meaning = (
+        F.when(admitted & mode.eqNullSafe("INGEST"), "LOADED")
+        .when(admitted & mode.eqNullSafe("ASSESS_ONLY"), "WOULD_LOAD")
+        .when(F.col("decision").isin("QUARANTINE", "REJECT"), "NOT_LOADED")
+        .when(F.col("decision").isNull() & (F.coalesce(mode, F.lit("")) != ""), "NO_DECISION")
+    )
+    outputs = F.coalesce(F.col("outputs"), F.expr("cast(array() as array<string>)")) if "outputs" in runs.columns else F.expr("cast(array() as array<string>)")
     failed = F.when(F.col("status") == "FAILED", F.struct("step_order", "step_name"))
     of_run = steps.groupBy("run_id").agg(F.min(failed)["step_name"].alias("failed_step"), F.count(F.lit(1)).alias("n_steps"))
-    return runs.join(of_run, "run_id", "left").select("run_id", meaning.alias("meaning"), "failed_step", F.coalesce("n_steps", F.lit(0)).alias("n_steps"))
-
-
-def combined(records: DataFrame, batch: Column) -> DataFrame:
-    """(batch_id, decision, n_runs, step_names, duration_seconds): admitted runs of a batch as one, steps in order of runs."""
-    rows = records.where(F.col("decision") == "INGEST").select(batch.alias("batch_id"), F.struct("started_at", "run_id", F.transform(F.coalesce("steps", F.expr("array()")), lambda s: s["step_name"]).alias("names")).alias("r"), "duration_seconds")
-    out = rows.groupBy("batch_id").agg(F.array_sort(F.collect_list("r")).alias("rs"), v.money_total(F.col("duration_seconds")).alias("duration_seconds"))
-    return out.select("batch_id", F.lit("INGEST").alias("decision"), F.size("rs").cast("long").alias("n_runs"), F.array_join(F.flatten(F.col("rs.names")), ",").alias("step_names"), "duration_seconds")
+    own = runs.select("run_id", *recorded.values(), meaning.alias("meaning"), outputs.alias("outputs"))
+    return own.join(of_run, "run_id", "left").select("run_id", *recorded, "meaning", "failed_step", F.coalesce("n_steps", F.lit(0)).alias("n_steps"), "outputs")
+
+
+def combined_runs(runs: DataFrame, steps: DataFrame, batch: Column) -> DataFrame:
+    """(batch_id, decision, n_runs, n_steps, duration_seconds): the admitted runs of each batch as one."""
+    own = runs.where(_is("decision", "INGEST")).select(batch.alias("batch_id"), "run_id", "duration_seconds")
+    numbers = steps.groupBy("run_id").agg(F.count(F.lit(1)).alias("_steps"))
+    sums = own.join(numbers, "run_id", "left").groupBy("batch_id")
+    return sums.agg(F.count(F.lit(1)).alias("n_runs"), F.coalesce(F.sum("_steps"), F.lit(0)).alias("n_steps"), v.money_total(F.col("duration_seconds")).alias("duration_seconds")).select("batch_id", F.lit("INGEST").alias("decision"), "n_runs", "n_steps", "duration_seconds")
+
+
+def combined_steps(runs: DataFrame, steps: DataFrame, batch: Column) -> DataFrame:
+    """(batch_id, position, run_id, step_order, step_name, status, duration_seconds): the steps of a batch's admitted runs one after
+    the other, in order of the runs' start, numbered from 1. A row is a step; ranges of rows are numbered by tasks, so a batch may
+    hold any number of runs."""
+    own = runs.where(_is("decision", "INGEST")).select(batch.alias("batch_id"), "run_id", F.col("started_at").alias("_started"))
+    rows = steps.select("run_id", "step_order", "step_name", "status", "duration_seconds").join(own, "run_id")
+    order = [F.col("_started").asc_nulls_first(), F.col("run_id").asc(), F.col("step_order").asc()]
+    return running_sum(rows, "batch_id", order, F.lit(1).cast("long")).select("batch_id", F.col("running").cast("long").alias("position"), "run_id", "step_order", "step_name", "status", "duration_seconds")
 
 
 def append(records: DataFrame, path: str) -> None:

@@ -13,14 +13,19 @@ from .gold import Exclusion
 MAX_FILTERS = 5
 MAX_LIST_VALUES = 50
 MAX_DETAIL_COLUMNS = 10
+#: Fixed value: the values that a dimension may have to split a chart.
+MAX_SPLIT_VALUES = 5
 
 SCATTER_BINS = 20
 
 
-def month_split(df: DataFrame, measure: Column, temporal: str, split: str, exclusion: Exclusion) -> DataFrame:
-    """(month, split, total): the measure's monthly course, split by a dimension of few values; null months are left out."""
+def month_split(df: DataFrame, measure: Column, temporal: str, split: str, exclusion: Exclusion, most: int = MAX_SPLIT_VALUES) -> DataFrame:
+    """(month, split, total): the measure's monthly course, split by a dimension; null months are left out. No row where the dimension
+    has more than `most` values, null not counted: such a split is no chart."""
     month = F.trunc(F.to_date(temporal), "month")
-    return df.where(exclusion.keeps() & F.col(temporal).isNotNull()).groupBy(month.alias("month"), F.col(split).alias("split")).agg(v.money_total(measure).alias("total"))
+    few = df.agg((F.count_distinct(split) <= most).alias("_few"))
+    out = df.where(exclusion.keeps() & F.col(temporal).isNotNull()).groupBy(month.alias("month"), F.col(split).alias("split")).agg(v.money_total(measure).alias("total"))
+    return out.join(F.broadcast(few), F.lit(True)).where("_few").drop("_few")
 
 
 def matrix(df: DataFrame, measure: Column, rows: str, columns: str, exclusion: Exclusion) -> DataFrame:
@@ -38,19 +43,20 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = SCATTER_BINS) -> Dat
 
 
 def filters(df: DataFrame, temporal: str | None, dimensions: list[str], most: int = MAX_LIST_VALUES) -> DataFrame:
-    """(column, type, low, high, n_values, options): the date range of the temporal column, and for each dimension how many values
-    it has and its first `most` in order, as text; at most `MAX_FILTERS` filters."""
-    dimensions = dimensions[: MAX_FILTERS - bool(temporal)]
-    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in dimensions])).alias("t")).select("t.*").where("value IS NOT NULL").distinct()
-    counts = values.groupBy("column").agg(F.count(F.lit(1)).alias("n_values"))
-    first = values.withColumn("nth", F.row_number().over(Window.partitionBy("column").orderBy("value"))).where(F.col("nth") <= most)
-    lists = first.groupBy("column").agg(F.min("value").alias("low"), F.array_join(F.array_sort(F.collect_list("value")), "|").alias("options"))
-    out = counts.join(lists, "column").select("column", F.lit("list").alias("type"), F.lit(None).cast("string").alias("low"), F.lit(None).cast("string").alias("high"), "n_values", "options")
+    """(column, type, low, high, n_values, options): the date range of the temporal column, and the values as text, in order, of each
+    dimension that has at most `most`; a dimension of more values is no filter. The first `MAX_FILTERS` in the given order."""
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for i, c in enumerate(dimensions)])).alias("t")).select("t.*").where("value IS NOT NULL").distinct()
+    counts = values.groupBy("place", "column").agg(F.count(F.lit(1)).alias("n_values")).where(F.col("n_values") <= most)
+    # one row for each dimension
+    chosen = counts.withColumn("_nth", F.row_number().over(Window.orderBy("place"))).where(F.col("_nth") <= MAX_FILTERS - bool(temporal))
+    lists = values.join(F.broadcast(chosen.select("column", "n_values")), "column").groupBy("column", "n_values").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("options"))
+    none = F.lit(None).cast("string")
+    out = lists.select("column", F.lit("list").alias("type"), none.alias("low"), none.alias("high"), "n_values", "options")
     if temporal is None:
         return out
     day = F.to_date(temporal)
     span = df.agg(F.min(day).cast("string").alias("low"), F.max(day).cast("string").alias("high"))
-    return span.select(F.lit(temporal).alias("column"), F.lit("date_range").alias("type"), "low", "high", F.lit(None).cast("long").alias("n_values"), F.lit(None).cast("string").alias("options")).unionByName(out)
+    return span.select(F.lit(temporal).alias("column"), F.lit("date_range").alias("type"), "low", "high", F.lit(None).cast("long").alias("n_values"), none.alias("options")).unionByName(out)
 
 
 def detail(df: DataFrame, identifiers: list[str], temporal: list[str], dimensions: list[str], measures: list[str]) -> DataFrame:

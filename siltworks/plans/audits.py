@@ -26,11 +26,11 @@ def _json(spark, sf_dir):
 
 
 def audit_append(spark, sf_dir):
-    """Runs of each decision appended one after the other; the log's lines, and whether each is one run's JSON."""
+    """Runs of each decision, and those without, appended one after the other; the log's lines, and whether each is one run's JSON."""
     path = fresh_path(spark, "audit-log")
     records = stored(_records(spark, sf_dir), "records")
-    for decision in ("INGEST", "QUARANTINE", "REJECT"):
-        audit.append(records.where(F.col("decision") == decision), path)
+    for decision in ("INGEST", "QUARANTINE", "REJECT", None):
+        audit.append(records.where(F.col("decision").eqNullSafe(decision)), path)
     lines = spark.read.text(path)
     of_line = F.get_json_object("value", "$.decision")
     return lines.groupBy(of_line.alias("decision")).agg(F.count(F.lit(1)).alias("lines"), F.count_distinct(F.get_json_object("value", "$.run_id")).alias("runs"))
@@ -84,11 +84,19 @@ def audit_find(spark, sf_dir):
 
 
 def audit_explain(spark, sf_dir):
-    return audit.explain(audit_runs(spark, sf_dir), audit_steps(spark, sf_dir))
+    """Runs that were loaded have one output, named by their file; nothing is recorded for others."""
+    runs = audit_runs(spark, sf_dir).withColumn("outputs", F.when((F.col("decision") == "INGEST") & (F.col("execution_mode") == "INGEST"), F.array(F.concat(F.lit("silver/"), F.col("source_file")))))
+    out = audit.explain(runs, audit_steps(spark, sf_dir))
+    return out.select("run_id", "source_file", "execution_mode", "decision", "meaning", "final_status", F.round("duration_seconds", 2).alias("duration_seconds"), "failed_step", "n_steps", F.array_join("outputs", ",").alias("outputs"))
 
 
 def audit_combined(spark, sf_dir):
-    return audit.combined(_records(spark, sf_dir), F.col("source_file"))
+    """Each file's admitted runs as one run: its steps with their places."""
+    return audit.combined_steps(audit_runs(spark, sf_dir), audit_steps(spark, sf_dir), F.col("source_file")).select("batch_id", "position", "run_id", "step_order", "step_name", "status")
+
+
+def audit_combined_runs(spark, sf_dir):
+    return audit.combined_runs(audit_runs(spark, sf_dir), audit_steps(spark, sf_dir), F.col("source_file"))
 
 
 def obs_runs_per_day(spark, sf_dir):
@@ -186,31 +194,41 @@ def bronze_rows_by_file(spark, sf_dir):
     return raw.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_ingested_at").isNotNull()).alias("stamped"))
 
 
-def _kpi(alias: str, condition: str) -> str:
-    return f"count(*) FILTER (WHERE {condition}) AS {alias}"
-
-
-_OBS = "SELECT count(*) AS total_runs, " + ", ".join([_kpi("ingest_runs", "decision = 'INGEST'"), _kpi("quarantine_runs", "decision = 'QUARANTINE'"), _kpi("reject_runs", "decision = 'REJECT'"), _kpi("success_runs", "final_status = 'SUCCESS'"), _kpi("failed_runs", "final_status = 'FAILED'")]) + ", round(avg(CASE WHEN final_status = 'SUCCESS' THEN 1.0 ELSE 0 END), 6) AS success_rate, round(avg(CASE WHEN final_status = 'FAILED' THEN 1.0 ELSE 0 END), 6) AS failure_rate, round(avg(CASE WHEN decision = 'QUARANTINE' THEN 1.0 ELSE 0 END), 6) AS quarantine_rate, round(avg(CASE WHEN decision = 'REJECT' THEN 1.0 ELSE 0 END), 6) AS reject_rate, round(coalesce(avg(duration_seconds), 0), 6) AS mean_duration FROM audit_runs"
-_RUN_MEASURES = {"Total Runs": "count(*)", "Ingest Runs": "count(*) FILTER (WHERE decision = 'INGEST')", "Quarantine Runs": "count(*) FILTER (WHERE decision = 'QUARANTINE')", "Reject Runs": "count(*) FILTER (WHERE decision = 'REJECT')", "Successful Runs": "count(*) FILTER (WHERE final_status = 'SUCCESS')", "Failed Runs": "count(*) FILTER (WHERE final_status = 'FAILED')", "Average Run Duration": "avg(duration_seconds)", "Ingest Rate": "count(*) FILTER (WHERE decision = 'INGEST') / count(*)", "Quarantine Rate": "count(*) FILTER (WHERE decision = 'QUARANTINE') / count(*)", "Reject Rate": "count(*) FILTER (WHERE decision = 'REJECT') / count(*)", "Success Rate": "count(*) FILTER (WHERE final_status = 'SUCCESS') / count(*)", "Failure Rate": "count(*) FILTER (WHERE final_status = 'FAILED') / count(*)"}
-_STEP_MEASURES = {"Total Steps": "count(*)", "Failed Steps": "count(*) FILTER (WHERE status = 'FAILED')", "Successful Steps": "count(*) FILTER (WHERE status IS DISTINCT FROM 'FAILED')", "Average Step Duration": "avg(duration_seconds)", "Step Success Rate": "count(*) FILTER (WHERE status IS DISTINCT FROM 'FAILED') / count(*)"}
+_RATE = "coalesce(round(count(*) FILTER (WHERE {}) / nullif(count(*), 0), 6), 0)"
+_OBS = f"""SELECT count(*) AS total_runs, count(*) FILTER (WHERE execution_mode = 'ASSESS_ONLY') AS assess_only_runs, count(*) FILTER (WHERE execution_mode = 'INGEST') AS ingest_runs,
+ count(*) FILTER (WHERE decision = 'QUARANTINE') AS quarantine_runs, count(*) FILTER (WHERE decision = 'REJECT') AS reject_runs, count(*) FILTER (WHERE final_status = 'SUCCESS') AS successful_runs, count(*) FILTER (WHERE final_status = 'FAILED') AS failed_runs,
+ {_RATE.format("final_status = 'SUCCESS'")} AS success_rate, {_RATE.format("decision = 'QUARANTINE'")} AS quarantine_rate, {_RATE.format("decision = 'REJECT'")} AS reject_rate,
+ CASE WHEN count(*) = 0 THEN 0.0 ELSE round(avg(duration_seconds), 6) END AS average_duration_seconds FROM audit_runs"""
+_STEP_VALUES = "count(*) AS executions, count(*) FILTER (WHERE status = 'FAILED') AS failed_executions, coalesce(round(count(*) FILTER (WHERE status IS DISTINCT FROM 'FAILED') / nullif(count(*), 0), 6), 0) AS success_rate, round(avg(duration_seconds), 6) AS average_duration_seconds"
+_RUN_MEASURES = {
+    "Total Runs": "count(*)", "Successful Runs": "count(*) FILTER (WHERE final_status = 'SUCCESS')", "Failed Runs": "count(*) FILTER (WHERE final_status = 'FAILED')",
+    "Assess Only Runs": "count(*) FILTER (WHERE execution_mode = 'ASSESS_ONLY')", "Ingest Mode Runs": "count(*) FILTER (WHERE execution_mode = 'INGEST')", "Ingest Decision Runs": "count(*) FILTER (WHERE decision = 'INGEST')",
+    "Quarantine Runs": "count(*) FILTER (WHERE decision = 'QUARANTINE')", "Reject Runs": "count(*) FILTER (WHERE decision = 'REJECT')",
+    "Success Rate": _RATE.format("final_status = 'SUCCESS'"), "Quarantine Rate": _RATE.format("decision = 'QUARANTINE'"), "Reject Rate": _RATE.format("decision = 'REJECT'"), "Average Duration (s)": "avg(duration_seconds)",
+}
+_STEP_MEASURES = {
+    "Step Executions": "count(*)", "Failed Steps": "count(*) FILTER (WHERE status = 'FAILED')", "Succeeded Steps": "count(*) FILTER (WHERE status IS DISTINCT FROM 'FAILED')",
+    "Step Success Rate": _RATE.format("status IS DISTINCT FROM 'FAILED'"), "Average Step Duration (s)": "avg(duration_seconds)",
+}
 _STRUCTURED = f"{BOTH}, own AS (SELECT * FROM audit_runs WHERE execution_mode IN ('ASSESS_ONLY', 'INGEST')), own_steps AS (SELECT * FROM audit_steps WHERE run_id IN (SELECT run_id FROM own))"
 _IN_TARGET = "CAST(regexp_extract(run_id, '[0-9]+') AS BIGINT) % 3 > 0"
 _COUNT = lambda t: f"(SELECT count(*) FROM {t})"
 
 ORACLES = {
     "audit_runs": f"WITH {BOTH} SELECT run_id, source_file, decision, execution_mode, final_status, round(duration_seconds, 2) AS duration_seconds FROM audit_runs",
-    "audit_append": f"WITH {AUDIT_RUNS} SELECT decision, count(*) AS lines, count(DISTINCT run_id) AS runs FROM audit_runs WHERE decision IN ('INGEST', 'QUARANTINE', 'REJECT') GROUP BY 1",
+    "audit_append": f"WITH {AUDIT_RUNS} SELECT decision, count(*) AS lines, count(DISTINCT run_id) AS runs FROM audit_runs GROUP BY 1",
     "audit_steps": f"WITH {BOTH} SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY step_order) AS step_order, step_name, status, duration_seconds FROM audit_steps",
     "audit_structured": f"WITH {_STRUCTURED} SELECT run_id, execution_mode, count(*) AS n_steps FROM own JOIN own_steps USING (run_id) GROUP BY 1, 2",
     "audit_normalize": f"WITH {AUDIT_RUNS} SELECT decision, count(*) AS n, count(*) FILTER (WHERE right(run_id, 1) <> '7') AS started, CAST(0 AS BIGINT) AS errors, round(sum(duration_seconds), 2) AS duration FROM audit_runs GROUP BY 1",
     "obs_runs": f"WITH {AUDIT_RUNS} {_OBS}",
-    "obs_steps": f"WITH {AUDIT_STEPS} SELECT step_name, count(*) AS total, count(*) FILTER (WHERE status = 'FAILED') AS failed, round(count(*) FILTER (WHERE status IS DISTINCT FROM 'FAILED') / count(*), 6) AS success_rate, round(avg(duration_seconds), 6) AS mean_duration FROM audit_steps GROUP BY 1",
+    "obs_steps": f"WITH {AUDIT_STEPS} SELECT 'all' AS scope, CAST(NULL AS VARCHAR) AS step_name, {_STEP_VALUES} FROM audit_steps UNION ALL SELECT 'step', step_name, {_STEP_VALUES} FROM audit_steps WHERE step_name IS NOT NULL GROUP BY step_name",
     "obs_step_status": f"WITH {AUDIT_STEPS} SELECT step_name, status, count(*) AS n FROM audit_steps GROUP BY 1, 2",
     "obs_measures": f"WITH {_STRUCTURED} " + " UNION ALL ".join([f"SELECT '{n}' AS measure, round(CAST({e} AS DOUBLE), 6) AS value FROM own" for n, e in _RUN_MEASURES.items()] + [f"SELECT '{n}', round(CAST({e} AS DOUBLE), 6) FROM own_steps" for n, e in _STEP_MEASURES.items()]),
     "audit_summary": f"WITH {AUDIT_RUNS} SELECT decision, final_status, count(*) AS n FROM audit_runs GROUP BY 1, 2",
     "audit_find": f"WITH {AUDIT_RUNS} SELECT run_id, final_status FROM audit_runs WHERE decision = 'INGEST' AND source_file = 'file_3'",
-    "audit_explain": f"WITH {BOTH}, f AS (SELECT run_id, count(*) AS n, arg_min(step_name, step_order) FILTER (WHERE status = 'FAILED') AS failed_step FROM audit_steps GROUP BY 1) SELECT r.run_id, CASE WHEN decision = 'INGEST' AND execution_mode = 'INGEST' THEN 'LOADED' WHEN decision = 'INGEST' AND execution_mode = 'ASSESS_ONLY' THEN 'WOULD_LOAD' WHEN decision = 'QUARANTINE' THEN 'HELD_FOR_REVIEW' WHEN decision = 'REJECT' THEN 'REFUSED' ELSE 'UNKNOWN' END AS meaning, failed_step, coalesce(n, 0) AS n_steps FROM audit_runs r LEFT JOIN f ON f.run_id = r.run_id",
-    "audit_combined": f"WITH {BOTH}, a AS (SELECT * FROM audit_runs WHERE decision = 'INGEST'), j AS (SELECT a.source_file, string_agg(step_name, ',' ORDER BY a.started_at, a.run_id, step_order) AS step_names FROM a JOIN audit_steps s ON s.run_id = a.run_id GROUP BY 1) SELECT a.source_file AS batch_id, 'INGEST' AS decision, count(*) AS n_runs, any_value(step_names) AS step_names, coalesce(CAST(sum(CAST(duration_seconds AS DECIMAL(18,2))) AS DOUBLE), 0) AS duration_seconds FROM a JOIN j USING (source_file) GROUP BY 1",
+    "audit_explain": f"WITH {BOTH}, f AS (SELECT run_id, count(*) AS n, arg_min(step_name, step_order) FILTER (WHERE status = 'FAILED') AS failed_step FROM audit_steps GROUP BY 1) SELECT r.run_id, source_file, execution_mode, decision, CASE WHEN decision IN ('QUARANTINE', 'REJECT') THEN 'NOT_LOADED' WHEN decision = 'INGEST' AND execution_mode = 'INGEST' THEN 'LOADED' WHEN decision = 'INGEST' AND execution_mode = 'ASSESS_ONLY' THEN 'WOULD_LOAD' WHEN decision IS NULL AND execution_mode <> '' THEN 'NO_DECISION' END AS meaning, final_status, round(duration_seconds, 2) AS duration_seconds, failed_step, coalesce(n, 0) AS n_steps, CASE WHEN decision = 'INGEST' AND execution_mode = 'INGEST' THEN concat('silver/', source_file) ELSE '' END AS outputs FROM audit_runs r LEFT JOIN f ON f.run_id = r.run_id",
+    "audit_combined": f"WITH {BOTH} SELECT source_file AS batch_id, row_number() OVER (PARTITION BY source_file ORDER BY r.started_at, r.run_id, step_order) AS position, r.run_id, step_order, step_name, status FROM audit_runs r JOIN audit_steps s ON s.run_id = r.run_id WHERE decision = 'INGEST'",
+    "audit_combined_runs": f"WITH {BOTH}, n AS (SELECT run_id, count(*) AS n FROM audit_steps GROUP BY 1) SELECT source_file AS batch_id, 'INGEST' AS decision, count(*) AS n_runs, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_steps, coalesce(CAST(sum(CAST(duration_seconds AS DECIMAL(18,2))) AS DOUBLE), 0) AS duration_seconds FROM audit_runs r LEFT JOIN n ON n.run_id = r.run_id WHERE decision = 'INGEST' GROUP BY 1",
     "obs_runs_per_day": text_dates_sql(f"WITH {AUDIT_RUNS} SELECT CAST(started_at AS DATE) AS day, count(*) AS n FROM audit_runs GROUP BY 1", "day"),
     "obs_step_matrix": f"WITH {AUDIT_STEPS} SELECT step_name, count(*) FILTER (WHERE status = 'SUCCESS') AS SUCCESS, count(*) FILTER (WHERE status = 'FAILED') AS FAILED, count(*) FILTER (WHERE status IS NULL) AS UNKNOWN FROM audit_steps GROUP BY 1",
     "load_new_runs": f"WITH {AUDIT_RUNS} SELECT run_id, decision, final_status FROM audit_runs WHERE NOT ({_IN_TARGET})",
@@ -226,7 +244,7 @@ ORACLES = {
 QUERIES = {
     f.__name__.removesuffix("_query"): (lambda spark, sf_dir, f=f: text_dates(f(spark, sf_dir)))
     for f in (
-        audit_append, audit_runs_query, audit_steps_query, audit_structured, audit_normalize, obs_runs, obs_steps, obs_step_status, obs_measures, audit_summary, audit_find, audit_explain, audit_combined, obs_runs_per_day, obs_step_matrix,
+        audit_append, audit_runs_query, audit_steps_query, audit_structured, audit_normalize, obs_runs, obs_steps, obs_step_status, obs_measures, audit_summary, audit_find, audit_explain, audit_combined, audit_combined_runs, obs_runs_per_day, obs_step_matrix,
         load_new_runs, load_new_steps, load_align, load_twice, load_full, gold_manifest, gold_load_pending, bronze_rows_by_file,
     )
 }

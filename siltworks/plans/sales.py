@@ -292,7 +292,8 @@ def an_findings(spark, sf_dir):
     months = stored(an.monthly(s, F.col("line_amount"), "order_date", CANCELLED), "months")
     broken = stored(an.breakdown(s, F.col("line_amount"), DIMENSIONS, CANCELLED), "broken")
     spread = stored(an.distribution(s, MEASURES), "spread")
-    return an.findings(months, broken, spread, an.outliers(s, spread, MEASURES))
+    extreme = stored(an.extremes(s, "unit_price", "region").unionByName(an.extremes(s, "quantity", "category")), "extremes")
+    return an.findings(months, broken, spread, an.outliers(s, spread, MEASURES), extreme)
 
 
 def claims_unverified(spark, sf_dir):
@@ -336,9 +337,9 @@ SELECT "group", mean, n FROM r WHERE a <= 5 OR b <= 5 OR k <= 10"""
 
 
 def _extremes_sql(measure: str, dimension: str) -> str:
-    return f"""SELECT '{dimension}' AS dimension, (SELECT g FROM x WHERE n >= 5 ORDER BY mean DESC, g LIMIT 1) AS highest, (SELECT max(mean) FROM x WHERE n >= 5) AS highest_mean,
- (SELECT g FROM x WHERE n >= 5 ORDER BY mean, g LIMIT 1) AS lowest, (SELECT min(mean) FROM x WHERE n >= 5) AS lowest_mean,
- (SELECT (max(mean) - min(mean)) / abs((SELECT avg({measure}) FROM silver)) < 0.05 FROM x WHERE n >= 5) AS close"""
+    return f"""SELECT '{measure}' AS measure, '{dimension}' AS dimension, (SELECT g FROM x WHERE n >= 5 ORDER BY mean DESC, g LIMIT 1) AS highest, max(mean) AS highest_mean,
+ (SELECT g FROM x WHERE n >= 5 ORDER BY mean, g LIMIT 1) AS lowest, min(mean) AS lowest_mean,
+ coalesce(abs((max(mean) - min(mean)) / nullif((SELECT avg({measure}) FROM silver), 0)) < 0.05, false) AS close FROM x WHERE n >= 5 HAVING count(*) >= 2"""
 
 
 ORACLES_SQL = {
@@ -383,8 +384,8 @@ UNION ALL SELECT 4, 'deduplicate_rows', b.n, c.n FROM b, c UNION ALL SELECT 5, '
     "an_incomplete_months": f"WITH {_MONTHS_SQL} SELECT month FROM months WHERE incomplete",
     "an_years": f"WITH {_MONTHS_SQL} SELECT * FROM years",
     "an_yoy": f"WITH {_MONTHS_SQL} SELECT a.year, a.total, b.total AS previous, round((a.total - b.total) / nullif(b.total, 0), 6) AS change FROM years a JOIN years b ON a.year = b.year + 1 AND a.complete AND b.complete WHERE a.year = (SELECT max(year) FROM years WHERE complete)",
-    "an_best_worst": f"WITH {_MONTHS_SQL}, m AS (SELECT * FROM months WHERE NOT incomplete) SELECT (SELECT month FROM m ORDER BY total DESC, month LIMIT 1) AS best_month, max(total) AS best_total, (SELECT month FROM m ORDER BY total, month LIMIT 1) AS worst_month, min(total) AS worst_total, round(avg(total), 2) AS mean_total FROM m",
-    "an_mom": f"WITH {_MONTHS_SQL}, m AS (SELECT * FROM months WHERE NOT incomplete) SELECT a.month, a.total, b.total AS previous, round((a.total - b.total) / nullif(b.total, 0), 6) AS change FROM m a JOIN m b ON b.month = CAST(a.month - INTERVAL 1 MONTH AS DATE) WHERE a.month = (SELECT max(month) FROM m)",
+    "an_best_worst": f"WITH {_MONTHS_SQL}, m AS (SELECT * FROM months WHERE NOT incomplete OR (SELECT bool_and(incomplete) FROM months)) SELECT (SELECT month FROM m ORDER BY total DESC, month LIMIT 1) AS best_month, max(total) AS best_total, (SELECT month FROM m ORDER BY total, month LIMIT 1) AS worst_month, min(total) AS worst_total, round(avg(total), 2) AS mean_total FROM m",
+    "an_mom": f"WITH {_MONTHS_SQL}, m AS (SELECT * FROM months WHERE NOT incomplete OR (SELECT bool_and(incomplete) FROM months)) SELECT a.month, a.total, b.total AS previous, round((a.total - b.total) / nullif(b.total, 0), 6) AS change FROM m a JOIN m b ON b.month = CAST(a.month - INTERVAL 1 MONTH AS DATE) WHERE a.month = (SELECT max(month) FROM m)",
     "an_top5": f"WITH {_BROKEN_SQL} SELECT dimension, value, total, round(share, 6) AS share, CAST(rank AS INTEGER) AS rank FROM broken WHERE rank <= 5",
     "an_top_share": f"WITH {_BROKEN_SQL} SELECT dimension, round(sum(share), 6) AS share FROM broken WHERE rank <= 5 GROUP BY 1",
     "an_pareto": f"WITH {_BROKEN_SQL} SELECT dimension, count(*) AS n_values, CASE WHEN max(whole) <> 0 THEN least(count(*) FILTER (WHERE running / whole < 0.8) + 1, count(*)) END AS n_needed FROM broken GROUP BY 1",
@@ -410,6 +411,9 @@ ORACLES_SQL["an_findings"] = " UNION ALL ".join([
     _finding_sql("monthly_change", "strftime(month, '%Y-%m')", "change", "previous", ORACLES_SQL["an_mom"]),
     _finding_sql("incomplete_month", "strftime(month, '%Y-%m')", "total", "NULL", f"WITH {_MONTHS_SQL} SELECT * FROM months WHERE incomplete"),
     _finding_sql("concentration", "dimension", "n_needed", "n_values", ORACLES_SQL["an_pareto"]) + " WHERE n_needed < n_values",
+    _finding_sql("close_means", "concat(measure, ' by ', dimension)", "lowest_mean", "highest_mean", ORACLES_SQL["an_extremes"]) + " WHERE close",
+    _finding_sql("highest_mean", "concat(measure, ' by ', highest)", "highest_mean", "lowest_mean", ORACLES_SQL["an_extremes"]) + " WHERE NOT close",
+    _finding_sql("lowest_mean", "concat(measure, ' by ', lowest)", "lowest_mean", "highest_mean", ORACLES_SQL["an_extremes"]) + " WHERE NOT close",
     _finding_sql("constant_column", '"column"', "min", "NULL", ORACLES_SQL["an_distribution"]) + " WHERE is_constant",
     _finding_sql("spread", '"column"', "share", "outliers", ORACLES_SQL["an_outliers"]) + " WHERE share >= 0.10",
     _finding_sql("atypical_values", '"column"', "share", "outliers", ORACLES_SQL["an_outliers"]) + " WHERE share >= 0.01 AND share < 0.10",

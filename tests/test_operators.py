@@ -114,9 +114,10 @@ def test_pseudonyms_need_a_key(spark):
 def test_dashboard_edges(spark):
     df = spark.createDataFrame([("a", 1.0, 5.0, "2024-01-31"), ("b", 1.0, None, None), (None, 1.0, 9.0, "2024-02-01")], "g string, x double, y double, d string").withColumn("d", F.to_timestamp("d"))
     assert [tuple(r) for r in dashboard.scatter_bins(df, "x", "y").orderBy("y_bin").collect()] == [(0, 0, 1), (0, 19, 1)]
-    got = {r.column: r for r in dashboard.filters(df, "d", ["g"], most=1).collect()}
+    got = {r.column: r for r in dashboard.filters(df, "d", ["g"], most=2).collect()}
     assert (got["d"].low, got["d"].high) == ("2024-01-31", "2024-02-01")
-    assert (got["g"].n_values, got["g"].options) == (2, "a")
+    assert (got["g"].n_values, got["g"].options) == (2, "a|b")
+    assert [r.column for r in dashboard.filters(df, "d", ["g"], most=1).collect()] == ["d"]
     assert dashboard.month_split(df, F.col("x"), "d", "g", gold.Exclusion("g", ("b",))).count() == 2
     assert dashboard.scatter_bins(df.where("false"), "x", "y").count() == 0
 
@@ -151,18 +152,6 @@ def test_registry(spark):
     assert [(r.dataset, r.version) for r in got] == [("a", "1.10")]
 
 
-@pytest.fixture(scope="module")
-def runs(spark):
-    r = spark.createDataFrame([(f"r{i}", "f", "INGEST", "INGEST", "SUCCESS", None if i == 1 else float(i)) for i in range(4)], "run_id string, source_file string, decision string, execution_mode string, final_status string, duration_seconds double").withColumn("started_at", F.expr("timestamp_ntz '2026-01-01'"))
-    s = spark.createDataFrame([(f"r{i}", j, "step", None if j == 2 else "FAILED" if i == 3 else "SUCCESS", 1.0) for i in range(4) for j in (1, 2, 3)], "run_id string, step_order long, step_name string, status string, duration_seconds double").withColumn("started_at", F.expr("timestamp_ntz '2026-01-01'"))
-    return r, s
-
-
-def test_step_kpis_count_unknown_as_success(runs):
-    k = audit.step_kpis(runs[1]).first()
-    assert (k.total, k.failed, k.mean_duration) == (12, 2, 1.0)
-
-
 def test_landing_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id;when;note\n1;2026-01-02;x\n2;2026-01-03;NA\n")
     (tmp_path / "b.csv").write_text("7,2026-01-02,5\n8,2026-01-03,6\n9,2026-01-04,7\n")
