@@ -156,6 +156,26 @@ def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> D
     return child.select(key).where(F.col(key).isNotNull()).distinct().join(parent.select(F.col(parent_key).alias(key)), key, "left_anti")
 
 
+def inclusions(frames: dict[str, DataFrame], columns: list[tuple[str, str]]) -> DataFrame:
+    """(child, parent, n_values, missing) for every ordered pair of columns (table, column), named table.column: how many known values
+    the child has, and how many of them the parent lacks. A foreign key has none missing.
+
+    One pass over each table: values stand once with each column that has them, so a value's columns are a set of at most as many
+    as are asked for; sets of values are never compared pair by pair. Values are compared as text."""
+    names = [f"{t}.{c}" for t, c in columns]
+    long = None
+    for table, frame in frames.items():
+        own = [c for t, c in columns if t == table]
+        if own:
+            cells = F.array(*[F.struct(F.lit(f"{table}.{c}").alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in own])
+            rows = frame.select(F.explode(cells).alias("x")).select("x.*").where("value IS NOT NULL").distinct()
+            long = rows if long is None else long.unionByName(rows)
+    of_value = long.groupBy("value").agg(F.collect_set("column").alias("columns"))
+    counts = of_value.select(F.explode("columns").alias("child"), "columns").groupBy("child").agg(F.count(F.lit(1)).alias("n_values"), *[F.count_if(F.array_contains("columns", n)).alias(f"b{i}") for i, n in enumerate(names)])
+    parents = F.array(*[F.struct(F.lit(n).alias("parent"), (F.col("n_values") - F.col(f"b{i}")).alias("missing")) for i, n in enumerate(names)])
+    return counts.select("child", "n_values", F.explode(parents).alias("p")).select("child", "p.parent", "n_values", "p.missing").where("child <> parent")
+
+
 def domains(role_rows: DataFrame) -> DataFrame:
     """(table_name, domain, confidence): SALES with an amount or price and one more sign."""
     measure = F.col("semantic_role") == "MEASURE"

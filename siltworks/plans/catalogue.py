@@ -45,6 +45,17 @@ def key_orphans(spark, sf_dir):
     return lines.unionByName(customers)
 
 
+#: Keys of the tables that sales rows come from.
+PARENTS = [("orders", "o_orderkey"), ("orders", "o_custkey"), ("customer", "c_custkey"), ("customer", "c_nationkey"), ("nation", "n_nationkey")]
+
+
+def key_inclusions(spark, sf_dir):
+    """Every pair of the key candidates of both tables and of the keys of their parents, by their values."""
+    candidates = [(r.table_name, r.column) for r in ca.keys(*_roles(spark, sf_dir)).collect()]
+    frames = {"sales": dirty_sales(spark, sf_dir), **{t: table(spark, sf_dir, t) for t in ("events", "orders", "customer", "nation")}}
+    return ca.inclusions(frames, sorted(candidates) + PARENTS)
+
+
 def table_domain(spark, sf_dir):
     return ca.domains(_roles(spark, sf_dir)[1])
 
@@ -138,6 +149,9 @@ UNION ALL SELECT t, concat(t, '_dim_date'), 'dimension', c, NULL FROM (VALUES ('
     "column_roles": f"WITH {_ROLES} SELECT table_name, \"column\", semantic_role, business_role, entity, CAST(confidence AS DOUBLE) AS confidence FROM roles",
     "key_candidates": "SELECT table_name, \"column\", relationship, referenced_entity, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES ('sales', 'order_id', 'FOREIGN_KEY_CANDIDATE', 'ORDER', 0.8), ('sales', 'line_number', 'FOREIGN_KEY_CANDIDATE', 'LINE_NUMBER', 0.6), ('sales', 'customer_id', 'FOREIGN_KEY_CANDIDATE', 'CUSTOMER', 0.8), ('events', 'event_id', 'PRIMARY_KEY_CANDIDATE', 'EVENT', 0.95), ('events', 'user_id', 'FOREIGN_KEY_CANDIDATE', 'USER', 0.6)) t(table_name, \"column\", relationship, referenced_entity, confidence)",
     "key_orphans": "SELECT 'lineitem' AS child, count(DISTINCT l_orderkey) AS orphans FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'customer', count(DISTINCT c_custkey) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "key_inclusions": f"""WITH {DIRTY_SALES}, held AS ({" UNION ".join(f"SELECT '{t}.{c}' AS name, CAST({c} AS VARCHAR) AS v FROM {'dirty_sales' if t == 'sales' else t} WHERE {c} IS NOT NULL" for t, c in [("sales", "order_id"), ("sales", "line_number"), ("sales", "customer_id"), ("events", "event_id"), ("events", "user_id"), *PARENTS])}),
+sizes AS (SELECT name, count(*) AS n FROM held GROUP BY 1), shared AS (SELECT a.name AS child, b.name AS parent, count(*) AS n FROM held a JOIN held b USING (v) GROUP BY 1, 2)
+SELECT a.name AS child, b.name AS parent, a.n AS n_values, a.n - coalesce(s.n, 0) AS missing FROM sizes a JOIN sizes b ON a.name <> b.name LEFT JOIN shared s ON s.child = a.name AND s.parent = b.name""",
     "table_domain": "SELECT table_name, domain, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES ('sales', 'SALES', 0.95), ('events', 'UNKNOWN', 0.0)) t(table_name, domain, confidence)",
     "role_overrides": f"WITH {_ROLES} SELECT table_name, \"column\", semantic_role, CASE WHEN \"column\" = 'value' THEN 'AMOUNT' ELSE business_role END AS business_role, CAST(CASE WHEN \"column\" = 'value' THEN 0.95 ELSE confidence END AS DOUBLE) AS confidence, CASE table_name WHEN 'sales' THEN 'SALES' ELSE 'UNKNOWN' END AS domain FROM roles",
     "restrict_to_contract": f"WITH {_ROLES} SELECT \"column\", semantic_role FROM roles WHERE table_name = 'sales' AND \"column\" NOT IN ('region', 'tax_rate', 'source_file')",
@@ -145,4 +159,4 @@ UNION ALL SELECT t, concat(t, '_dim_date'), 'dimension', c, NULL FROM (VALUES ('
     "generate_contract": f"WITH {DIRTY_SALES} SELECT c AS \"column\", t AS type, CASE WHEN c = 'status' THEN (SELECT count(*) > count(status) FROM dirty_sales) ELSE false END AS nullable, CAST(CASE c WHEN 'unit_price' THEN 0 WHEN 'tax_rate' THEN 0 WHEN 'quantity' THEN (SELECT CASE WHEN min(quantity) >= 1 THEN 1 WHEN min(quantity) >= 0 THEN 0 END FROM dirty_sales) END AS DOUBLE) AS min, CAST(CASE c WHEN 'tax_rate' THEN 1 END AS DOUBLE) AS max, false AS unique FROM (VALUES ('order_id', 'integer'), ('line_number', 'integer'), ('order_date', 'datetime'), ('order_date_text', 'datetime'), ('customer_id', 'integer'), ('product', 'string'), ('category', 'string'), ('region', 'string'), ('quantity', 'integer'), ('unit_price', 'decimal'), ('tax_rate', 'decimal'), ('status', 'string'), ('source_file', 'string')) v(c, t)",
 }
 
-QUERIES = {f.__name__: f for f in (match_keywords, column_roles, key_candidates, key_orphans, table_domain, role_overrides, restrict_to_contract, cancellation_values, generate_contract, kpi_catalogue, cleaning_actions, gold_specs)}
+QUERIES = {f.__name__: f for f in (match_keywords, column_roles, key_candidates, key_orphans, key_inclusions, table_domain, role_overrides, restrict_to_contract, cancellation_values, generate_contract, kpi_catalogue, cleaning_actions, gold_specs)}

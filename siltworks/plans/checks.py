@@ -32,13 +32,19 @@ def _profile(spark, sf_dir):
 
 
 def profile_nulls(spark, sf_dir):
-    return pf.facts(dirty_sales(spark, sf_dir)).select("column", "null_count", F.round(F.col("null_count") / F.col("row_count"), 6).alias("null_ratio"))
+    return pf.null_counts(dirty_sales(spark, sf_dir)).select("column", "null_count", F.round(F.col("null_count") / F.col("row_count"), 6).alias("null_ratio"))
 
 
 def profile_distinct(spark, sf_dir):
     return _profile(spark, sf_dir).select("column", "distinct_count", F.round("cardinality_ratio", 6).alias("cardinality_ratio"), "is_unique")
 
 
+def profile_decided(spark, sf_dir):
+    """The limits that distinct counts decide, by sketches and exact counts near a limit alone."""
+    p = pf.profile(stored(dirty_sales(spark, sf_dir), "dirty"), exact=False)
+    return p.select("column", "is_unique", (F.col("distinct_count") <= pf.CATEGORICAL_VALUES).alias("few_values"), (F.col("cardinality_ratio") <= pf.CATEGORICAL_RATIO).alias("low_ratio"), "is_categorical", "is_identifier_candidate")
+
+
 def profile_types(spark, sf_dir):
     return pf.facts(dirty_sales(spark, sf_dir)).select("column", "inferred_type").unionByName(pf.facts(table(spark, sf_dir, "events")).select("column", "inferred_type"))
 
@@ -179,6 +185,7 @@ ORACLES = {
     "profile_types": f"WITH {DIRTY_SALES} " + _long({c: f"{e} AS inferred_type" for c, e in _TYPE_SQL.items()}) + " UNION ALL " + " UNION ALL ".join(f"SELECT '{c}', '{t}'" for c, t in _EVENTS.items()),
     "profile_minmax": f"WITH {DIRTY_SALES} " + _long({**{c: f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max" for c in _NUMBERS}, **{c: f"CAST(epoch(min(CAST({c} AS TIMESTAMP))) AS DOUBLE) AS min, CAST(epoch(max(CAST({c} AS TIMESTAMP))) AS DOUBLE) AS max" for c in ("order_date", "order_date_text")}}),
     "profile_samples": f"WITH {DIRTY_SALES} SELECT \"column\", value, CAST(n AS INTEGER) AS position FROM (SELECT \"column\", value, row_number() OVER (PARTITION BY \"column\" ORDER BY value) AS n FROM (SELECT DISTINCT \"column\", value FROM (" + _long({c: f"{_text(c)} AS value" for c in _SAMPLED}) + ") WHERE value IS NOT NULL)) WHERE n <= 5",
+    "profile_decided": f"WITH {DIRTY_SALES} " + _long({c: f"count({c}) = count(*) AND count(DISTINCT {c}) = count(*) AS is_unique, count(DISTINCT {c}) <= 50 AS few_values, count(DISTINCT {c}) / count({c}) <= 0.5 AS low_ratio, " + (f"count(DISTINCT {c}) <= 50 OR count(DISTINCT {c}) / count({c}) <= 0.5" if t == "string" and c != "order_date_text" else "bool_or(false)") + f" AS is_categorical, bool_or({'true' if c.endswith(('_id', '_number')) else 'false'}) AS is_identifier_candidate" for c, t in _TYPES.items()}),
     "profile_flags": f"WITH {DIRTY_SALES} " + _long({c: (f"count(DISTINCT {c}) <= 50 OR count(DISTINCT {c}) / count({c}) <= 0.5" if t == "string" and c != "order_date_text" else "bool_or(false)") + f" AS is_categorical, bool_or({'true' if c.endswith(('_id', '_number')) else 'false'}) AS is_identifier_candidate, max('{'name' if c.endswith(('_id', '_number')) else ''}') AS reasons" for c, t in _TYPES.items()}),
     "name_tokens": "SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(c_name), '[a-z0-9]+')) AS token FROM customer UNION ALL SELECT unnest(string_split(lower(p_name), ' ')) FROM part) GROUP BY 1",
     "value_shapes": "SELECT regexp_replace(regexp_replace(regexp_replace(substr(x, 1, 40), '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g') AS shape, count(*) AS n FROM (SELECT c_name AS x FROM customer UNION ALL SELECT p_brand FROM part UNION ALL SELECT o_orderpriority FROM orders) GROUP BY 1",
@@ -201,7 +208,7 @@ ORACLES = {
 QUERIES = {
     f.__name__: f
     for f in (
-        profile_table, profile_duplicates, profile_nulls, profile_distinct, profile_types, profile_minmax, profile_samples, profile_flags, name_tokens, value_shapes, contract_columns, contract_types, contract_rules, contract_unique,
+        profile_table, profile_duplicates, profile_nulls, profile_distinct, profile_decided, profile_types, profile_minmax, profile_samples, profile_flags, name_tokens, value_shapes, contract_columns, contract_types, contract_rules, contract_unique,
         contract_report, match_contract, contract_registry, quality_report, quality_severity, quality_corrections, ingest_decision, batch_decision, route_rows, profile_admitted,
     )
 }
