@@ -11,21 +11,25 @@ hash stand for it.
 
 Defined cases: a null or empty text is one empty line; keys of fewer than `min_chars` code points
 are never dropped; rows that repeat, also with the same id, are documents of their own; other
-columns are ignored by `line_table` and kept by `drop_lines`; empty tables give empty results.
+columns are ignored by `line_table` and kept by `drop_lines`; a text of any length is handled whole, in time linear in its
+lines; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .hashing import _SPACE, signed, span_hashes, text_chunks
-from .shared import arrow_batches, free_names, fresh_path, remove, stored, text_key, text_or_empty
+from .shared import arrow_batches, free_names, fresh_path, join_groups, remove, stored, text_key, text_or_empty
 
 #: Keys found in so many documents are boilerplate.
 MIN_DOCS = 10
@@ -185,10 +189,27 @@ def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_d
         frequent = stored(index.frequent(), "frequent-lines")
     finally:
         index.drop()
-    hits = lines.join(frequent, ["h1", "h2"]).dropDuplicates(["k0", "k1", "h1", "h2"])
+    # lines that very many documents have are joined where they lie
+    groups = stored(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_rows")).join(frequent, ["h1", "h2"], "left_semi"), "frequent-groups")
+    hits = join_groups(lines, groups, ["h1", "h2"]).dropDuplicates(["k0", "k1", "h1", "h2"])
     return hits.groupBy("k0", "k1").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("dropped"))
 
 
+@F.pandas_udf(T.StringType())
+def _without(texts: pd.Series, dropped: pd.Series) -> pd.Series:
+    """The texts without the lines of these numbers, in one pass over each text's lines. Null where nothing is dropped."""
+
+    def kept(text: str | None, gone: np.ndarray | None) -> str | None:
+        if gone is None:
+            return None
+        lines = text.split("\n")
+        stay = np.ones(len(lines), bool)
+        stay[gone] = False
+        return "\n".join(compress(lines, stay.tolist()))
+
+    return pd.Series([kept(t, g) for t, g in zip(texts, dropped)], dtype=object)
+
+
 def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = 1, batches: int = BATCHES, fanout: int = FANOUT, counts: tuple[str, str] | None = ("_n_lines", "_n_dropped")) -> DataFrame:
     """The documents, columns as they were, with the lines of frequent keys taken out of the text; then two columns more, the
     lines before dropping and those dropped, named by `counts` (None: neither) with underscores behind where such a name
@@ -201,8 +222,7 @@ def drop_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs
     key = f"c{names.index(id)}"
     both = left.join(dropped, left[key].eqNullSafe(dropped.k0) & (left.k1 == dropped.k1), "left")
     value = text_or_empty(at)
-    split = F.split(value, "\n", -1)
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("dropped", i)), "\n")
+    kept = _without(F.when(F.col("dropped").isNotNull(), value), F.col("dropped"))
     out = [F.when(F.col("dropped").isNotNull(), kept).otherwise(F.col(c)).alias(n) if c == at else F.col(c).alias(n) for n, c in zip(names, left.columns)]
     if counts:
         n_lines, n_dropped = free_names(names, *counts)

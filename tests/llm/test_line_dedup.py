@@ -1,5 +1,10 @@
+import hashlib
+import time
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from siltworks.llm import line_dedup
 from siltworks.llm.line_dedup import drop_lines
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -39,3 +44,17 @@ def test_tables_are_dropped_and_names_kept(spark):
     assert drop_lines(frame, counts=None).columns == frame.columns
     assert {(r.text, r["_n_lines"], r["_n_lines_"], r["_n_dropped_"]) for r in out.collect()} == {(f"own {i}", "a", 2, 1) for i in range(12)}
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+
+
+def test_text_of_a_million_lines(spark):
+    """Half of the lines are common to ten documents; dropping them takes time linear in the lines."""
+    n = 500_000
+    common = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit("common "), i.cast("string"))), "\n")
+    own = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit("own "), F.col("id").cast("string"), F.lit(" "), i.cast("string"))), "\n")
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, F.concat_ws("\n", common, own)).otherwise(common).alias("text"))
+    start = time.time()
+    got = {r.doc_id: (r._n_lines, r._n_dropped, r.h) for r in line_dedup.drop_lines(docs).select("doc_id", "_n_lines", "_n_dropped", F.sha2("text", 256).alias("h")).collect()}
+    kept = "\n".join(f"own 0 {i}" for i in range(n))
+    assert got[0] == (2 * n, n, hashlib.sha256(kept.encode()).hexdigest())
+    assert all(got[k] == (n, n, hashlib.sha256(b"").hexdigest()) for k in range(1, 10))
+    assert time.time() - start < 240
