@@ -39,10 +39,13 @@ from pyspark.sql import functions as F
 
 from .bpe import MAX_VOCABULARY_BYTES, byte_letters, require_byte_level, split_words
 from .shared import arrow_batches, stored, text_or_empty
+from .token_files import Kept
 
 #: A block is closed when its units have so many links together, or its documents so many words.
 BLOCK_LINKS = 1_000_000
 BLOCK_WORDS = 2_000_000
+#: Words kept with their A ids by a worker, in each of two generations.
+WORDS = 50_000
 #: Longer units, as in texts without spaces, are not kept.
 LONG_UNIT = 64
 #: Ids of a vocabulary; a larger one is refused.
@@ -133,45 +136,71 @@ class Aligner:
         self.letters = {b: c for c, b in byte_letters().items()}
         self.b = sentencepiece.SentencePieceProcessor(model_proto=v.b_model)
         self.space = self.b.piece_to_id("▁")
+        self.words = Kept(self._word, WORDS)
+        # units of the block before, also of another task that the worker ran
+        self.known: dict[str, Unit] = {}
         self.a_size, self.b_size = np.array(list(map(len, v.a_bytes))), np.array(list(map(len, v.b_bytes)))
         # an id in decimal with what stands behind it: A's within a group, its last one, B's within a group, its last one
         self.written = [f"{i}{mark}" for size, marks in ((len(v.a_bytes), ",|"), (len(v.b_bytes), ",;")) for mark in marks for i in range(size)]
 
-    def _ids_a(self, unit: str) -> list[int]:
-        return [t.id for w in split_words(unit) for t in self.a(w.encode().decode("latin-1").translate(self.letters))]
+    def _word(self, word: str) -> list[int]:
+        return [t.id for t in self.a(word.encode().decode("latin-1").translate(self.letters))]
 
     def align(self, units: list[str]) -> list[Unit]:
         """The alignment of each unit; a unit begins with a space."""
         raw = [u.encode() for u in units]
-        a = [self._ids_a(u) for u in units]
+        words = self.words
+        a = [list(chain.from_iterable([words[w] for w in split_words(u)])) for u in units]
         # the model puts the space before each unit, but not where there is nothing else
         b = [own or [self.space] for own in self.b.encode([u[1:] for u in units], num_threads=1)]
-        fits = [b"".join(map(self.v.a_bytes.__getitem__, x)) == r and b"".join(map(self.v.b_bytes.__getitem__, y)) == r for r, x, y in zip(raw, a, b)]
+        if self._fit(raw, a, b):
+            return self._aligned(raw, a, b)
+        fits = [self._fit([r], [x], [y]) for r, x, y in zip(raw, a, b)]
         good = [k for k, ok in enumerate(fits) if ok]
         made = iter(self._aligned([raw[k] for k in good], [a[k] for k in good], [b[k] for k in good]) if good else ())
         return [next(made) if ok else Unit(False) for ok in fits]
 
+    def _fit(self, raw: list[bytes], a: list[list[int]], b: list[list[int]]) -> bool:
+        """Whether the tokens' bytes are those of the units, unit by unit."""
+        whole, ends = b"".join(raw), np.cumsum(list(map(len, raw)))
+        for ids, tokens, sizes in ((a, self.v.a_bytes, self.a_size), (b, self.v.b_bytes, self.b_size)):
+            flat = list(chain.from_iterable(ids))
+            if b"".join(map(tokens.__getitem__, flat)) != whole:
+                return False
+            last = np.cumsum(list(map(len, ids)))
+            if not np.array_equal(np.concatenate([[0], np.cumsum(sizes[flat])])[last], ends):
+                return False
+        return True
+
     def _aligned(self, raw: list[bytes], a: list[list[int]], b: list[list[int]]) -> list[Unit]:
         """All units at once, as one run of bytes. Between two neighbouring ends of tokens lies the overlap of just one A token
         and one B token."""
         a_size, b_size = len(self.v.a_bytes), len(self.v.b_bytes)
         of_a, of_b = np.fromiter(chain.from_iterable(a), np.int64), np.fromiter(chain.from_iterable(b), np.int64)
-        ends = np.cumsum([len(r) for r in raw])
+        ends = np.cumsum(list(map(len, raw)))
         ends_a, ends_b = np.cumsum(self.a_size[of_a]), np.cumsum(self.b_size[of_b])
-        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        pieces = np.union1d(ends_a, ends_b)
-        pair_a, pair_b, group = of_a[np.searchsorted(ends_a, pieces)], of_b[np.searchsorted(ends_b, pieces)], np.searchsorted(cuts, pieces)
-        same = (np.bincount(group, minlength=len(cuts))[group] == 1) & (self.v.identity[pair_a] == pair_b)
-        pairs, pair_at = pair_a[~same] * b_size + pair_b[~same], np.searchsorted(pieces[~same], ends, "right")
-        same_ids, same_at = pair_a[same].astype(np.int32), np.searchsorted(pieces[same], ends, "right")
-        # each group's A ids, then its B ids
-        last_a, last_b = np.isin(ends_a, cuts, assume_unique=True), np.isin(ends_b, cuts, assume_unique=True)
-        order = np.argsort(np.concatenate([2 * np.searchsorted(cuts, ends_a), 2 * np.searchsorted(cuts, ends_b) + 1]), kind="stable")
-        shown = np.concatenate([of_a + last_a * a_size, 2 * a_size + of_b + last_b * b_size])[order]
+        # at each byte offset: does a token end there, and how many have ended before
+        at_a, at_b = np.zeros(ends[-1] + 1, bool), np.zeros(ends[-1] + 1, bool)
+        at_a[ends_a], at_b[ends_b] = True, True
+        both, either = at_a & at_b, at_a | at_b
+        n_before = lambda marks: np.cumsum(marks) - marks
+        before_a, before_b, groups_before = n_before(at_a), n_before(at_b), n_before(both)
+        pieces = np.flatnonzero(either)
+        pair_a, pair_b, group = of_a[before_a[pieces]], of_b[before_b[pieces]], groups_before[pieces]
+        same = (np.bincount(group)[group] == 1) & (self.v.identity[pair_a] == pair_b)
+        pairs, pair_at = pair_a[~same] * b_size + pair_b[~same], np.cumsum(~same)
+        same_ids, same_at = pair_a[same].astype(np.int32), np.cumsum(same)
+        # each group's A ids, then its B ids: an A id stands behind the B ids of the groups before, a B id behind its group's A ids too
+        cuts = np.flatnonzero(both)
+        b_until, a_until = np.concatenate([[0], before_b[cuts] + 1]), before_a[cuts] + 1
+        shown = np.empty(len(of_a) + len(of_b), np.int64)
+        shown[np.arange(len(of_a)) + b_until[groups_before[ends_a]]] = of_a + at_b[ends_a] * a_size
+        shown[np.arange(len(of_b)) + a_until[groups_before[ends_b]]] = 2 * a_size + of_b + at_a[ends_b] * b_size
         text = list(map(self.written.__getitem__, shown.tolist()))
-        counts = zip(map(len, a), map(len, b), np.diff(np.searchsorted(cuts, ends, "right"), prepend=0).tolist(), np.diff(np.searchsorted(pieces, ends, "right"), prepend=0).tolist())
+        last = np.cumsum(either)[ends] - 1
+        counts = zip(map(len, a), map(len, b), np.diff(np.cumsum(both)[ends], prepend=0).tolist(), np.diff(last + 1, prepend=0).tolist())
         out, t, p, s = [], 0, 0, 0
-        for (n_a, n_b, n_groups, n_links), p_end, s_end in zip(counts, pair_at.tolist(), same_at.tolist()):
+        for (n_a, n_b, n_groups, n_links), p_end, s_end in zip(counts, pair_at[last].tolist(), same_at[last].tolist()):
             out.append(Unit(True, n_a, n_b, n_groups, n_links, "".join(text[t : t + n_a + n_b])[:-1], same_ids[s:s_end].tobytes(), pairs[p:p_end].tobytes()))
             t, p, s = t + n_a + n_b, p_end, s_end
         return out
@@ -193,44 +222,45 @@ def _task_aligner(v: Vocabularies) -> Aligner:
 
 
 class _Block:
-    """Units by number, how often each is there, and their links."""
+    """Units by number, their sizes, how often each is there, and their links."""
 
-    def __init__(self, known: dict[str, Unit]):
-        self.known = known
+    def __init__(self) -> None:
         self.numbers: dict[str, int] = {}
         self.units: list[Unit] = []
+        # of each unit: whether it fits, its A and B tokens, groups and links, and its times
+        self.sizes = np.zeros((1024, 5), np.int64)
         self.times = np.zeros(1024, np.int64)
         self.words = 0
         self.links = 0
 
+    def _add(self, units: list[Unit]) -> None:
+        n = len(self.units)
+        self.units += units
+        while len(self.units) > len(self.times):
+            self.sizes, self.times = np.concatenate([self.sizes, np.zeros_like(self.sizes)]), np.concatenate([self.times, np.zeros_like(self.times)])
+        self.sizes[n : len(self.units)] = [(u.ok, u.n_a, u.n_b, u.n_groups, u.n_links) for u in units]
+        self.links += len(units) + int(self.sizes[n : len(self.units), 4].sum())
+
     def number(self, names: list[str], aligner: Aligner) -> np.ndarray:
-        """The number of each unit of a text; units new to the block are aligned."""
+        """The number of each unit; units new to the block are aligned."""
         get = self.numbers.get
         found = [get(u, -1) for u in names]
         if -1 in found:
-            new = list(dict.fromkeys(u for u, k in zip(names, found) if k < 0))
-            unknown = [u for u in new if u not in self.known]
-            made = dict(zip(unknown, aligner.align(unknown)))
-            own: dict[str, int] = {}
-            for u in new:
-                own[u] = len(self.units)
-                unit = made[u] if u in made else self.known[u]
-                self.units.append(unit)
-                self.links += unit.n_links + 1
-                if len(u) <= LONG_UNIT:
-                    self.numbers[u] = own[u]
+            new = list(dict.fromkeys([u for u, k in zip(names, found) if k < 0]))
+            unknown = [u for u in new if u not in aligner.known]
+            made = dict(zip(unknown, aligner.align(unknown))) if unknown else {}
+            own = dict(zip(new, range(len(self.units), len(self.units) + len(new))))
+            self._add([made[u] if u in made else aligner.known[u] for u in new])
+            self.numbers.update({u: k for u, k in own.items() if len(u) <= LONG_UNIT})
             found = [own[u] if k < 0 else k for u, k in zip(names, found)]
         return np.array(found, np.int64)
 
     def count(self, numbers: np.ndarray, times: np.ndarray) -> None:
-        self.counts()[numbers] += times
+        self.times[numbers] += times
         self.words += int(times.sum())
 
-    def counts(self) -> np.ndarray:
-        """How often each unit is there."""
-        if len(self.units) > len(self.times):
-            self.times = np.concatenate([self.times, np.zeros(max(len(self.units) - len(self.times), len(self.times)), np.int64)])
-        return self.times[: len(self.units)]
+    def kept(self) -> dict[str, Unit]:
+        return {u: self.units[k] for u, k in self.numbers.items()}
 
 
 CODED = "block long, id {id}, n_a long, n_b long, n_groups long, n_links long, groups string, units array<int>, times array<long>, same_ends array<int>, same array<int>, pair_ends array<int>, pairs array<long>"
@@ -266,13 +296,13 @@ def coded(docs: DataFrame, vocabularies: Vocabularies, id: str = "doc_id", text:
         ends = lambda lists, size: np.cumsum([len(x) // size for x in lists])
         same, pairs = [u.same for u in block.units], [u.pairs for u in block.units]
         none = lambda t: pa.nulls(1, t)
-        columns = [pa.array([number], pa.int64()), none(kind), *[none(pa.int64())] * 4, none(pa.string()), none(pa.list_(pa.int32())), _lists([block.counts()], np.int64)]
+        columns = [pa.array([number], pa.int64()), none(kind), *[none(pa.int64())] * 4, none(pa.string()), none(pa.list_(pa.int32())), _lists([block.times[: len(block.units)]], np.int64)]
         return pa.RecordBatch.from_arrays([*columns, _lists([ends(same, 4)], np.int32), _list(same, np.int32), _lists([ends(pairs, 8)], np.int32), _list(pairs, np.int64)], names=_NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _task_aligner(shared.value)
         number = TaskContext.get().partitionId() << 32
-        block, kind = _Block({}), None
+        block, kind = _Block(), None
         for batch in batches:
             kind = batch.schema.field(0).type
             for at, n in text_runs(batch.column(1), 100, 1 << 20):
@@ -280,9 +310,10 @@ def coded(docs: DataFrame, vocabularies: Vocabularies, id: str = "doc_id", text:
                 yield documents(number, part.column(0), _documents(block, part.column(1).to_pylist(), aligner, hashed))
                 if block.links >= BLOCK_LINKS or block.words >= BLOCK_WORDS:
                     yield ended(number, block, kind)
-                    number, block = number + 1, _Block({u: block.units[k] for u, k in block.numbers.items()})
+                    aligner.known, number, block = block.kept(), number + 1, _Block()
         if block.words:
             yield ended(number, block, kind)
+            aligner.known = block.kept()
 
     return slim.mapInArrow(run, CODED.format(id=slim.schema["id"].dataType.simpleString()))
 
@@ -306,14 +337,14 @@ def _documents(block: _Block, texts: list[str], aligner: Aligner, hashed: bool)
     out, at = [], 0
     for own_names in names:
         numbers, at = all_numbers[at : at + len(own_names)], at + len(own_names)
-        of = list(map(block.units.__getitem__, numbers.tolist()))
-        if not of or not all([u.ok for u in of]):
+        sizes = block.sizes[numbers]
+        if not len(numbers) or not sizes[:, 0].all():
             out.append((0, 0, 0, 0, "", [], []))
             continue
         own, times = np.unique(numbers, return_counts=True)
         block.count(own, times)
-        groups = ";".join([u.groups for u in of])
-        out.append((sum([u.n_a for u in of]), sum([u.n_b for u in of]), sum([u.n_groups for u in of]), sum([u.n_links for u in of]), hashlib.sha256(groups.encode()).hexdigest() if hashed else groups, own, times))
+        groups = ";".join([block.units[k].groups for k in numbers.tolist()])
+        out.append((*sizes[:, 1:].sum(axis=0).tolist(), hashlib.sha256(groups.encode()).hexdigest() if hashed else groups, own, times))
     return out
 
 
