@@ -419,6 +419,23 @@ ORACLES_SQL["an_findings"] = " UNION ALL ".join([
     _finding_sql("atypical_values", '"column"', "share", "outliers", ORACLES_SQL["an_outliers"]) + " WHERE share >= 0.01 AND share < 0.10",
 ])
 
+#: SQL has no look-behind, so a number's mark before it is taken along, and the word behind it, of which a second pattern tells the unit.
+_WORD = r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}\x{200c}\x{200d}"
+_SPACE = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]*"
+_NUMBERS = rf"(?:^|[^{_WORD}.,])(\p{{Nd}}{{1,3}}(?:[ \x{{a0}}\x{{202f}}]\p{{Nd}}{{3}})+|\p{{Nd}}+)([.,]\p{{Nd}}+)?({_SPACE}(?:%|\p{{L}}[{_WORD}]*))?"
+_UNIT = rf"^({_SPACE})(%|md$|m$|k$|milliards?|millions?|milliers?)"
+_CLAIMS_SQL = rf"""
+SELECT DISTINCT doc_id, cited, round(value, 6) AS value FROM (
+  WITH found AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_NUMBERS}', 1)) AS w, unnest(regexp_extract_all(text, '{_NUMBERS}', 2)) AS d, unnest(regexp_extract_all(text, '{_NUMBERS}', 3)) AS tail FROM documents),
+  parts AS (SELECT *, lower(regexp_extract(lower(tail), '{_UNIT}', 2)) AS unit, len(regexp_extract(lower(tail), '{_UNIT}', 0)) AS taken, TRY_CAST(concat(regexp_replace(w, '[ \x{{a0}}\x{{202f}}]', '', 'g'), replace(d, ',', '.')) AS DOUBLE) AS number, greatest(len(d) - 1, 0) AS decimals FROM found),
+  numbers AS (SELECT doc_id, regexp_replace(concat(w, d, tail[1:taken]), '{_SPACE}$', '') AS cited, number, decimals, unit,
+    CASE WHEN unit IN ('md', 'milliard', 'milliards') THEN 1e9 WHEN unit IN ('m', 'million', 'millions') THEN 1e6 WHEN unit IN ('k', 'millier', 'milliers') THEN 1e3 ELSE 1.0 END AS factor FROM parts WHERE number IS NOT NULL),
+  asked AS (SELECT doc_id, cited, number * factor AS value, 0.5 * pow(10.0, -decimals) * factor AS half FROM numbers WHERE NOT (unit = '' AND decimals = 0 AND (number <= 31 OR number BETWEEN 1900 AND 2100))),
+  known AS (SELECT total AS f FROM ({ORACLES_SQL["an_monthly"]}) m UNION SELECT value FROM ({ORACLES_SQL["kpi_values"]}) k WHERE value IS NOT NULL),
+  figures AS (SELECT f FROM known UNION SELECT f * 100 FROM known WHERE f BETWEEN -10 AND 10)
+  SELECT * FROM asked WHERE NOT EXISTS (SELECT 1 FROM figures WHERE abs(f - value) <= greatest(abs(f) * 0.015, half)))"""
+ORACLES_SQL["claims_unverified"] = _CLAIMS_SQL
+
 QUERIES = {
     f.__name__: (lambda spark, sf_dir, f=f: text_dates(f(spark, sf_dir)))
     for f in (
