@@ -42,10 +42,10 @@ from .shared import arrow_batches, stored, text_or_empty
 from .token_files import Kept
 
 #: A block is closed when its units have so many links together, or its documents so many words.
-BLOCK_LINKS = 1_000_000
+BLOCK_LINKS = 500_000
 BLOCK_WORDS = 2_000_000
 #: Words kept with their A ids by a worker, in each of two generations.
-WORDS = 50_000
+WORDS = 30_000
 #: Longer units, as in texts without spaces, are not kept.
 LONG_UNIT = 64
 #: Ids of a vocabulary; a larger one is refused.
@@ -305,7 +305,7 @@ def coded(docs: DataFrame, vocabularies: Vocabularies, id: str = "doc_id", text:
         block, kind = _Block(), None
         for batch in batches:
             kind = batch.schema.field(0).type
-            for at, n in text_runs(batch.column(1), 100, 1 << 20):
+            for at, n in text_runs(batch.column(1), 100, 1 << 19):
                 part = batch.slice(at, n)
                 yield documents(number, part.column(0), _documents(block, part.column(1).to_pylist(), aligner, hashed))
                 if block.links >= BLOCK_LINKS or block.words >= BLOCK_WORDS:
