@@ -91,6 +91,13 @@ def _slim(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).alias("k0"), _key(id, text).alias("k1"), text_or_empty(text).alias("t")).where("k0 IS NOT NULL")
 
 
+def _estimated_twice(blocks: DataFrame, counters: DataFrame, width: int) -> DataFrame:
+    """The stored blocks, without the column `slot`, whose least hash a sketch too wide to broadcast estimates to be there twice. Each least
+    hash meets its slot once, however many blocks have it, and its blocks are joined back where very many share it."""
+    keys = blocks.groupBy("m", "slot").agg(F.count(F.lit(1)).alias("n_rows"))
+    return join_groups(blocks.drop("slot"), stored(sk.dealt(keys, counters, width, "m", "slot", 2), "least-hashes"), ["m"])
+
+
 def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(k0 id, k1 hash of id and text, start, n): `n` repeated windows begin at the words start, start + 1, ... of the text."""
     spark = docs.sparkSession
@@ -129,7 +136,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
                 )
 
     blocks = slim.mapInArrow(candidates, f"{own}, m long, b1 long, b2 long, {_SPANS}, slot long")
-    blocks = stored(blocks.drop("slot") if small else sk.dealt(blocks, counters, width, "m", "slot", 2), "blocks")
+    blocks = stored(blocks.drop("slot") if small else _estimated_twice(stored(blocks, "all-candidates"), counters, width), "blocks")
     firsts = blocks.groupBy("m", "b1", "b2").agg(F.min("k0").alias("first"), (F.min("k0") < F.max("k0")).alias("shared"), F.count(F.lit(1)).alias("n_rows"))
     firsts = stored(firsts, "all-blocks")
     several = firsts.groupBy("m").agg((F.count(F.lit(1)) > 1).alias("several"), F.count(F.lit(1)).alias("n_blocks"))

@@ -3,6 +3,8 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
+
 from siltworks.llm.sketch import Sketch
 from siltworks.llm.substring_dedup import dedup
 
@@ -76,6 +78,27 @@ def test_sketch_too_wide_to_broadcast(docs, rows, monkeypatch):
     assert seen and all(0 < kept < 0.9 * n for n, kept in seen), seen
 
 
+def test_one_passage_in_most_documents_is_no_slot_of_its_own(spark, monkeypatch):
+    """With a wide sketch, each least hash is dealt to its slot once, so no task gets most rows."""
+    from siltworks.llm import sketch as sk
+
+    monkeypatch.setattr(sk, "MAX_WIDTH", 1)
+    monkeypatch.setattr("siltworks.llm.substring_dedup.width_for", lambda keys: 4 * sk.BLOCK)
+    seen = []
+    deal = sk.dealt
+
+    def dealt(rows, *how):
+        seen.append(rows.agg(F.count("*").alias("rows"), F.count_distinct("m").alias("keys"), F.sum("n_rows").alias("n"), F.max("n_rows").alias("most")).first())
+        return deal(rows, *how)
+
+    monkeypatch.setattr(sk, "dealt", dealt)
+    passage = " ".join(f"w{i}" for i in range(80))
+    data = [(i, (passage if i % 10 else "") + " " + " ".join(f"x{i}y{k}" for k in range(70))) for i in range(300)]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(8)
+    assert found(frame) == brute(data, 50)
+    assert seen[0].rows == seen[0]["keys"] and seen[0].most >= 250 and seen[0].n > 1.5 * seen[0].rows
+
+
 def test_text_ids(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     frame = spark.createDataFrame([("b", passage), ("a", passage), (None, passage)], "doc_id string, text string")
