@@ -9,7 +9,7 @@ from siltworks.operators import contract as ct
 from siltworks.operators import profile as pf
 from siltworks.sources.work import stored
 
-from .views import CONTRACT, DIRTY_SALES, dirty_sales, table
+from .views import COLUMNS, CONTRACT, DIRTY_SALES, dirty_sales, table
 
 _COMMON = ["table_name", "position", "column", "dtype", "inferred_type", "null_count", "row_count", "distinct_count", "is_unique", "identifier_reasons", "is_identifier_candidate", "is_categorical", "min_number", "max_number", "has_time", "has_blank"]
 
@@ -99,16 +99,51 @@ def gold_specs(spark, sf_dir):
     return ca.gold_specs(profile, roles, ca.keys(profile, roles), ct.rule_rows(spark, CONTRACT))
 
 
-_ROLES = """roles(table_name, "column", semantic_role, business_role, entity, confidence) AS (VALUES
-('sales', 'order_id', 'IDENTIFIER', NULL, 'ORDER', 0.85), ('sales', 'line_number', 'IDENTIFIER', NULL, NULL, 0.85), ('sales', 'order_date', 'TEMPORAL', 'DATE', 'ORDER', 0.95),
-('sales', 'order_date_text', 'TEMPORAL', 'DATE', 'ORDER', 0.95), ('sales', 'customer_id', 'IDENTIFIER', NULL, 'CUSTOMER', 0.85), ('sales', 'product', 'DIMENSION', NULL, 'PRODUCT', 0.85),
-('sales', 'category', 'DIMENSION', 'CATEGORY', NULL, 0.9), ('sales', 'region', 'DIMENSION', 'GEOGRAPHY', NULL, 0.9), ('sales', 'quantity', 'MEASURE', 'QUANTITY', NULL, 0.9),
-('sales', 'unit_price', 'MEASURE', 'PRICE', NULL, 0.9), ('sales', 'tax_rate', 'MEASURE', 'RATIO', NULL, 0.9), ('sales', 'status', 'DIMENSION', 'STATUS', NULL, 0.9),
-('sales', 'source_file', 'DIMENSION', 'CATEGORY', NULL, 0.6), ('events', 'event_id', 'IDENTIFIER', NULL, NULL, 0.95), ('events', 'ts', 'TEMPORAL', 'TIMESTAMP', NULL, 0.8),
-('events', 'user_id', 'IDENTIFIER', NULL, NULL, 0.85), ('events', 'event_type', 'DIMENSION', 'CATEGORY', NULL, 0.9), ('events', 'value', 'MEASURE', NULL, NULL, 0.6), ('events', 'props', 'DIMENSION', 'CATEGORY', NULL, 0.6))"""
-
 _KEYWORDS = ", ".join(f"('{kind}', '{role}', '{word}', {i})" for kind, of in ca.VOCABULARY.items() for i, (role, word) in enumerate((role, word) for role, words in of.items() for word in words))
 
+_EVENTS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
+def _column_facts(name: str, source: str, columns: list[str]) -> str:
+    """What the rows say of each column."""
+    return " UNION ALL ".join(
+        f"""SELECT '{name}' AS table_name, '{c}' AS "column", {i} AS place, any_value(typeof({c})) AS dtype, count(*) AS n, count({c}) AS known, count(DISTINCT {c}) AS d, bool_and(TRY_CAST({c} AS DOUBLE) % 1 = 0) AS whole,
+ min(TRY_CAST({c} AS DOUBLE)) AS low, max(TRY_CAST({c} AS DOUBLE)) AS high, count(*) FILTER (WHERE regexp_matches(CAST({c} AS VARCHAR), '^\\s*[0-9]{{4}}[-/.][0-9]{{1,2}}[-/.][0-9]{{1,2}}') AND TRY_CAST({c} AS TIMESTAMP) IS NOT NULL) AS dates,
+ coalesce(bool_or(date_trunc('day', TRY_CAST({c} AS TIMESTAMP)) <> TRY_CAST({c} AS TIMESTAMP)), false) AS timed, coalesce(bool_or(contains(trim(CAST({c} AS VARCHAR)), ' ')), false) AS blank FROM {source}"""
+        for i, c in enumerate(columns)
+    )
+
+
+def _in(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+#: Roles from names, types and counts of the tables, over the fixed keywords and figures of the rules.
+_K = ca.CONFIDENCE
+_ROLES = f"""keywords(kind, role, keyword, priority) AS (VALUES {_KEYWORDS}),
+told AS ({_column_facts("sales", "dirty_sales", COLUMNS)} UNION ALL {_column_facts("events", "events", _EVENTS)}),
+typed AS (SELECT *, string_split(lower("column"), '_') AS words, CASE WHEN known = 0 THEN 'empty' WHEN dtype LIKE 'TIMESTAMP%' OR dtype = 'DATE' THEN 'datetime' WHEN dtype LIKE '%INT' OR dtype = 'INTEGER' THEN 'integer' WHEN dtype = 'BOOLEAN' THEN 'boolean'
+  WHEN dtype = 'VARCHAR' THEN CASE WHEN dates >= 0.9 * known THEN 'datetime' ELSE 'string' END WHEN whole THEN 'integer' ELSE 'decimal' END AS kind, known = n AND d = n AND n > 0 AS is_unique FROM told),
+hinted AS (SELECT *, list_has_any(words, [{", ".join(f"'{w}'" for w in pf.ID_TOKENS)}]) AS strong, len(words) > 1 AND words[1] IN {_in(pf.ID_STARTS)} OR words[-1] IN {_in(pf.ID_ENDS)} OR list_has_any(words, [{", ".join(f"'{w}'" for w in pf.ID_TOKENS)}]) AS by_name,
+  is_unique AND n >= {pf.IDENTIFIER_ROWS} AND kind IN ('integer', 'string') AS by_values FROM typed),
+hits AS (SELECT DISTINCT "column", k.kind AS of, role, priority FROM hinted JOIN keywords k ON contains(concat('_', array_to_string(words, '_'), '_'), concat('_', keyword, '_'))),
+met AS (SELECT "column", {', '.join(f"arg_min(role, priority) FILTER (WHERE of = '{k}') AS {k}" for k in ca.VOCABULARY)} FROM hits GROUP BY 1),
+known_columns AS (SELECT h.*, measure, contact, dimension, temporal, entity, kind = 'decimal' AND low >= 0 AND high <= 1 AS between_0_and_1, coalesce(dimension = 'GEOGRAPHY' OR dimension IS NOT NULL AND NOT (strong OR is_unique), false) AS dimension_wins,
+  kind = 'boolean' OR kind = 'string' AND NOT (by_name OR by_values) AND (d <= {pf.CATEGORICAL_VALUES} OR d / nullif(known, 0) <= {pf.CATEGORICAL_RATIO}) AS categorical FROM hinted h LEFT JOIN met USING ("column")),
+judged AS (SELECT *, (by_name OR by_values) AND NOT dimension_wins AND NOT (by_values AND NOT by_name AND blank) AS identifier, CASE WHEN measure = 'LEVEL' AND between_0_and_1 THEN NULL ELSE measure END AS m FROM known_columns),
+roles AS (SELECT table_name, "column", place, n, is_unique, by_name, entity,
+  CASE WHEN kind = 'empty' THEN 'ATTRIBUTE' WHEN kind = 'datetime' THEN 'TEMPORAL' WHEN contact IS NOT NULL THEN 'ATTRIBUTE' WHEN identifier THEN 'IDENTIFIER'
+   WHEN kind IN ('integer', 'decimal') THEN CASE WHEN dimension IS NOT NULL AND m IS NULL THEN 'DIMENSION' ELSE 'MEASURE' END WHEN kind = 'boolean' OR dimension IS NOT NULL OR categorical THEN 'DIMENSION' ELSE 'ATTRIBUTE' END AS semantic_role,
+  CASE WHEN kind = 'empty' THEN NULL WHEN kind = 'datetime' THEN CASE WHEN timed OR temporal = 'TIMESTAMP' THEN 'TIMESTAMP' ELSE 'DATE' END WHEN contact IS NOT NULL THEN 'CONTACT' WHEN identifier THEN NULL
+   WHEN kind IN ('integer', 'decimal') THEN CASE WHEN dimension IS NOT NULL AND m IS NULL THEN dimension WHEN m IS NOT NULL THEN m WHEN between_0_and_1 THEN 'RATIO' END WHEN kind = 'boolean' THEN 'FLAG' WHEN dimension IS NOT NULL THEN dimension WHEN categorical AND entity IS NULL THEN 'CATEGORY' END AS business_role,
+  CASE WHEN kind = 'empty' THEN {_K["empty"]} WHEN kind = 'datetime' THEN CASE WHEN temporal IS NOT NULL THEN {_K["temporal_named"]} ELSE {_K["temporal"]} END WHEN contact IS NOT NULL THEN {_K["contact"]}
+   WHEN identifier THEN CASE WHEN by_name AND by_values THEN {_K["identifier_both"]} WHEN by_name THEN {_K["identifier_named"]} ELSE {_K["identifier_unique"]} END
+   WHEN kind IN ('integer', 'decimal') THEN CASE WHEN dimension IS NOT NULL AND m IS NULL THEN {_K["number_dimension"]} WHEN m IS NOT NULL THEN {_K["measure_named"]} WHEN between_0_and_1 THEN {_K["measure_ratio"]} ELSE {_K["measure"]} END
+   WHEN kind = 'boolean' THEN {_K["flag"]} WHEN dimension IS NOT NULL THEN CASE WHEN categorical THEN {_K["dimension_categorical"]} ELSE {_K["dimension"]} END WHEN categorical THEN CASE WHEN entity IS NULL THEN {_K["categorical"]} ELSE {_K["categorical_entity"]} END ELSE {_K["attribute"]} END AS confidence FROM judged)"""
+_DOMAINS = f"""signs AS (SELECT table_name, count(DISTINCT business_role) FILTER (WHERE semantic_role = 'MEASURE' AND business_role IN ('AMOUNT', 'PRICE')) AS money,
+  count(DISTINCT business_role) FILTER (WHERE semantic_role = 'MEASURE' AND business_role = 'QUANTITY') + count(DISTINCT entity) FILTER (WHERE entity IN {_in(ca.SALES_ENTITIES)}) AS others FROM {{0}} GROUP BY 1),
+domains AS (SELECT table_name, CASE WHEN money > 0 AND money + others >= 2 THEN 'SALES' ELSE 'UNKNOWN' END AS domain, CASE WHEN money > 0 AND money + others >= 2 THEN round(least({ca.DOMAIN_MOST}, {ca.DOMAIN_BASE} + {ca.DOMAIN_STEP} * (money + others)), 2) ELSE 0 END AS confidence FROM signs)"""
+
 #: Dimensions with their numbers of values, in the order of aggregates; `priority` is the order of breakdowns.
 _AXES = " UNION ALL ".join(
     f"SELECT '{name}' AS table_name, '{column}' AS \"column\", {i} AS position, {priority} AS priority, count(DISTINCT {column}) AS n FROM {source}"
@@ -146,15 +181,17 @@ SELECT table_name, gold_table, 'aggregate' AS kind, "column", operation FROM nam
 UNION ALL SELECT table_name, concat('fact_', table_name), 'fact', "column", NULL FROM (SELECT table_name, "column" FROM roles UNION ALL SELECT 'sales', 'line_amount') f
 UNION ALL SELECT table_name, concat(table_name, '_dim_', entity), 'dimension', "column", NULL FROM dims
 UNION ALL SELECT t, concat(t, '_dim_date'), 'dimension', c, NULL FROM (VALUES ('sales'), ('events')) v(t), (VALUES ('date'), ('year'), ('quarter'), ('month'), ('day')) w(c)""",
-    "column_roles": f"WITH {_ROLES} SELECT table_name, \"column\", semantic_role, business_role, entity, CAST(confidence AS DOUBLE) AS confidence FROM roles",
-    "key_candidates": "SELECT table_name, \"column\", relationship, referenced_entity, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES ('sales', 'order_id', 'FOREIGN_KEY_CANDIDATE', 'ORDER', 0.8), ('sales', 'line_number', 'FOREIGN_KEY_CANDIDATE', 'LINE_NUMBER', 0.6), ('sales', 'customer_id', 'FOREIGN_KEY_CANDIDATE', 'CUSTOMER', 0.8), ('events', 'event_id', 'PRIMARY_KEY_CANDIDATE', 'EVENT', 0.95), ('events', 'user_id', 'FOREIGN_KEY_CANDIDATE', 'USER', 0.6)) t(table_name, \"column\", relationship, referenced_entity, confidence)",
+    "column_roles": f"WITH {DIRTY_SALES}, {_ROLES} SELECT table_name, \"column\", semantic_role, business_role, entity, CAST(confidence AS DOUBLE) AS confidence FROM roles",
+    "key_candidates": f"""WITH {DIRTY_SALES}, {_ROLES}, ids AS (SELECT *, coalesce(entity, nullif(upper(array_to_string(list_filter(string_split(lower("column"), '_'), lambda w: w NOT IN {_in(pf.ID_TOKENS)}), '_')), '')) AS referenced_entity, is_unique AND n >= {ca.UNIQUE_ROWS} AS first_key FROM roles WHERE semantic_role = 'IDENTIFIER')
+SELECT table_name, "column", CASE WHEN first_key THEN 'PRIMARY_KEY_CANDIDATE' ELSE 'FOREIGN_KEY_CANDIDATE' END AS relationship, referenced_entity, CAST(CASE WHEN first_key THEN confidence WHEN entity IS NOT NULL THEN {_K["foreign_key_entity"]} ELSE {_K["foreign_key"]} END AS DOUBLE) AS confidence FROM ids WHERE first_key OR by_name""",
     "key_orphans": "SELECT 'lineitem' AS child, count(DISTINCT l_orderkey) AS orphans FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'customer', count(DISTINCT c_custkey) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "key_inclusions": f"""WITH {DIRTY_SALES}, held AS ({" UNION ".join(f"SELECT '{t}.{c}' AS name, CAST({c} AS VARCHAR) AS v FROM {'dirty_sales' if t == 'sales' else t} WHERE {c} IS NOT NULL" for t, c in [("sales", "order_id"), ("sales", "line_number"), ("sales", "customer_id"), ("events", "event_id"), ("events", "user_id"), *PARENTS])}),
 sizes AS (SELECT name, count(*) AS n FROM held GROUP BY 1), shared AS (SELECT a.name AS child, b.name AS parent, count(*) AS n FROM held a JOIN held b USING (v) GROUP BY 1, 2)
 SELECT a.name AS child, b.name AS parent, a.n AS n_values, a.n - coalesce(s.n, 0) AS missing FROM sizes a JOIN sizes b ON a.name <> b.name LEFT JOIN shared s ON s.child = a.name AND s.parent = b.name""",
-    "table_domain": "SELECT table_name, domain, CAST(confidence AS DOUBLE) AS confidence FROM (VALUES ('sales', 'SALES', 0.95), ('events', 'UNKNOWN', 0.0)) t(table_name, domain, confidence)",
-    "role_overrides": f"WITH {_ROLES} SELECT table_name, \"column\", semantic_role, CASE WHEN \"column\" = 'value' THEN 'AMOUNT' ELSE business_role END AS business_role, CAST(CASE WHEN \"column\" = 'value' THEN 0.95 ELSE confidence END AS DOUBLE) AS confidence, CASE table_name WHEN 'sales' THEN 'SALES' ELSE 'UNKNOWN' END AS domain FROM roles",
-    "restrict_to_contract": f"WITH {_ROLES} SELECT \"column\", semantic_role FROM roles WHERE table_name = 'sales' AND \"column\" NOT IN ('region', 'tax_rate', 'source_file')",
+    "table_domain": f"WITH {DIRTY_SALES}, {_ROLES}, {_DOMAINS.format('roles')} SELECT table_name, domain, CAST(confidence AS DOUBLE) AS confidence FROM domains",
+    "role_overrides": f"""WITH {DIRTY_SALES}, {_ROLES}, given AS (SELECT * REPLACE (CASE WHEN table_name = 'events' AND "column" = 'value' THEN 'MEASURE' ELSE semantic_role END AS semantic_role, CASE WHEN table_name = 'events' AND "column" = 'value' THEN 'AMOUNT' ELSE business_role END AS business_role,
+  CASE WHEN table_name = 'events' AND "column" = 'value' THEN {_K["accepted"]} ELSE confidence END AS confidence) FROM roles), {_DOMAINS.format('given')} SELECT table_name, "column", semantic_role, business_role, CAST(given.confidence AS DOUBLE) AS confidence, domain FROM given JOIN domains USING (table_name)""",
+    "restrict_to_contract": f"WITH {DIRTY_SALES}, {_ROLES} SELECT \"column\", semantic_role FROM roles WHERE table_name = 'sales' AND \"column\" IN ({', '.join(repr(c) for c in CONTRACT if c not in ('region', 'tax_rate'))})",
     "cancellation_values": f"WITH {DIRTY_SALES} SELECT DISTINCT 'status' AS \"column\", upper(trim(status)) AS value FROM dirty_sales WHERE regexp_matches(lower(status), 'cancel|annul')",
     "generate_contract": f"WITH {DIRTY_SALES} SELECT c AS \"column\", t AS type, CASE WHEN c = 'status' THEN (SELECT count(*) > count(status) FROM dirty_sales) ELSE false END AS nullable, CAST(CASE c WHEN 'unit_price' THEN 0 WHEN 'tax_rate' THEN 0 WHEN 'quantity' THEN (SELECT CASE WHEN min(quantity) >= 1 THEN 1 WHEN min(quantity) >= 0 THEN 0 END FROM dirty_sales) END AS DOUBLE) AS min, CAST(CASE c WHEN 'tax_rate' THEN 1 END AS DOUBLE) AS max, false AS unique FROM (VALUES ('order_id', 'integer'), ('line_number', 'integer'), ('order_date', 'datetime'), ('order_date_text', 'datetime'), ('customer_id', 'integer'), ('product', 'string'), ('category', 'string'), ('region', 'string'), ('quantity', 'integer'), ('unit_price', 'decimal'), ('tax_rate', 'decimal'), ('status', 'string'), ('source_file', 'string')) v(c, t)",
 }
