@@ -9,7 +9,7 @@ from siltworks.operators import contract as ct
 from siltworks.operators import profile as pf
 from siltworks.sources.work import stored
 
-from .views import COLUMNS, CONTRACT, DIRTY_SALES, dirty_sales, table
+from .views import COLUMNS, CONTRACT, DIRTY_SALES, EVENT_COLUMNS, TYPED_SQL, column_facts_sql, dirty_sales, table
 
 _COMMON = ["table_name", "position", "column", "dtype", "inferred_type", "null_count", "row_count", "distinct_count", "is_unique", "identifier_reasons", "is_identifier_candidate", "is_categorical", "min_number", "max_number", "has_time", "has_blank"]
 
@@ -101,19 +101,6 @@ def gold_specs(spark, sf_dir):
 
 _KEYWORDS = ", ".join(f"('{kind}', '{role}', '{word}', {i})" for kind, of in ca.VOCABULARY.items() for i, (role, word) in enumerate((role, word) for role, words in of.items() for word in words))
 
-_EVENTS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
-
-
-def _column_facts(name: str, source: str, columns: list[str]) -> str:
-    """What the rows say of each column."""
-    return " UNION ALL ".join(
-        f"""SELECT '{name}' AS table_name, '{c}' AS "column", {i} AS place, any_value(typeof({c})) AS dtype, count(*) AS n, count({c}) AS known, count(DISTINCT {c}) AS d, bool_and(TRY_CAST({c} AS DOUBLE) % 1 = 0) AS whole,
- min(TRY_CAST({c} AS DOUBLE)) AS low, max(TRY_CAST({c} AS DOUBLE)) AS high, count(*) FILTER (WHERE regexp_matches(CAST({c} AS VARCHAR), '^\\s*[0-9]{{4}}[-/.][0-9]{{1,2}}[-/.][0-9]{{1,2}}') AND TRY_CAST({c} AS TIMESTAMP) IS NOT NULL) AS dates,
- coalesce(bool_or(date_trunc('day', TRY_CAST({c} AS TIMESTAMP)) <> TRY_CAST({c} AS TIMESTAMP)), false) AS timed, coalesce(bool_or(contains(trim(CAST({c} AS VARCHAR)), ' ')), false) AS blank FROM {source}"""
-        for i, c in enumerate(columns)
-    )
-
-
 def _in(words) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
@@ -121,9 +108,8 @@ def _in(words) -> str:
 #: Roles from names, types and counts of the tables, over the fixed keywords and figures of the rules.
 _K = ca.CONFIDENCE
 _ROLES = f"""keywords(kind, role, keyword, priority) AS (VALUES {_KEYWORDS}),
-told AS ({_column_facts("sales", "dirty_sales", COLUMNS)} UNION ALL {_column_facts("events", "events", _EVENTS)}),
-typed AS (SELECT *, string_split(lower("column"), '_') AS words, CASE WHEN known = 0 THEN 'empty' WHEN dtype LIKE 'TIMESTAMP%' OR dtype = 'DATE' THEN 'datetime' WHEN dtype LIKE '%INT' OR dtype = 'INTEGER' THEN 'integer' WHEN dtype = 'BOOLEAN' THEN 'boolean'
-  WHEN dtype = 'VARCHAR' THEN CASE WHEN dates >= 0.9 * known THEN 'datetime' ELSE 'string' END WHEN whole THEN 'integer' ELSE 'decimal' END AS kind, known = n AND d = n AND n > 0 AS is_unique FROM told),
+told AS ({column_facts_sql("sales", "dirty_sales", COLUMNS)} UNION ALL {column_facts_sql("events", "events", EVENT_COLUMNS)}),
+{TYPED_SQL},
 hinted AS (SELECT *, list_has_any(words, [{", ".join(f"'{w}'" for w in pf.ID_TOKENS)}]) AS strong, len(words) > 1 AND words[1] IN {_in(pf.ID_STARTS)} OR words[-1] IN {_in(pf.ID_ENDS)} OR list_has_any(words, [{", ".join(f"'{w}'" for w in pf.ID_TOKENS)}]) AS by_name,
   is_unique AND n >= {pf.IDENTIFIER_ROWS} AND kind IN ('integer', 'string') AS by_values FROM typed),
 hits AS (SELECT DISTINCT "column", k.kind AS of, role, priority FROM hinted JOIN keywords k ON contains(concat('_', array_to_string(words, '_'), '_'), concat('_', keyword, '_'))),

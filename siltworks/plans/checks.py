@@ -10,7 +10,7 @@ from siltworks.operators import profile as pf
 from siltworks.operators import quality as q
 from siltworks.sources.work import stored
 
-from .views import COLUMNS, CONTRACT, DIRTY_SALES, dirty_sales, table
+from .views import COLUMNS, CONTRACT, DIRTY_SALES, EVENT_COLUMNS, TYPED_SQL, column_facts_sql, dirty_sales, table
 
 FILE = "source_file"
 
@@ -97,12 +97,20 @@ def contract_report(spark, sf_dir):
     return ct.report(dirty_sales(spark, sf_dir), CONTRACT, FILE)
 
 
+#: Kinds of columns that contracts ask for, in order; two of the same shape tell no file.
+STRUCTURES = [
+    ("sales", [CONTRACT[c]["type"] for c in COLUMNS if c != FILE]),
+    ("events", ["integer", "datetime", "integer", "string", "decimal", "string"]),
+    ("countries", ["integer", "string", "decimal"]),
+    ("states", ["decimal", "string", "integer"]),
+]
+
+
 def match_contract(spark, sf_dir):
     """The structure of sales and events, as profiled, against contracts."""
     kinds = lambda df, name: pf.facts(df).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "inferred_type"))), lambda s: s["inferred_type"]).alias("kinds")).select(F.lit(name).alias("file"), "kinds")
     files = kinds(dirty_sales(spark, sf_dir).drop(FILE), "sales").unionByName(kinds(table(spark, sf_dir, "events"), "events")).unionByName(kinds(table(spark, sf_dir, "nation"), "nation"))
-    sales = [CONTRACT[c]["type"] for c in COLUMNS if c != FILE]
-    contracts = spark.createDataFrame([("sales", sales), ("events", ["integer", "datetime", "integer", "string", "decimal", "string"]), ("countries", ["integer", "string", "decimal"]), ("states", ["decimal", "string", "integer"])], "contract string, kinds array<string>")
+    contracts = spark.createDataFrame(STRUCTURES, "contract string, kinds array<string>")
     return ct.match_structure(files, contracts)
 
 
@@ -189,12 +197,17 @@ ORACLES = {
     "profile_flags": f"WITH {DIRTY_SALES} " + _long({c: (f"count(DISTINCT {c}) <= 50 OR count(DISTINCT {c}) / count({c}) <= 0.5" if t == "string" and c != "order_date_text" else "bool_or(false)") + f" AS is_categorical, bool_or({'true' if c.endswith(('_id', '_number')) else 'false'}) AS is_identifier_candidate, max('{'name' if c.endswith(('_id', '_number')) else ''}') AS reasons" for c, t in _TYPES.items()}),
     "name_tokens": "SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(c_name), '[a-z0-9]+')) AS token FROM customer UNION ALL SELECT unnest(string_split(lower(p_name), ' ')) FROM part) GROUP BY 1",
     "value_shapes": "SELECT regexp_replace(regexp_replace(regexp_replace(substr(x, 1, 40), '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g') AS shape, count(*) AS n FROM (SELECT c_name AS x FROM customer UNION ALL SELECT p_brand FROM part UNION ALL SELECT o_orderpriority FROM orders) GROUP BY 1",
-    "contract_columns": f"WITH {DIRTY_SALES} SELECT *, (SELECT count(*) FROM dirty_sales) AS rows FROM (VALUES ('discount', 'missing_column', 'error'), ('region', 'unexpected_column', 'warning')) t(\"column\", issue, severity)",
+    "contract_columns": f"""WITH {DIRTY_SALES}, rules("column") AS (VALUES {", ".join(f"('{c}')" for c in STRICT)}), names AS (SELECT column_name AS "column" FROM (DESCRIBE FROM dirty_sales) WHERE column_name <> '{FILE}')
+SELECT *, (SELECT count(*) FROM dirty_sales) AS rows FROM (SELECT "column", 'missing_column' AS issue, 'error' AS severity FROM rules ANTI JOIN names USING ("column") UNION ALL SELECT "column", 'unexpected_column', 'warning' FROM names ANTI JOIN rules USING ("column"))""",
     "contract_types": f"WITH {DIRTY_SALES} SELECT * FROM (" + " UNION ALL ".join(f"SELECT source_file, '{c}' AS \"column\", count(*) FILTER (WHERE {e}) AS n FROM dirty_sales GROUP BY 1" for c, e in _BAD_TYPES.items()) + ") WHERE n > 0",
     "contract_rules": f"WITH {DIRTY_SALES} SELECT * FROM (" + " UNION ALL ".join(f"SELECT source_file, '{c}' AS \"column\", '{r}' AS rule, count(*) FILTER (WHERE {e}) AS n FROM dirty_sales GROUP BY 1" for (c, r), e in _RULES.items()) + ") WHERE n > 0",
     "contract_unique": f"WITH {DIRTY_SALES} SELECT * FROM (" + " UNION ALL ".join(f"SELECT source_file, '{c}' AS \"column\", 'unique' AS rule, count({c}) - count(DISTINCT {c}) AS n FROM dirty_sales GROUP BY 1" for c in ("order_id", "customer_id")) + ") WHERE n > 0",
     "contract_report": f"WITH {_ISSUES} SELECT source_file, errors = 0 AS valid, errors, CAST(0 AS BIGINT) AS warnings FROM errors",
-    "match_contract": "SELECT * FROM (VALUES ('sales', 'sales'), ('events', 'events')) t(file, contract)",
+    "match_contract": f"""WITH {DIRTY_SALES}, told AS ({column_facts_sql("sales", "dirty_sales", [c for c in COLUMNS if c != FILE])} UNION ALL {column_facts_sql("events", "events", EVENT_COLUMNS)} UNION ALL {column_facts_sql("nation", "nation", ["n_nationkey", "n_name", "n_regionkey"])}), {TYPED_SQL},
+files AS (SELECT table_name AS file, list(replace(replace(kind, 'integer', 'number'), 'decimal', 'number') ORDER BY place) AS kinds FROM typed GROUP BY 1),
+contracts(contract, kinds) AS (VALUES {", ".join(f"('{name}', {[k.replace('integer', 'number').replace('decimal', 'number') for k in kinds]})" for name, kinds in STRUCTURES)}),
+met AS (SELECT file, contract FROM files f JOIN contracts c ON len(f.kinds) = len(c.kinds) AND len(list_filter(list_zip(f.kinds, c.kinds), lambda x: x[1] <> x[2] AND x[1] <> 'empty')) = 0)
+SELECT file, min(contract) AS contract FROM met GROUP BY 1 HAVING count(*) = 1""",
     "contract_registry": "SELECT dataset, concat('1.', d) AS version, 'VALIDATED' AS status FROM (SELECT concat('set_', user_id) AS dataset, d, k, row_number() OVER (PARTITION BY user_id ORDER BY d DESC) AS n FROM (SELECT user_id, day(ts) AS d, count(*) AS k FROM events GROUP BY 1, 2) WHERE k % 4 IN (0, 3)) WHERE n = 1",
     "quality_report": f"WITH {_ISSUES} SELECT * FROM found",
     "quality_severity": f"WITH {_ISSUES} SELECT source_file, severity, count(*) AS issues, CAST(sum(n) AS BIGINT) AS values FROM graded GROUP BY 1, 2",

@@ -94,6 +94,23 @@ FROM dirty_sales WHERE quantity >= 1 AND unit_price >= 0)"""
 
 COLUMNS = ["order_id", "line_number", "order_date", "order_date_text", "customer_id", "product", "category", "region", "quantity", "unit_price", "tax_rate", "status", "source_file"]
 
+EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
+def column_facts_sql(name: str, source: str, columns: list[str]) -> str:
+    """What the rows say of each column."""
+    return " UNION ALL ".join(
+        f"""SELECT '{name}' AS table_name, '{c}' AS "column", {i} AS place, any_value(typeof({c})) AS dtype, count(*) AS n, count({c}) AS known, count(DISTINCT {c}) AS d, bool_and(TRY_CAST({c} AS DOUBLE) % 1 = 0) AS whole,
+ min(TRY_CAST({c} AS DOUBLE)) AS low, max(TRY_CAST({c} AS DOUBLE)) AS high, count(*) FILTER (WHERE regexp_matches(CAST({c} AS VARCHAR), '^\\s*[0-9]{{4}}[-/.][0-9]{{1,2}}[-/.][0-9]{{1,2}}') AND TRY_CAST({c} AS TIMESTAMP) IS NOT NULL) AS dates,
+ coalesce(bool_or(date_trunc('day', TRY_CAST({c} AS TIMESTAMP)) <> TRY_CAST({c} AS TIMESTAMP)), false) AS timed, coalesce(bool_or(contains(trim(CAST({c} AS VARCHAR)), ' ')), false) AS blank FROM {source}"""
+        for i, c in enumerate(columns)
+    )
+
+
+#: The inferred kind of each column of `told`, rows of `column_facts_sql`.
+TYPED_SQL = """typed AS (SELECT *, string_split(lower("column"), '_') AS words, CASE WHEN known = 0 THEN 'empty' WHEN dtype LIKE 'TIMESTAMP%' OR dtype = 'DATE' THEN 'datetime' WHEN dtype LIKE '%INT' OR dtype = 'INTEGER' THEN 'integer' WHEN dtype = 'BOOLEAN' THEN 'boolean'
+  WHEN dtype = 'VARCHAR' THEN CASE WHEN dates >= 0.9 * known THEN 'datetime' ELSE 'string' END WHEN whole THEN 'integer' ELSE 'decimal' END AS kind, known = n AND d = n AND n > 0 AS is_unique FROM told)"""
+
 #: Rules for dirty_sales: status may be null, quantity is 1 at least, unit_price 0 at least.
 CONTRACT = {
     "order_id": {"type": "integer", "nullable": False},
