@@ -86,7 +86,8 @@ class LandingFiles(DataSource):
         return _Reader(self.options["path"])
 
 
-def _reached(path: str) -> bool:
+def reached(path: str) -> bool:
+    """Whether Arrow has a file system for a path."""
     try:
         store_of(path)
     except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError, ValueError):
@@ -103,7 +104,7 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
 def heads(spark: SparkSession, path: str, size: int) -> DataFrame:
     """(path, length, head) of all files below a folder: at most the first `size` bytes of each. Files are dealt evenly to tasks,
     whatever folders they lie in."""
-    if not _reached(path):
+    if not reached(path):
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
         return files.select("path", "length", F.substring("content", 1, size).alias("head"))
 
