@@ -10,8 +10,8 @@ without blanks takes n log n steps.
 
 Defined cases: a null or empty text has no ids; a special token's string in a text is that token;
 each row is encoded alone; columns besides id and text are ignored, and kept by `add_ids`; bytes that
-are no UTF-8 after decoding become U+FFFD. A vocabulary file that asks for more than plain byte-level BPE
-is refused. Learnt words are kept in two generations: where one is full it becomes the older, which words
+are no UTF-8 after decoding become U+FFFD; rows that repeat are encoded each; an empty table gives an empty table. A
+vocabulary file that asks for more than plain byte-level BPE, or has more than MAX_IDS ids or merges, is refused. Learnt words are kept in two generations: where one is full it becomes the older, which words
 are taken over from, so words in use are never learnt again.
 """
 
@@ -38,6 +38,9 @@ CACHE_WORDS = 200_000
 #: Vocabulary files are read whole by the driver and sent to each executor; a larger file is refused.
 MAX_VOCABULARY_BYTES = 64 << 20
 
+#: Ids and merges that a vocabulary may have: a pair of ids, and a rank with a pair's place, are one number each.
+MAX_IDS = 1 << 20
+
 _NO_RANK = np.int64(1) << np.int64(40)
 
 #: The pattern of byte-level BPE.
@@ -102,11 +105,11 @@ class Vocabulary:
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
-        with open(path, encoding="utf-8") as f:
-            text = f.read(MAX_VOCABULARY_BYTES + 1)
-        if len(text) > MAX_VOCABULARY_BYTES:
+        with open(path, "rb") as f:
+            data = f.read(MAX_VOCABULARY_BYTES + 1)
+        if len(data) > MAX_VOCABULARY_BYTES:
             raise ValueError(f"{path} holds more than {MAX_VOCABULARY_BYTES} bytes")
-        return cls.of(json.loads(text))
+        return cls.of(json.loads(data))
 
     @classmethod
     def of(cls, spec: dict) -> Vocabulary:
@@ -114,7 +117,10 @@ class Vocabulary:
         letters = byte_letters()
         vocab = spec["model"]["vocab"]
         specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        tokens = [b""] * (1 + max([*vocab.values(), *specials.values()]))
+        most = 1 + max([*vocab.values(), *specials.values()])
+        if max(most, len(spec["model"]["merges"])) > MAX_IDS:
+            raise ValueError(f"a vocabulary of more than {MAX_IDS} ids or merges")
+        tokens = [b""] * most
         for token, i in vocab.items():
             tokens[i] = bytes(letters[c] for c in token)
         for token, i in specials.items():

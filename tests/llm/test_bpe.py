@@ -83,3 +83,13 @@ def test_add_ids_keeps_text_and_names(spark):
     out = bpe.add_ids(frame, vocabulary_path())
     assert out.columns == [*frame.columns, "ids_", "n_tokens_"]
     assert sorted(((r.doc_id, r.text, r["ids"], r["N_TOKENS"], len(r["ids_"]), r["n_tokens_"]) for r in out.collect()), key=str) == [(1, "one two", "x", 7, 2, 2), (2, "", "z", 9, 0, 0), (2, None, "y", 8, 0, 0)]
+
+
+def test_vocabularies_beyond_a_pair_key_are_refused():
+    import json
+
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["vocab"] = spec["model"]["vocab"] | {"zzzz": bpe.MAX_IDS}
+    with pytest.raises(ValueError, match="ids or merges"):
+        bpe.Vocabulary.of(spec)
