@@ -10,8 +10,8 @@ consecutive words of an item; an item of fewer words, but not none, is one windo
 
 Defined cases: a null or empty text has no words and no hits; an item without words is never
 found; one with a null id is hit and cut, but not in lists of items; repeated items are all found;
-an empty table of items leaves documents as they are; repeated documents are each judged; columns
-besides id and text are kept as they are by `remove_spans` and ignored by `find`.
+an empty table of items leaves documents as they are; repeated documents are each judged; a text of any length is streamed whole,
+one in memory at a time; columns besides id and text are kept as they are by `remove_spans` and ignored by `find`.
 """
 
 from __future__ import annotations
@@ -147,7 +147,7 @@ class SuffixAutomaton:
 def _parts(items: DataFrame, item_id: str, text: str, shard_words: int) -> list[DataFrame]:
     """The items in parts of about `shard_words` words: few items in one, more in as many as are needed."""
     # an item without id is hit and cut as any other; only lists of items leave it out
-    rows = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).cast("string").alias("text")).where("text is not null")
+    rows = items.select(F.col(item_id).cast("string").alias("name"), F.col(text).cast("string").alias("text")).where("text is not null").distinct()
     total = rows.agg(F.sum(F.regexp_count("text", F.lit("[0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).first()[0] or 0
     n = max(1, -(-int(total) // shard_words))
     return [rows] if n == 1 else [rows.where(F.pmod(F.xxhash64("name", "text"), F.lit(n)) == k) for k in range(n)]

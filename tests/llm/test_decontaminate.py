@@ -66,3 +66,13 @@ def test_item_without_id(spark):
         found = find(docs, items, window=3, shard_words=shard_words).first()
         assert (found.n_hit, found["items"]) == (6, ["7"])
         assert remove_spans(docs, items, window=3, shard_words=shard_words).first().text == "Keep this. ! And a  here, all kept here."
+
+
+def test_repeated_items_are_taken_once(spark):
+    from siltworks.llm import decontaminate
+
+    items = spark.createDataFrame([(1, "alpha beta gamma delta")] * 500 + [(2, "one two three four")], "item_id long, text string")
+    parts = decontaminate._parts(items, "item_id", "text", 6)
+    assert len(parts) == 2 and sum(p.count() for p in parts) == 2
+    docs = spark.createDataFrame([(1, "x alpha beta gamma delta y one two three four")], "doc_id long, text string")
+    assert find(docs, items, window=3, shard_words=6).first()["items"] == ["1", "2"]
