@@ -27,7 +27,7 @@ Joins on a node or bucket that very many rows share are dealt by a second column
 Defined cases: texts without words, null ones too, are copies of each other; a row without id has a null
 class; a text of fewer words than a shingle is one shingle; rows of one id are one document; repeated rows
 have one class; ids that are no whole numbers are told apart and ordered by a hash, and a class has the id that
-is first in that order; other columns are ignored by `classes` and kept by `keep_one`; an empty table gives an
+is first in that order; a text of any length is shingled whole, in one task; other columns are ignored by `classes` and kept by `keep_one`; an empty table gives an
 empty result.
 """
 
@@ -58,6 +58,8 @@ MARGIN = 0.10
 #: Bytes of shingle hashes on each side of a block, about, and pairs compared at once.
 BLOCK_BYTES = 8 << 20
 AT_ONCE = 1 << 15
+#: Nodes on each side of a block, about, however short their texts are.
+BLOCK_NODES = 1 << 13
 #: A key of a join with more rows than HOT, and than a SALTED-th of all, is dealt to several tasks.
 HOT, SALTED = 128, 50_000
 
@@ -285,16 +287,19 @@ def _labelled(frame: DataFrame, labels: DataFrame, node: str, label: str) -> Dat
     return frame.join(of, F.col(node) == F.col("_node"), "left").withColumn(label, F.coalesce("_label", node)).drop("_node", "_label")
 
 
-def _block_links(rows: DataFrame, nodes: DataFrame, elements: DataFrame, labels: DataFrame, least: float, similarity: float, block: int = BLOCK_BYTES) -> DataFrame:
+def _block_links(rows: DataFrame, nodes: DataFrame, elements: DataFrame, labels: DataFrame, least: float, similarity: float, block: int = BLOCK_BYTES, block_nodes: int | None = None) -> DataFrame:
     """Links (a, b) between different components of a bucket. Every node outside the bucket's largest component meets all its
-    nodes; the two sides are dealt by hash into blocks of about `block` bytes. Short signatures choose the pairs that are
+    nodes; the two sides are dealt by hash into blocks of about `block` bytes and `block_nodes` nodes at most. Short signatures choose the pairs that are
     checked; a pair is checked in the first of the buckets that it shares, and not once its components have a link here."""
     own = nodes.select("node", "keys", "short").join(elements.select("node", "size", "s"), "node")
     own = own.select("node", "size", F.struct("keys", "short", "s").alias("own"))
     labelled = _labelled(rows.select("key", "node"), labels, "node", "label").join(elements.select("node", "size"), "node")
-    sizes = labelled.groupBy("key", "label").agg(F.sum("size").alias("n"))
-    sizes = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("most"), F.sum("n").alias("n"), F.max("n").alias("top")).where("n > top")
-    sizes = sizes.select("key", "most", F.ceil((F.col("n") - F.col("top")) / block).alias("outside"), F.ceil(F.col("n") / block).alias("all"))
+    sizes = labelled.groupBy("key", "label").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("c"))
+    largest = F.struct("n", -F.col("label"))
+    sizes = sizes.groupBy("key").agg(F.max_by("label", largest).alias("most"), F.sum("n").alias("n"), F.max("n").alias("top"), F.sum("c").alias("c"), F.max_by("c", largest).alias("top_c")).where("c > top_c")
+    block_nodes = block_nodes or BLOCK_NODES
+    parts = lambda size, count: F.greatest(F.ceil(size / block), F.ceil(count / block_nodes), F.lit(1))
+    sizes = sizes.select("key", "most", parts(F.col("n") - F.col("top"), F.col("c") - F.col("top_c")).alias("outside"), parts(F.col("n"), F.col("c")).alias("all"))
     several = _spread(labelled, sizes, "key", "node", rows)
     several = stored(several.withColumn("out", F.col("label") != F.col("most")).withColumn("h", F.xxhash64("node")).drop("size", "most"), "bucket-nodes")
     columns = ["key", "i", "j", "side", "node", "label", "out"]

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from siltworks.llm import minhash as mh
 from siltworks.llm.components import components
 
@@ -134,8 +135,10 @@ def test_components(spark):
     assert got == {(i, 0) for i in range(1, 51)} | {(200, 100), (150, 100)}
 
 
-def test_bucket_of_many_families(spark):
+@pytest.mark.parametrize("block_nodes", [mh.BLOCK_NODES, 700])
+def test_bucket_of_many_families(spark, monkeypatch, block_nodes):
     """Copies of one template, most pairs a little below the limit: their links are few and far apart in the buckets."""
+    monkeypatch.setattr(mh, "BLOCK_NODES", block_nodes)
     rng = np.random.default_rng(11)
     n, length = 2500, 100
     # two places changed in each: pairs link only where places are close to each other
