@@ -23,7 +23,8 @@ A document is its words, A-Z lower-cased, then one end token; before the first w
 Words are told apart by 128 bits of hash.
 
 Defined cases: a null or empty text is the end token alone; a null id counts as the text '' when
-documents are split; rows with the same id are documents of their own; other columns are ignored; an
+documents are split; rows with the same id are documents of their own; a text of any length is
+scored whole; other columns are ignored; an
 empty table gives an empty result; without training documents every word is unknown.
 """
 

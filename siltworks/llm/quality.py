@@ -11,7 +11,7 @@ each row is judged alone, so ties and repeated rows do not matter; other columns
 of the name `into` is replaced by `measure` and `judge`, kept by `filter_documents`. The stop words are
 those of four languages: prose in another language fails the rule `stop_words`, so give such a corpus
 a table of its own. Repeated windows are found by 64-bit hashes of their
-words within one text.
+words within one text; a text of any length is measured whole, in one task; an empty table gives an empty table.
 """
 
 from __future__ import annotations

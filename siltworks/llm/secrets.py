@@ -13,7 +13,7 @@ shuffled; a row with matches carries only lengths.
 
 Defined cases: a null or empty text has no spans; rows with the same id and text have the same
 spans; a null id is a row of its own; a weak candidate that overlaps a base span is part of it and
-not reported; other columns are ignored; an empty table gives an empty result.
+not reported; a text of any length is searched whole, and parts meet within its scopes by bins; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

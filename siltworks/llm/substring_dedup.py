@@ -22,7 +22,8 @@ joined back, and the rows of a passage that many documents share are joined wher
 
 Defined cases: a null or empty text has no words; a null id is neither smaller nor larger than any
 other, so its windows are kept and repeat nothing; rows of one id never repeat each other; ids
-of any type that has an order will do; other columns are ignored; an empty table gives an empty result.
+of any type that has an order will do; a text of any length is read whole, as a chunk of its
+own; rows that repeat with one id keep their windows; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

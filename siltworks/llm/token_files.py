@@ -12,7 +12,8 @@ atomic, a lost executor's task is done again, and any store that Spark reaches w
 
 The order is by id, nulls first, then by a hash of the text, then by the text. Defined cases: a null
 or empty text is a document of the end id alone; rows with the same id are documents of their own,
-next to each other; other columns are ignored; an empty table gives a folder without segments.
+next to each other; a text of any length is one document, which is never cut, so its
+segment is as long as it; other columns are ignored; an empty table gives a folder without segments.
 """
 
 from __future__ import annotations
