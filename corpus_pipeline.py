@@ -4,6 +4,12 @@ Quality rules reject junk; lines that many documents share are taken out; of eac
 document with the smallest id stays; passages of benchmark items are cut out, and documents that are mostly
 such passages dropped; what is left is encoded, and its ids are checked to decode to the text. A stage's table is
 removed when the next stage has been written.
+
+Defined cases: a document with a null or empty text, or of fewer words than the quality rules ask for, is rejected by the first
+stage; a null id has no near copies and stays; rows that repeat are near copies of which one stays; of ties the smaller id stays;
+texts of any length go through every stage whole; columns besides id, text and n_chars are kept as they are, also where their names
+clash with those of a stage's own (the last stage's get underscores behind); an empty table gives an empty table with the two columns
+of the last stage.
 """
 
 from __future__ import annotations
