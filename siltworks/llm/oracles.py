@@ -61,3 +61,10 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.key IS NOT NULL) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM lines LEFT JOIN frequent f USING (key) GROUP BY doc_id"""
+
+#: For pages whose article stands in the element of that name, as in the given tables: what its tags say, without any scores.
+OP12 = r"""
+WITH own AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS t FROM pages),
+bare AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?(?:p|h1|br)(?:\s[^>]*)?/?>', ' ', 'g'), '<[^>]*>', '', 'g') AS t FROM own),
+decoded AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS t FROM bare)
+SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text, CAST(length(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS BIGINT) AS n_chars FROM decoded"""

@@ -120,4 +120,5 @@ ORACLES: dict[str, str] = {
     "op2_substring_dedup": oracles.OP2,
     "op6_quality": oracles.OP6,
     "op10_line_dedup": oracles.OP10,
+    "op12_html_text": oracles.OP12,
 }
