@@ -42,7 +42,7 @@ from .shared import arrow_batches, stored, text_or_empty
 from .token_files import Kept
 
 #: A block is closed when its units have so many links together, or its documents so many words.
-BLOCK_LINKS = 500_000
+BLOCK_LINKS = 1_000_000
 BLOCK_WORDS = 2_000_000
 #: Words kept with their A ids by a worker, in each of two generations.
 WORDS = 30_000
@@ -137,7 +137,7 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=v.b_model)
         self.space = self.b.piece_to_id("▁")
         self.words = Kept(self._word, WORDS)
-        # units of the block before, also of another task that the worker ran
+        # units of the task's block before
         self.known: dict[str, Unit] = {}
         self.a_size, self.b_size = np.array(list(map(len, v.a_bytes))), np.array(list(map(len, v.b_bytes)))
         # an id in decimal with what stands behind it: A's within a group, its last one, B's within a group, its last one
@@ -301,6 +301,7 @@ def coded(docs: DataFrame, vocabularies: Vocabularies, id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _task_aligner(shared.value)
+        aligner.known = {}
         number = TaskContext.get().partitionId() << 32
         block, kind = _Block(), None
         for batch in batches:
@@ -313,7 +314,9 @@ def coded(docs: DataFrame, vocabularies: Vocabularies, id: str = "doc_id", text:
                     aligner.known, number, block = block.kept(), number + 1, _Block()
         if block.words:
             yield ended(number, block, kind)
-            aligner.known = block.kept()
+        # the worker may stay idle beside later stages
+        aligner.known = {}
+        aligner.words.forget()
 
     return slim.mapInArrow(run, CODED.format(id=slim.schema["id"].dataType.simpleString()))
 

@@ -100,6 +100,10 @@ class Kept(dict):
         self.make, self.limit = make, limit
         self.older: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
         if value is None:
