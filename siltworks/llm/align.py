@@ -39,13 +39,10 @@ from pyspark.sql import functions as F
 
 from .bpe import MAX_VOCABULARY_BYTES, byte_letters, require_byte_level, split_words
 from .shared import arrow_batches, stored, text_or_empty
-from .token_files import Kept
 
 #: A block is closed when its units have so many links together, or its documents so many words.
 BLOCK_LINKS = 1_000_000
 BLOCK_WORDS = 2_000_000
-#: Words kept with their A ids by a worker, in each of two generations.
-WORDS = 30_000
 #: Longer units, as in texts without spaces, are not kept.
 LONG_UNIT = 64
 #: Ids of a vocabulary; a larger one is refused.
@@ -65,6 +62,8 @@ class Vocabularies:
     a_bytes: list[bytes]
     b_bytes: list[bytes]
     identity: np.ndarray
+    #: Whether A's merges are those of its tokens by rank (`by_rank`).
+    ranked: bool
 
     @classmethod
     def read(cls, a_path: str, b_path: str) -> Vocabularies:
@@ -91,7 +90,20 @@ class Vocabularies:
         # a piece before a byte piece of the same bytes
         by_bytes = {b_bytes[i]: i for i in sorted(range(len(b_bytes)), key=lambda i: (not pieces.is_byte(i), i), reverse=True) if b_bytes[i]}
         identity = np.array([by_bytes.get(x, -1) if x else -1 for x in a_bytes], np.int64)
-        return cls(a_spec, b_model, a_bytes, b_bytes, identity)
+        return cls(a_spec, b_model, a_bytes, b_bytes, identity, by_rank(spec))
+
+
+def by_rank(spec: dict) -> bool:
+    """Whether merging two parts whenever their bytes together are a token, the token of the least id first, gives the ids of the file's
+    merges. It does if ids rise with the merges and each merged token's own bytes are encoded as that token: within the
+    bytes of a token, parts are merged as if nothing stood beside them, so the two parts that make it are those of its merge."""
+    from tokenizers import Tokenizer
+
+    vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+    made = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in merges]
+    ids = [vocab[m] for m in made]
+    model = Tokenizer.from_str(json.dumps(spec)).model
+    return all(a < b for a, b in zip(ids, ids[1:])) and all(vocab[c] < ids[0] for c in byte_letters()) and all([t.id for t in model.tokenize(m)] == [i] for m, i in zip(made, ids))
 
 
 def require_pieces(pieces) -> None:
@@ -129,28 +141,29 @@ class Aligner:
     def __init__(self, v: Vocabularies):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.v = v
-        self.a = Tokenizer.from_str(v.a_spec).model.tokenize
-        self.letters = {b: c for c, b in byte_letters().items()}
+        if v.ranked:
+            merged = json.loads(v.a_spec)["model"]["vocab"].values()
+            self.word = tiktoken.Encoding("a", pat_str="", mergeable_ranks={v.a_bytes[i]: i for i in merged if v.a_bytes[i]}, special_tokens={})._encode_single_piece
+        else:
+            model, letters = Tokenizer.from_str(v.a_spec).model, {b: c for c, b in byte_letters().items()}
+            self.word = lambda word: [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))]
         self.b = sentencepiece.SentencePieceProcessor(model_proto=v.b_model)
         self.space = self.b.piece_to_id("▁")
-        self.words = Kept(self._word, WORDS)
         # units of the task's block before
         self.known: dict[str, Unit] = {}
         self.a_size, self.b_size = np.array(list(map(len, v.a_bytes))), np.array(list(map(len, v.b_bytes)))
         # an id in decimal with what stands behind it: A's within a group, its last one, B's within a group, its last one
         self.written = [f"{i}{mark}" for size, marks in ((len(v.a_bytes), ",|"), (len(v.b_bytes), ",;")) for mark in marks for i in range(size)]
 
-    def _word(self, word: str) -> list[int]:
-        return [t.id for t in self.a(word.encode().decode("latin-1").translate(self.letters))]
-
     def align(self, units: list[str]) -> list[Unit]:
         """The alignment of each unit; a unit begins with a space."""
         raw = [u.encode() for u in units]
-        words = self.words
-        a = [list(chain.from_iterable([words[w] for w in split_words(u)])) for u in units]
+        word = self.word
+        a = [list(chain.from_iterable([word(w) for w in split_words(u)])) for u in units]
         # the model puts the space before each unit, but not where there is nothing else
         b = [own or [self.space] for own in self.b.encode([u[1:] for u in units], num_threads=1)]
         if self._fit(raw, a, b):
@@ -316,7 +329,6 @@ def coded(docs: DataFrame, vocabularies: Vocabularies, id: str = "doc_id", text:
             yield ended(number, block, kind)
         # the worker may stay idle beside later stages
         aligner.known = {}
-        aligner.words.forget()
 
     return slim.mapInArrow(run, CODED.format(id=slim.schema["id"].dataType.simpleString()))
 

@@ -91,7 +91,7 @@ def token_at(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], i: i
 # -- ids by the tokenizers library ---------------------------------------------------------------
 
 
-class Kept(dict):
+class _Kept(dict):
     """What `make` gives for a key. When `limit` keys are kept they become the older generation, which keys in use are
     taken over from; the generation before is forgotten."""
 
@@ -100,10 +100,6 @@ class Kept(dict):
         self.make, self.limit = make, limit
         self.older: dict[str, bytes] = {}
 
-    def forget(self) -> None:
-        self.clear()
-        self.older = {}
-
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
         if value is None:
@@ -130,7 +126,7 @@ class LibraryEncoder:
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.tokenize = self.library.model.tokenize
         self.letters = {b: c for c, b in byte_letters().items()}
-        self.words = Kept(self._word, CACHE_WORDS)
+        self.words = _Kept(self._word, CACHE_WORDS)
 
     def _word(self, word: str) -> bytes:
         return array("I", [t.id for t in self.tokenize(word.encode().decode("latin-1").translate(self.letters))]).tobytes()
