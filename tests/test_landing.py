@@ -1,11 +1,15 @@
 import io
 import os
+import re
 import zipfile
+from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from siltworks.plans import files
+from siltworks.plans.views import dirty_sales
 from siltworks.sources import files as fl
 from siltworks.sources import landing
 
@@ -93,3 +97,26 @@ def test_archives_in_memory_and_beyond_limits(spark, monkeypatch):
     archive(many, {f"{i}.csv": "x" for i in range(fl.ARCHIVE_FILES + 1)})
     with pytest.raises(Exception, match="too many"):
         fl.unzipped(spark.createDataFrame([("m.zip", bytearray(many.getvalue()))], "path string, content binary")).collect()
+
+
+def test_few_files_lie_in_the_folder_at_once(spark, monkeypatch):
+    """Files are removed once their heads are kept, and every kind but the empty one has had each row in one of its files."""
+    monkeypatch.setattr(files, "FILE_ROWS", 1000, raising=False)
+    monkeypatch.setattr(files, "FILES_AT_ONCE", 3, raising=False)
+    seen, rows, inner = [], Counter(), fl.heads
+
+    def heads(spark, path):
+        found = [os.path.join(d, n) for d, _, names in os.walk(path.removeprefix("file://")) for n in names if n.startswith("part-")]
+        seen.append(len(found))
+        for name in found:
+            kind = re.search("kind=([a-z]+)", name)[1]
+            lines = pq.read_metadata(name).num_rows if kind == "parquet" else sum(1 for _ in open(name, "rb")) - (kind in ("semicolon", "tab"))
+            rows[kind] += lines
+        return inner(spark, path)
+
+    monkeypatch.setattr(fl, "heads", heads)
+    n = dirty_sales(spark, SF).count()
+    made = Counter(r.kind for r in files._landing(spark, SF).select("kind").collect())
+    assert max(seen) <= 3, seen
+    assert made == Counter(dict.fromkeys(("semicolon", "tab", "headerless", "json", "parquet"), -(-n // 1000)), empty=1)
+    assert {k: rows[k] for k in made if k != "empty"} == dict.fromkeys(("semicolon", "tab", "headerless", "json", "parquet"), n)
