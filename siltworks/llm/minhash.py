@@ -18,10 +18,15 @@ Steps:
    is checked. This joins most of a family of near copies cheaply.
 4. What is still apart is searched in full. Nodes are labelled with their components; in each bucket that
    holds several, every node outside the largest is compared with all nodes of the bucket, in blocks of bounded
-   size dealt over tasks: by short signature, and where that may be close, exactly, until two components have a
-   link. So no link between nodes that share a bucket is lost, wherever they stand in it.
+   size dealt over tasks, by short signature. Nodes of pairs that may be close meet again in such blocks with their
+   shingles, and are compared exactly, until two components have a link. So no link between nodes that share a bucket
+   is lost, wherever they stand in it.
 5. Classes are the connected components of the links.
 
+Most nodes that share a bucket are not alike, and such meetings grow faster than the documents. Only band keys and
+signatures of those are shuffled; shingles are made anew for each check, of the nodes in pairs whose short signatures may
+be close.
+
 Joins on a node or bucket that very many rows share are dealt by a second column. Hashes of shingles have 64 bits.
 
 Defined cases: texts without words, null ones too, are copies of each other; a row without id has a null
@@ -37,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -287,82 +293,117 @@ def _labelled(frame: DataFrame, labels: DataFrame, node: str, label: str) -> Dat
     return frame.join(of, F.col(node) == F.col("_node"), "left").withColumn(label, F.coalesce("_label", node)).drop("_node", "_label")
 
 
-def _block_links(rows: DataFrame, nodes: DataFrame, elements: DataFrame, labels: DataFrame, least: float, similarity: float, block: int = BLOCK_BYTES, block_nodes: int | None = None) -> DataFrame:
-    """Links (a, b) between different components of a bucket. Every node outside the bucket's largest component meets all its
-    nodes; the two sides are dealt by hash into blocks of about `block` bytes and `block_nodes` nodes at most. Short signatures choose the pairs that are
-    checked; a pair is checked in the first of the buckets that it shares, and not once its components have a link here."""
-    own = nodes.select("node", "keys", "short").join(elements.select("node", "size", "s"), "node")
-    own = own.select("node", "size", F.struct("keys", "short", "s").alias("own"))
-    labelled = _labelled(rows.select("key", "node"), labels, "node", "label").join(elements.select("node", "size"), "node")
-    sizes = labelled.groupBy("key", "label").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("c"))
+def _several(rows: DataFrame, labels: DataFrame, sizes: DataFrame | None, block: int) -> DataFrame:
+    """The rows (key, node) of buckets that hold several components, each with its label, whether it is outside the bucket's largest,
+    and how many blocks there are of either side. `sizes` has the bytes of each node, where they differ."""
+    labelled = _labelled(rows.select("key", "node"), labels, "node", "label")
+    labelled = labelled.withColumn("size", F.lit(8 * BANDS + SHORT)) if sizes is None else labelled.join(sizes, "node")
+    most = labelled.groupBy("key", "label").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("c"))
     largest = F.struct("n", -F.col("label"))
-    sizes = sizes.groupBy("key").agg(F.max_by("label", largest).alias("most"), F.sum("n").alias("n"), F.max("n").alias("top"), F.sum("c").alias("c"), F.max_by("c", largest).alias("top_c")).where("c > top_c")
-    block_nodes = block_nodes or BLOCK_NODES
-    parts = lambda size, count: F.greatest(F.ceil(size / block), F.ceil(count / block_nodes), F.lit(1))
-    sizes = sizes.select("key", "most", parts(F.col("n") - F.col("top"), F.col("c") - F.col("top_c")).alias("outside"), parts(F.col("n"), F.col("c")).alias("all"))
-    several = _spread(labelled, sizes, "key", "node", rows)
-    several = stored(several.withColumn("out", F.col("label") != F.col("most")).withColumn("h", F.xxhash64("node")).drop("size", "most"), "bucket-nodes")
+    most = most.groupBy("key").agg(F.max_by("label", largest).alias("most"), F.sum("n").alias("n"), F.max("n").alias("top"), F.sum("c").alias("c"), F.max_by("c", largest).alias("top_c")).where("c > top_c")
+    parts = lambda size, count: F.greatest(F.ceil(size / block), F.ceil(count / BLOCK_NODES), F.lit(1))
+    most = most.select("key", "most", parts(F.col("n") - F.col("top"), F.col("c") - F.col("top_c")).alias("outside"), parts(F.col("n"), F.col("c")).alias("all"))
+    several = _spread(labelled, most, "key", "node", rows)
+    return stored(several.withColumn("out", F.col("label") != F.col("most")).withColumn("h", F.xxhash64("node")).drop("size", "most"), "bucket-nodes")
+
+
+def _in_blocks(several: DataFrame, own: DataFrame) -> DataFrame:
+    """The blocks' rows with what `own` has of their nodes: every node outside the bucket's largest component meets all its nodes;
+    the two sides are dealt by hash."""
     columns = ["key", "i", "j", "side", "node", "label", "out"]
     asking = several.where("out").withColumn("i", F.expr("pmod(h, outside)")).withColumn("j", F.explode(F.expr("sequence(0L, all - 1)"))).withColumn("side", F.lit(0)).select(columns)
     asked = several.withColumn("j", F.expr("pmod(h, all)")).withColumn("i", F.explode(F.expr("sequence(0L, outside - 1)"))).withColumn("side", F.lit(1)).select(columns)
-    blocks = asking.unionByName(asked).join(own.select("node", "own.*"), "node").select(*columns, "keys", "short", "s")
-
-    def compared(block: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Links of whole blocks."""
-        block = block.combine_chunks()
-        key, i, j, side, node, label = (block.column(k).to_numpy() for k in range(6))
-        out, short, sets = block.column(6).to_numpy(), _shorts(block.column(8)), block.column(9)
-        keys = block.column(7).combine_chunks().flatten().to_numpy().reshape(len(key), -1)
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-        at = np.append(np.flatnonzero(new), len(key))
-        ends = np.repeat(at[1:], np.diff(at))
-        first = np.repeat(np.add.reduceat(side == 0, at[:-1]) + at[:-1], np.diff(at))
-        left = np.flatnonzero(side == 0)
-        n = (ends - first)[left]
-        before = np.append(0, np.cumsum(n))
-        done, links = set(), []
-        for start in range(0, int(before[-1]), AT_ONCE):
-            pair = np.arange(start, min(start + AT_ONCE, int(before[-1])))
-            which = np.searchsorted(before, pair, side="right") - 1
-            x = left[which]
-            y = first[x] + pair - before[which]
-            ok = (label[x] != label[y]) & (~out[y] | (node[x] < node[y]))
-            x, y = x[ok], y[ok]
-            same = _same(short[x], short[y])
-            ok = same >= least
-            x, y, same = x[ok], y[ok], same[ok]
-            shared = keys[x] == keys[y]
-            ok = keys[x, shared.argmax(axis=1)] == key[x]
-            x, y, same = x[ok], y[ok], same[ok]
-            order = np.argsort(-same, kind="stable")
-            for x, y in zip(x[order].tolist(), y[order].tolist()):
-                both = frozenset((label[x], label[y]))
-                if both not in done and similar(sets[x].as_py(), sets[y].as_py(), similarity):
-                    done.add(both)
-                    links.append((min(node[x], node[y]), max(node[x], node[y])))
-        yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+    blocks = asking.unionByName(asked).join(own, "node").select(*columns, *[c for c in own.columns if c != "node"])
+    return blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches cut between blocks: tables of whole blocks."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = [batch.column(k).to_numpy() for k in range(3)]
+        # rows up to the start of the batch's last block belong to whole blocks
+        last = np.flatnonzero(np.any([k != k[-1] for k in at], axis=0))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if waiting and not cut and any(waiting[-1].column(k)[-1].as_py() != at[k][0] for k in range(3)):
+            yield pa.Table.from_batches(waiting).combine_chunks()
+            waiting = []
+        if cut:
+            yield pa.Table.from_batches([*waiting, batch.slice(0, cut)]).combine_chunks()
+            waiting = []
+        waiting.append(batch.slice(cut))
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
+
+
+def _close_in(block: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (x, y) of the pairs of different components in blocks whose short signatures may be close, the closest first among
+    pairs compared at once; each in the first of the buckets that it shares."""
+    key, i, j, side, node, label = (block.column(k).to_numpy() for k in range(6))
+    out, short = block.column(6).to_numpy(), _shorts(block.column(8))
+    keys = block.column(7).combine_chunks().flatten().to_numpy().reshape(len(key), -1)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    at = np.append(np.flatnonzero(new), len(key))
+    ends = np.repeat(at[1:], np.diff(at))
+    first = np.repeat(np.add.reduceat(side == 0, at[:-1]) + at[:-1], np.diff(at))
+    left = np.flatnonzero(side == 0)
+    n = (ends - first)[left]
+    before = np.append(0, np.cumsum(n))
+    for start in range(0, int(before[-1]), AT_ONCE):
+        pair = np.arange(start, min(start + AT_ONCE, int(before[-1])))
+        which = np.searchsorted(before, pair, side="right") - 1
+        x = left[which]
+        y = first[x] + pair - before[which]
+        ok = (label[x] != label[y]) & (~out[y] | (node[x] < node[y]))
+        x, y = x[ok], y[ok]
+        same = _same(short[x], short[y])
+        ok = same >= least
+        x, y, same = x[ok], y[ok], same[ok]
+        shared = keys[x] == keys[y]
+        ok = keys[x, shared.argmax(axis=1)] == key[x]
+        x, y, same = x[ok], y[ok], same[ok]
+        order = np.argsort(-same, kind="stable")
+        yield x[order], y[order]
+
+
+def _close_rows(rows: DataFrame, nodes: DataFrame, labels: DataFrame, least: float, block: int = BLOCK_BYTES) -> DataFrame:
+    """The rows (key, node) that are in a pair of different components of their bucket whose short signatures may be close."""
+    several = _several(rows, labels, None, block)
+    own = _among(nodes.select("node", "keys", "short"), several)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            at = [batch.column(k).to_numpy() for k in range(3)]
-            # rows up to the start of the batch's last block belong to whole blocks
-            last = np.flatnonzero(np.any([k != k[-1] for k in at], axis=0))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if waiting and not cut and any(waiting[-1].column(k)[-1].as_py() != at[k][0] for k in range(3)):
-                yield from compared(pa.Table.from_batches(waiting))
-                waiting = []
-            if cut:
-                yield from compared(pa.Table.from_batches([*waiting, batch.slice(0, cut)]))
-                waiting = []
-            waiting.append(batch.slice(cut))
-        if waiting:
-            yield from compared(pa.Table.from_batches(waiting))
-
-    return blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side").mapInArrow(run, "a long, b long").distinct()
+        for table in _whole_blocks(batches):
+            close = np.zeros(table.num_rows, bool)
+            for x, y in _close_in(table, least):
+                close[x] = close[y] = True
+            yield pa.RecordBatch.from_arrays([pa.array(table.column(k).to_numpy()[close]) for k in (0, 4)], names=["key", "node"])
+
+    return _in_blocks(several, own).mapInArrow(run, "key long, node long").distinct()
+
+
+def _block_links(rows: DataFrame, nodes: DataFrame, elements: DataFrame, labels: DataFrame, least: float, similarity: float, block: int = BLOCK_BYTES) -> DataFrame:
+    """Links (a, b) between different components of a bucket, from blocks of about `block` bytes and BLOCK_NODES nodes at most.
+    Short signatures choose the pairs that are checked; a pair is checked in the first of the buckets that it shares, and not once
+    its components have a link here."""
+    own = _among(nodes.select("node", "keys", "short"), rows).join(elements.select("node", "s"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_blocks(batches):
+            node, label, sets = table.column(4).to_numpy(), table.column(5).to_numpy(), table.column(9)
+            done, links = set(), []
+            for xs, ys in _close_in(table, least):
+                for x, y in zip(xs.tolist(), ys.tolist()):
+                    both = frozenset((label[x], label[y]))
+                    if both not in done and similar(sets[x].as_py(), sets[y].as_py(), similarity):
+                        done.add(both)
+                        links.append((min(node[x], node[y]), max(node[x], node[y])))
+            yield pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    several = _several(rows, labels, elements.select("node", "size"), block)
+    return _in_blocks(several, own).mapInArrow(run, "a long, b long").distinct()
 
 
 def _closest(pairs: DataFrame, shorts: DataFrame, least: float) -> DataFrame:
@@ -392,10 +433,8 @@ def similar(x: bytes, y: bytes, similarity: float) -> bool:
     return shared >= similarity * (len(x) + len(y) - shared) - 1e-9
 
 
-def _elements(docs: DataFrame, nodes: DataFrame, id: str, text: str, size: int, weights: str) -> DataFrame:
-    """(node, size, s): the sorted 64-bit hashes of the shingles of `nodes` (node), and of some documents more, which a sketch of the
-    nodes lets pass; they meet no pair. A shingle found again is an element of its own where they are counted."""
-    spark = docs.sparkSession
+def _marks(nodes: DataFrame) -> Broadcast:
+    """A sketch of the column `node`, 64 MB at most."""
     width = width_for(nodes.count(), MAX_WIDTH)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,11 +443,28 @@ def _elements(docs: DataFrame, nodes: DataFrame, id: str, text: str, size: int,
             counting.add(batch.column(0).to_numpy().view(np.uint64))
         yield from counting.blocks()
 
-    marked = spark.sparkContext.broadcast(Sketch.gathered(nodes.mapInArrow(mark, BLOCK_SCHEMA), width))
+    return nodes.sparkSession.sparkContext.broadcast(Sketch.gathered(nodes.mapInArrow(mark, BLOCK_SCHEMA), width))
+
+
+def _marked(batch: pa.RecordBatch, marks: Broadcast) -> pa.RecordBatch:
+    """The rows whose first column a sketch has, or seems to have."""
+    return batch.filter(pa.array(marks.value.estimate(batch.column(0).to_numpy().view(np.uint64)) > 0))
+
+
+def _among(frame: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of a frame whose first column is a `node` of `nodes`, and some more: few rows go on to a join by node."""
+    marks = _marks(nodes.select("node").distinct())
+    return frame.mapInArrow(lambda batches: (_marked(batch, marks) for batch in batches), frame.schema)
+
+
+def _elements(docs: DataFrame, nodes: DataFrame, id: str, text: str, size: int, weights: str) -> DataFrame:
+    """(node, size, s): the sorted 64-bit hashes of the shingles of `nodes` (node), and of some documents more, which a sketch of the
+    nodes lets pass; they meet no pair. A shingle found again is an element of its own where they are counted."""
+    marks = _marks(nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(marked.value.estimate(batch.column(0).to_numpy().view(np.uint64)) > 0))
+            batch = _marked(batch, marks)
             for chunk in text_chunks(batch.column(1)):
                 h, times, row, _ = shingles(chunk, size, weights == "counts")
                 again = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -437,18 +493,24 @@ def _links(docs: DataFrame, nodes: DataFrame, repeated: bool, id: str, text: str
     """(a, b): each node that has links but the least of its component, with that least node."""
     shorts = nodes.select("node", "short")
     buckets = stored(_bucket_rows(nodes, bands, rows), "bucket-rows")
-    sharing = stored(buckets.where("before <> -1 OR first <> node").select(F.explode(F.array("node", "before", "first")).alias("node")).where("node <> -1").unionByName(buckets.select("node")).distinct(), "sharing")
-    elements = _elements(docs, sharing, id, text, size, weights)
-    elements = stored(elements.dropDuplicates(["node", "s"]) if repeated else elements, "elements")
     least = similarity - MARGIN
+
+    def sets(of: DataFrame) -> DataFrame:
+        elements = _elements(docs, of.distinct(), id, text, size, weights)
+        return stored(elements.dropDuplicates(["node", "s"]) if repeated else elements, "elements")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        return pairs if pairs.isEmpty() else stored(_verified(pairs, sets(pairs.select(F.explode(F.array("a", "b")).alias("node"))), similarity), "links")
+
     tried = stored(_closest(stored(_neighbour_pairs(buckets), "pairs"), shorts, least), "pairs")
-    found = stored(_verified(tried, elements, similarity), "links")
+    found = checked(tried)
     near = stored(_centre_pairs(buckets, found).join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = stored(_closest(near, shorts, least), "pairs")
-    labels = components(found.unionByName(stored(_verified(more, elements, similarity), "links")))
-    new = stored(_block_links(buckets, nodes, elements, labels, least, similarity), "links")
-    if not new.isEmpty():
-        labels = components(labels.unionByName(new))
+    labels = components(found.unionByName(checked(stored(_closest(near, shorts, least), "pairs"))))
+    nodes = nodes.where("size(keys) > 0")
+    close = stored(_close_rows(buckets, nodes, labels, least), "close-rows")
+    if not close.isEmpty():
+        new = stored(_block_links(close, nodes, sets(close.select("node")), labels, least, similarity), "links")
+        labels = labels if new.isEmpty() else components(labels.unionByName(new))
     return labels
 
 

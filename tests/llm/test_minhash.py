@@ -165,3 +165,20 @@ def test_bucket_of_many_families(spark, monkeypatch, block_nodes):
     got = {r.doc_id: r.class_id for r in mh.classes(frame).collect()}
     wrong = sum(got[i] != want[i] for i in range(n))
     assert wrong == 0, (wrong, len(set(want.tolist())), len(set(got.values())))
+
+
+def test_shingles_of_close_pairs_only(spark, monkeypatch):
+    """Texts that meet in buckets and are not alike are told apart by their signatures; their shingles are not made."""
+    rng = random.Random(5)
+    common = [f"w{i}" for i in range(60)]
+    texts = [" ".join(common + [f"x{rng.randrange(10**9)}" for _ in range(30)]) for _ in range(60)]
+    texts += [texts[0] + " more", *(" ".join(f"z{i}" for i in range(60)) + end for end in ("", " more"))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = []
+    elements = mh._elements
+    monkeypatch.setattr(mh, "_elements", lambda docs, nodes, *how: (made.extend(r.node for r in nodes.collect()), elements(docs, nodes, *how))[1])
+    nodes = mh.signatures(frame).withColumnRenamed("id", "node")
+    assert mh._neighbour_pairs(mh._bucket_rows(nodes, mh.BANDS, mh.ROWS)).count() > 30
+    got = {r.doc_id: r.class_id for r in mh.classes(frame).collect()}
+    assert got == {i: {60: 0, 62: 61}.get(i, i) for i in range(63)}
+    assert set(made) == {0, 60, 61, 62}
