@@ -120,3 +120,20 @@ def test_few_files_lie_in_the_folder_at_once(spark, monkeypatch):
     assert max(seen) <= 3, seen
     assert made == Counter(dict.fromkeys(("semicolon", "tab", "headerless", "json", "parquet"), -(-n // 1000)), empty=1)
     assert {k: rows[k] for k in made if k != "empty"} == dict.fromkeys(("semicolon", "tab", "headerless", "json", "parquet"), n)
+
+
+def test_the_delimiter_is_told_once_for_each_file(spark, tmp_path):
+    """Nothing above an explode reads a head, so its delimiter is not told again for each of its lines; and what is told stays the same."""
+    texts = {
+        "semicolon.csv": "id;when;note\n" + "1;2026-01-02;a, b\n" * 300, "tab.csv": "id\twhen\n" + "7\t2026-01-02\n" * 5, "bare.csv": "7|1\n\n8|2\r\n9|3", "text.csv": "one\ntwo",
+        "even.csv": "1,2;3\n4,5;6\n", "empty.csv": "", "one.csv": "4;5", "odd.csv": "a,b\n1,2,3\n",
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    heads = fl.heads(spark, str(tmp_path))
+    told = {os.path.basename(r.path): r.d for r in heads.select("path", fl.delimiter(fl._text(F.col("head"))).alias("d")).collect()}
+    assert told == {"semicolon.csv": ";", "tab.csv": "\t", "bare.csv": "|", "text.csv": ",", "even.csv": ",", "empty.csv": ",", "one.csv": ";", "odd.csv": ","}
+    out = fl.detect_header(heads)
+    assert {os.path.basename(r.path): r.has_header for r in out.collect()} == {n: n not in ("bare.csv", "even.csv") for n in texts}
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")
+    assert len(above) == 3 and not any(re.search(r"\bhead#", x) for x in above[1:-1]) and "head#" not in above[-1].split("\n")[0], above
