@@ -1,4 +1,6 @@
+import gzip
 import io
+import json
 import os
 import re
 import zipfile
@@ -137,3 +139,25 @@ def test_the_delimiter_is_told_once_for_each_file(spark, tmp_path):
     assert {os.path.basename(r.path): r.has_header for r in out.collect()} == {n: n not in ("bare.csv", "even.csv") for n in texts}
     above = out._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")
     assert len(above) == 3 and not any(re.search(r"\bhead#", x) for x in above[1:-1]) and "head#" not in above[-1].split("\n")[0], above
+
+
+def test_json_lines_take_little_disk(spark, monkeypatch):
+    """Every row lies in a compressed file of FILE_ROWS rows at most, and the files are removed once they are read."""
+    monkeypatch.setattr(files, "FILE_ROWS", 1000)
+    seen, inner = [], fl.read_json_lines
+
+    def read_json_lines(spark, path):
+        folder = path.removeprefix("file://")
+        seen.extend([folder, *[os.path.join(folder, n) for n in os.listdir(folder) if n.startswith("part-")]])
+        seen.extend((os.path.getsize(n), gzip.open(n).read()) for n in seen[1:])
+        return inner(spark, path)
+
+    monkeypatch.setattr(fl, "read_json_lines", read_json_lines)
+    rows = dirty_sales(spark, SF)
+    assert sum(r.n for r in files.scan_jsonl(spark, SF).collect()) == rows.count()
+    read = [x for x in seen if isinstance(x, tuple)]
+    lines = [text.count(b"\n") for _, text in read]
+    assert sum(lines) == rows.count() and max(lines) <= 1000
+    assert all(set(json.loads(line)) <= set(rows.columns) for _, text in read for line in text.splitlines()[:100])
+    assert 4 * sum(size for size, _ in read) < sum(len(text) for _, text in read)
+    assert not os.path.exists(seen[0])
